@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from causeway.llm import chat, quality
+from causeway.llm import chat, langid, quality
+from causeway.llm.bpe import encode_decode
 from causeway.llm.jaccard_join import jaccard_join
 from causeway.llm.line_dedup import line_dedup
+from causeway.llm.packing import pack, token_pieces
 from causeway.llm.substring_dedup import substring_dedup
+from causeway.llm.token_files import through_files
 from causeway.llm.topk import exact_top_k
 from causeway.session import read_table
 
@@ -21,6 +24,19 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(read_table(spark, sf_dir, "documents"))
 
 
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(token_pieces(read_table(spark, sf_dir, "documents")))
+
+
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return through_files(read_table(spark, sf_dir, "documents")).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = langid.identify(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", langid.is_held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.apply_policy(quality.ledger(read_table(spark, sf_dir, "documents"))).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines", "n_upper", "fail_bits"
@@ -38,11 +54,21 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(read_table(spark, sf_dir, "documents")).select("doc_id", "n_removed", "places", "copied_from", "text")
 
 
+def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_decode(read_table(spark, sf_dir, "documents")).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
 def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_top_k(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_ngram_jaccard_join, op6_quality_rules, op7_chat_formatting, op8_line_dedup, op10_exact_top_k)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_substring_dedup, op2_ngram_jaccard_join, op3_best_fit_packing, op4_token_files, op5_language_id,
+        op6_quality_rules, op7_chat_formatting, op8_line_dedup, op9_byte_bpe, op10_exact_top_k,
+    )
+}
 
 _FORGED = r"([<\[])(\|im_start\|>|\|im_end\|>|\|endoftext\|>|s>|/s>|INST\]|/INST\]|<SYS>>|</SYS>>)"
 
