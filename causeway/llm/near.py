@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from causeway.llm.tables import split_by_keys
 from causeway.llm.words import constants, mix, shingles
 from causeway.operators.graph import contract_components
 from causeway.session import checkpointed
@@ -202,7 +203,8 @@ def near_links(rows: DataFrame, uid: Column, banding: Banding = Banding()) -> Da
         .withColumn("blocks", F.ceil(size / block))
         .select(F.col("node").alias("cid"), "component", "blocks", F.pmod(F.xxhash64(F.lit(7), "node"), F.col("blocks")).alias("block"))
     )
-    texts = units.groupBy("cid", "uid").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
+    wanted, _ = split_by_keys(units, F.col("cid"), placed.select("cid"))
+    texts = wanted.groupBy("cid", "uid").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
     tiles = (
         texts.join(placed, "cid")
         .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))

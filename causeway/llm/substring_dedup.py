@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from causeway.llm.near import Banding, near_links
-from causeway.llm.tables import rows_of, text_key, without
+from causeway.llm.tables import rows_of, split_by_keys, text_key, without
+from causeway.session import checkpointed
 
 #: A pair of Jaccard 0.8 meets in one of 20 bands of four rows with chance 0.99997.
 PRODUCTION = Banding(bands=20, rows=4, threshold="0.8")
@@ -58,11 +59,13 @@ def drop_lines(docs: DataFrame, gone: DataFrame) -> DataFrame:
     columns, which are added. A row of ``docs`` without a match keeps its text.
     """
     extra = [c for c in gone.columns if c not in ("doc_id", "key")]
-    own = without(docs, *extra)
+    gone = checkpointed(gone.withColumn("_cw_hash", F.xxhash64("doc_id", "key")))
+    touched, rest = split_by_keys(without(docs, *extra), F.xxhash64("doc_id", text_key(F.col("text"))), gone.select("_cw_hash"), both=True)
     there = gone.select(F.col("doc_id").alias("_cw_id"), F.col("key").alias("_cw_key"), *[F.col(c).alias(f"_cw_{c}") for c in extra])
-    joined = own.join(there, own["doc_id"].eqNullSafe(F.col("_cw_id")) & (text_key(own["text"]) == F.col("_cw_key")), "left")
-    kept = [_drop_lines(own["text"], F.col("_cw_places")).alias("text") if c == "text" else own[f"`{c}`"] for c in own.columns]
-    return joined.select(*kept, *[F.col(f"_cw_{c}").alias(c) for c in extra])
+    joined = touched.join(there, touched["doc_id"].eqNullSafe(F.col("_cw_id")) & (text_key(touched["text"]) == F.col("_cw_key")), "left")
+    kept = [_drop_lines(touched["text"], F.col("_cw_places")).alias("text") if c == "text" else touched[f"`{c}`"] for c in touched.columns]
+    changed = joined.select(*kept, *[F.col(f"_cw_{c}").alias(c) for c in extra])
+    return changed.unionByName(rest.select("*", *[F.lit(None).cast(gone.schema[c].dataType).alias(c) for c in extra]))
 
 
 def substring_dedup(docs: DataFrame, banding: Banding = PRODUCTION, least_words: int = LEAST_WORDS) -> DataFrame:
