@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from causeway.plans import core
+
+QUERIES: dict = {**core.QUERIES}
+ORACLE_SQL: dict = {**core.ORACLE_SQL}
