@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from causeway.plans import analysis, core
+from causeway.plans import analysis, core, records  # noqa: F401
 
 QUERIES: dict = {**core.QUERIES}
 ORACLE_SQL: dict = {**core.ORACLE_SQL}
