@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from causeway.llm.memory import trimmed
 from causeway.llm.near import Banding, near_links
 from causeway.llm.tables import rows_of, split_by_keys, text_key, without
 from causeway.session import checkpointed
@@ -22,7 +21,7 @@ LEAST_WORDS = 40
 
 def _paragraphs(least_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in trimmed(batches):
             for at in range(0, len(batch), 1000):
                 part = batch.slice(at, 1000)
                 rows, places, out = [], [], []
@@ -41,15 +40,18 @@ def _paragraphs(least_words: int):
     return run
 
 
-@F.pandas_udf(T.StringType())
-def _drop_lines(text: pd.Series, gone: pd.Series) -> pd.Series:
-    def one(t, places):
-        if t is None or places is None:
-            return t
-        drop = set(places)
-        return "\n".join(line for i, line in enumerate(t.split("\n")) if i not in drop)
-
-    return pd.Series([one(t, p) for t, p in zip(text, gone)], dtype=object)
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows whose column ``text`` loses the lines numbered in ``_cw_places``."""
+    for batch in trimmed(batches):
+        for at in range(0, len(batch), 500):
+            part = batch.slice(at, 500)
+            texts = []
+            for text, places in zip(part.column("text").to_pylist(), part.column("_cw_places").to_pylist()):
+                if text is not None and places:
+                    drop = set(places)
+                    text = "\n".join(line for i, line in enumerate(text.split("\n")) if i not in drop)
+                texts.append(text)
+            yield part.set_column(part.schema.get_field_index("text"), "text", pa.array(texts, pa.string()))
 
 
 def drop_lines(docs: DataFrame, gone: DataFrame) -> DataFrame:
@@ -63,8 +65,9 @@ def drop_lines(docs: DataFrame, gone: DataFrame) -> DataFrame:
     touched, rest = split_by_keys(without(docs, *extra), F.xxhash64("doc_id", text_key(F.col("text"))), gone.select("_cw_hash"), both=True)
     there = gone.select(F.col("doc_id").alias("_cw_id"), F.col("key").alias("_cw_key"), *[F.col(c).alias(f"_cw_{c}") for c in extra])
     joined = touched.join(there, touched["doc_id"].eqNullSafe(F.col("_cw_id")) & (text_key(touched["text"]) == F.col("_cw_key")), "left")
-    kept = [_drop_lines(touched["text"], F.col("_cw_places")).alias("text") if c == "text" else touched[f"`{c}`"] for c in touched.columns]
-    changed = joined.select(*kept, *[F.col(f"_cw_{c}").alias(c) for c in extra])
+    rows = joined.select(*[touched[f"`{c}`"] for c in touched.columns], *[F.col(f"_cw_{c}") for c in extra])
+    cut = rows.mapInArrow(_cut, rows.schema)
+    changed = cut.select(*[f"`{c}`" for c in touched.columns], *[F.col(f"_cw_{c}").alias(c) for c in extra])
     return changed.unionByName(rest.select("*", *[F.lit(None).cast(gone.schema[c].dataType).alias(c) for c in extra]))
 
 
@@ -79,7 +82,7 @@ def substring_dedup(docs: DataFrame, banding: Banding = PRODUCTION, least_words:
     (doc_id, text, line), stays; all others are removed.
 
     Added: ``places`` (line numbers removed, null if none), ``n_removed``, ``kept_in``
-    (doc_ids that hold the copies that stayed). A text that is null or has no such
+    (doc_ids that hold the copies that stayed, but for null ones). A text that is null or has no such
     paragraph stays as it is; one that is removed in full becomes empty. Rows equal in
     doc_id and text are one document and get the same result each. A null doc_id
     comes first. Other columns pass; one named like an added column is replaced.
