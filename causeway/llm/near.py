@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from causeway.llm.memory import trimmed
 from causeway.llm.tables import split_by_keys
 from causeway.llm.words import constants, mix, shingles
 from causeway.operators.graph import contract_components
@@ -68,9 +69,9 @@ def band_hashes(hashes: np.ndarray, counts: np.ndarray, banding: Banding) -> np.
 
 def _band_rows(banding: Banding):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, len(batch), 2000):
-                part = batch.slice(at, 2000)
+        for batch in trimmed(batches):
+            for at in range(0, len(batch), 500):
+                part = batch.slice(at, 500)
                 hashes, counts = shingles([t or b"" for t in part.column("text").cast(pa.binary()).to_pylist()])
                 some = counts > 0
                 if some.any():
@@ -109,7 +110,7 @@ def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
         return got
     order = np.argsort(column, kind="stable")
     owner, column = owner[order], column[order]
-    width = max(64, min(8192, (1 << 24) // m))
+    width = max(64, min(8192, (1 << 22) // m))
     for at in range(0, n, width):
         lo, hi = np.searchsorted(column, [at, at + width])
         dense = np.zeros((m, width), np.float32)
@@ -160,7 +161,7 @@ def _tiles(threshold: str):
             )
 
         kept, key = [], None
-        for batch in batches:
+        for batch in trimmed(batches):
             keys = list(zip(*(batch.column(c).to_pylist() for c in ("component", "a", "b"))))
             at = 0
             for i, k in enumerate(keys):

@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from causeway.llm.memory import trimmed
 from causeway.llm.tables import rows_of
 from causeway.llm.tokens import default_path, encoder, grouped
 from causeway.session import checkpointed
@@ -77,7 +78,7 @@ def _pieces(path: str, capacity: int, end_id: int, with_ids: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path)
-        for batch in batches:
+        for batch in trimmed(batches):
             doc_ids = batch.column("doc_id").to_pylist()
             for first, texts in grouped([t or "" for t in batch.column("text").to_pylist()]):
                 rows = []
@@ -92,6 +93,8 @@ def _pieces(path: str, capacity: int, end_id: int, with_ids: bool):
                 columns = [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))]
                 yield pa.RecordBatch.from_arrays(columns[: 6 if with_ids else 5], ["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: 6 if with_ids else 5])
 
+        encode.rest()
+
     return run
 
 

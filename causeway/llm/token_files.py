@@ -12,6 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from causeway.llm.memory import trimmed
 from causeway.llm.rangecoder import read_shard, write_shard
 from causeway.llm.tables import rows_of
 from causeway.llm.tokens import default_path, encoder, grouped
@@ -34,7 +35,7 @@ def _shards(path: str, end_id: int, shard_ids: int):
             columns = [pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([size], pa.int64()), pa.array([data], pa.large_binary()).cast(pa.binary())]
             return pa.RecordBatch.from_arrays(columns, ["part", "shard", "n_tokens", "data"])
 
-        for batch in batches:
+        for batch in trimmed(batches):
             own = batch.column("doc_id").to_pylist()
             for first, texts in grouped([t or "" for t in batch.column("text").to_pylist()]):
                 for doc_id, got in zip(own[first:], encode(texts)):
@@ -46,6 +47,7 @@ def _shards(path: str, end_id: int, shard_ids: int):
                         doc_ids, ids, size, number = [], [], 0, number + 1
         if doc_ids:
             yield close()
+        encode.rest()
 
     return run
 
@@ -73,7 +75,7 @@ def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
     starts = within.join(parts, "part").select("part", "shard", (F.col("own") + F.col("base")).alias("first"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in trimmed(batches):
             for data, first in zip(batch.column("data"), batch.column("first").to_pylist()):
                 doc_ids, sizes, ids = read_shard(data.as_py())
                 starts, raw = np.cumsum(sizes) - sizes, memoryview(ids.astype("<u4").tobytes())

@@ -7,14 +7,16 @@ import re
 from array import array
 from functools import lru_cache
 
-#: Stretches kept by a worker process; beyond, it begins anew.
-MOST_KEPT = 500_000
+#: Stretches of text in each of two generations that a worker process keeps.
+MOST_KEPT = 150_000
 #: A byte-level BPE pre-tokenizer always cuts before white space that follows anything
 #: else, and between letters and a full stop or comma that ends a word.
 _STRETCH = re.compile(
     "[ \n]*[A-Za-zÀ-ÖØ-öø-ɏ]+(?![^ \n.,])|[.,]+(?![^ \n])|[ \n]*[^ \n]+|[ \n]+"
 )
 _OTHER_SPACE = re.compile(r"[^\S \n]")
+#: A full stop or comma after anything but a letter or digit may belong to what stands before it.
+_JOINED = re.compile("[^A-Za-z0-9À-ÖØ-öø-ɏ][.,]")
 
 
 def default_path(name: str = "byte_bpe_50k.json") -> str:
@@ -28,31 +30,76 @@ def stretches(text: str) -> list[str]:
     return [text] if _OTHER_SPACE.search(text) else _STRETCH.findall(text)
 
 
+def plain_words(text: str) -> list[str] | None:
+    """Parts of a text with plain spacing, None of any other text.
+
+    They begin at single spaces (left off), line breaks, and full stops and commas after
+    a letter or digit; the first is marked by a carriage return, which such a text has not.
+    """
+    odd = not text or text[0] in " \n.," or text[-1] in " \n" or any(x in text for x in ("  ", " \n", "\n ", "\n\n"))
+    if odd or _OTHER_SPACE.search(text) or _JOINED.search(text):
+        return None
+    words = text.replace("\n", " \n").replace(".", " .").replace(",", " ,").split(" ")
+    words[0] = "\r" + words[0]
+    return words
+
+
+class _Kept(dict):
+    """Ids by part of a text; what is missing comes from the older generation or is encoded."""
+
+    def __init__(self, encode, old):
+        self.encode, self.old = encode, old
+
+    def __missing__(self, part: str) -> bytes:
+        ids = self.old.get(part)
+        if ids is None:
+            ids = array("I", self.encode(part)).tobytes()
+        if len(part) <= 64:
+            self[part] = ids
+        return ids
+
+
 class Encoder:
+    """Ids of texts by a tokenizer file. Each distinct word is encoded once while it is kept;
+    a word of letters alone is one pre-token, so it goes straight to the BPE model."""
+
     def __init__(self, path: str, most_kept: int = MOST_KEPT):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.kept, self.most_kept = Tokenizer.from_file(path), {}, most_kept
+        self.tokenizer, self.most_kept = Tokenizer.from_file(path), most_kept
+        self.model = self.tokenizer.model
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that byte-level BPE shows as themselves
+        hidden = [b for b in range(256) if b not in shown]
+        self.letters = str.maketrans({chr(b): chr(256 + i) for i, b in enumerate(hidden)})
+        self.words, self.parts = _Kept(self.word, {}), _Kept(self.whole, {})
+
+    def whole(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def word(self, word: str) -> list[int]:
+        if word.isalpha():
+            return [t.id for t in self.model.tokenize(f" {word}".encode().decode("latin-1").translate(self.letters))]
+        return self.whole(word[1:] if word[:1] == "\r" else word if word[:1] in ("\n", ".", ",") else f" {word}")
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        parts = [stretches(t) for t in texts]
-        new = list(set().union(*parts).difference(self.kept)) if parts else []
-        if len(self.kept) + len(new) > self.most_kept:
-            self.kept.clear()
-            new = list(set().union(*parts))
-        for at in range(0, len(new), 4096):
-            some = new[at : at + 4096]
-            for part, got in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                self.kept[part] = array("I", got.ids).tobytes()
-        out = [b"".join(map(self.kept.__getitem__, p)) for p in parts]
-        for part in new:
-            if len(part) > 200:
-                del self.kept[part]
+        out = []
+        for text in texts:
+            words = plain_words(text)
+            out.append(b"".join(map(self.words.__getitem__, words) if words else map(self.parts.__getitem__, stretches(text))))
+        if len(self.words) > self.most_kept:
+            self.words = _Kept(self.word, dict(self.words))
+        if len(self.parts) > self.most_kept // 4:
+            self.parts = _Kept(self.whole, dict(self.parts))
         return out
 
 
+    def rest(self) -> None:
+        """Let go of the older generation between tasks."""
+        self.words.old, self.parts.old = {}, {}
+
+
 @lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
     return Encoder(path)

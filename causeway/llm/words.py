@@ -11,7 +11,7 @@ from functools import lru_cache
 import numpy as np
 
 SHINGLE_WORDS = 5
-_CHUNK_BYTES = 1 << 21
+_CHUNK_BYTES = 1 << 19
 
 
 def mix(x: np.ndarray) -> np.ndarray:
