@@ -13,8 +13,10 @@ DATA = "/root/testdata/sf0.001"
 def spark():
     from causeway.session import local_session
 
-    session = local_session("tests", "8", "4g")
+    session = local_session("tests", os.environ.get("TEST_CPUS", "8"), "4g")
     session.sparkContext.setLogLevel("OFF")
+    for key, value in {"spark.sql.shuffle.partitions": "2", "spark.sql.codegen.wholeStage": "false"}.items():  # a few rows each
+        session.conf.set(key, value)
     yield session
     session.stop()
 
