@@ -20,15 +20,18 @@ import zlib
 import numpy as np
 
 BLOCK = 4096
-MAGIC = b"CWTK\x01"
-SLOTS1, SLOTS2 = 1 << 11, 1 << 12
+MAGIC = b"CWTK\x02"
+SLOTS1, SLOTS2 = 1 << 9, 1 << 10
 LEAST_ID, MOST_ID = 0, (1 << 20) - 1
 _U64, _WORD = np.uint64, np.uint64(32)
 _LOW = np.uint64(0xFFFFFFFF)
 _BITS = np.array([0, 0, 0, 8, 10, 12, 14, 20], np.uint64)
 _NONE = np.uint32(((1 << 22) - 1) << 2)
-_TARGET = np.array([[i * 32 if i <= s else 65536 - (8 - i) * 32 for i in range(8)] for s in range(8)], np.int32)
-_FLAT = np.arange(8, dtype=np.int32) * 8192
+#: Distributions are eight cumulative starts out of 2 ** 15; sixteen bytes that move as one item.
+_TOTAL, _SHIFT, _RATE = 1 << 15, np.uint64(15), 5
+_TARGET = np.array([[i * 32 if i <= s else _TOTAL - (8 - i) * 32 for i in range(8)] for s in range(8)], np.int16)
+_FLAT = np.arange(8, dtype=np.int16) * (_TOTAL // 8)
+_ITEM = np.complex128
 
 
 class _Lanes:
@@ -37,47 +40,59 @@ class _Lanes:
     def __init__(self, n: int):
         self.n = n
         self.low, self.range = np.zeros(n, _U64), np.full(n, 0xFFFFFFFFFFFFFFFF, _U64)
-        self.at1, self.at2 = np.arange(n) * SLOTS1, np.arange(n) * SLOTS2
-        self.table1, self.table2 = np.full(n * SLOTS1, _NONE, np.uint32), np.full(n * SLOTS2, _NONE, np.uint32)
-        self.own = np.full(n, _NONE, np.uint32)
-        self.last, self.before = np.zeros(n, np.uint32), np.zeros(n, np.uint32)
-        self.by_trust, self.by_symbol = np.tile(_FLAT, (n * 64, 1)), np.tile(_FLAT, (n * 8, 1))
-        self.trust0, self.symbol0 = np.arange(n) * 64, np.arange(n) * 8
-        self.symbol = np.zeros(n, np.int64)
+        self.lane = np.arange(n)
+        self.tables = [np.full(n, _NONE, np.uint32), np.full(n * SLOTS1, _NONE, np.uint32), np.full(n * SLOTS2, _NONE, np.uint32)]
+        self.last, self.before, self.symbol = np.zeros(n, np.uint32), np.zeros(n, np.uint32), np.zeros(n, np.intp)
+        self.by_trust, self.by_symbol = (np.tile(_FLAT, (n * k, 1)).view(_ITEM).ravel() for k in (64, 8))
+        self.targets = _TARGET.view(_ITEM).ravel()
 
     def cut(self, n: int) -> None:
         """Go on with the first n lanes; the tables stay."""
         self.n = n
-        for name in ("low", "range", "at1", "at2", "own", "last", "before", "trust0", "symbol0", "symbol"):
+        for name in ("low", "range", "lane", "last", "before", "symbol"):
             setattr(self, name, getattr(self, name)[:n])
 
     def predict(self) -> None:
-        self.slot1 = self.at1 + (self.last & np.uint32(SLOTS1 - 1))
         mixed = self.last * np.uint32(0x9E3779B1) + self.before * np.uint32(0x85EBCA77)
-        self.slot2 = self.at2 + (mixed >> np.uint32(20))
-        self.entry1, self.entry2 = self.table1[self.slot1], self.table2[self.slot2]
-        trust = (self.entry2 & 3) << 4 | (self.entry1 & 3) << 2 | self.own & 3
-        self.row_trust, self.row_symbol = self.trust0 + trust, self.symbol0 + self.symbol
-        self.cdf1, self.cdf2 = self.by_trust[self.row_trust], self.by_symbol[self.row_symbol]
-        self.cdf = (self.cdf1 + self.cdf2) >> 1
+        self.slots = self.lane, self.lane * SLOTS1 + (self.last & np.uint32(SLOTS1 - 1)), self.lane * SLOTS2 + (mixed >> np.uint32(33 - SLOTS2.bit_length()))
+        self.entries = np.empty((3, self.n), np.uint32)  # predictions of order 0, 1 and 2 with their confidence
+        for table, slot, out in zip(self.tables, self.slots, self.entries):
+            np.take(table, slot, out=out, mode="clip")
+        self.trust = self.entries & np.uint32(3)
+        self.known = self.entries >> np.uint32(2)
+        self.row_trust = (self.lane << 6) + (self.trust[2] << np.uint32(4) | self.trust[1] << np.uint32(2) | self.trust[0])
+        self.row_symbol = (self.lane << 3) + self.symbol
+        self.cdf1, self.cdf2 = (np.take(t, r, mode="clip").view(np.int16) for t, r in ((self.by_trust, self.row_trust), (self.by_symbol, self.row_symbol)))
+        self.cdf = (self.cdf1.view(np.uint16) + self.cdf2.view(np.uint16)) >> np.uint16(1)
 
     def learn(self, ids: np.ndarray, symbol: np.ndarray) -> None:
-        target = _TARGET[symbol]
-        self.by_trust[self.row_trust] = self.cdf1 + ((target - self.cdf1) >> 5)
-        self.by_symbol[self.row_symbol] = self.cdf2 + ((target - self.cdf2) >> 5)
-        self.table1[self.slot1] = _moved(self.entry1, ids)
-        self.table2[self.slot2] = _moved(self.entry2, ids)
-        self.own = _moved(self.own, ids)
+        target = np.take(self.targets, symbol, mode="clip").view(np.int16)
+        for table, row, cdf in ((self.by_trust, self.row_trust, self.cdf1), (self.by_symbol, self.row_symbol, self.cdf2)):
+            step = target - cdf
+            step >>= _RATE
+            step += cdf
+            table[row] = step.view(_ITEM)
+        # a right prediction gains confidence, a wrong one loses it, or its place to the id that came
+        doubted = np.where(self.trust > 0, self.entries - np.uint32(1), ids << np.uint32(2))
+        moved = np.where(self.known == ids, self.entries + (self.trust < 3), doubted)
+        for table, slot, entry in zip(self.tables, self.slots, moved):
+            table[slot] = entry
         self.before, self.last, self.symbol = self.last, ids, symbol
 
     def narrow(self, symbol: np.ndarray) -> None:
         """Take the symbol's part of the range."""
-        where = np.arange(self.n)
-        start = self.cdf[where, symbol]
-        end = np.where(symbol < 7, self.cdf[where, np.minimum(symbol + 1, 7)], 65536)
-        step = self.range >> np.uint64(16)
-        self.low = self.low + step * start.astype(_U64)
-        self.range = step * (end - start).astype(_U64)
+        at = (self.lane << 3) + symbol
+        start = np.take(self.cdf, at, mode="clip").astype(_U64)
+        end = np.where(symbol < 7, np.take(self.cdf, at + 1, mode="clip"), _TOTAL).astype(_U64)
+        step = self.range >> _SHIFT
+        self.low = self.low + step * start
+        self.range = step * (end - start)
+
+    def pick(self, code: np.ndarray) -> np.ndarray:
+        """The symbol in whose part of the range a code lies."""
+        place = np.minimum((code - self.low) // (self.range >> _SHIFT), np.uint64(_TOTAL - 1)).astype(np.uint16)
+        begun = (self.cdf.reshape(-1, 8) <= place[:, None]).view(_U64).ravel()  # a byte for each start
+        return np.bitwise_count(begun).astype(np.intp) - 1
 
     def full(self) -> np.ndarray:
         """Lanes whose top word is settled, or is made so by giving up the part beyond it."""
@@ -92,13 +107,6 @@ class _Lanes:
         return low >> _WORD
 
 
-def _moved(entry: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """Predictions (id and confidence) after the id that came."""
-    trust = entry & 3
-    right = (entry >> 2) == ids
-    return np.where(right, entry + (trust < 3), np.where(trust > 0, entry - 1, ids << 2)).astype(np.uint32)
-
-
 def _kinds(ids: np.ndarray) -> np.ndarray:
     return np.searchsorted(np.array([1 << 8, 1 << 10, 1 << 12, 1 << 14], np.uint32), ids, side="right") + 3
 
@@ -116,8 +124,8 @@ def encode_blocks(ids: np.ndarray, counts: np.ndarray) -> list[bytes]:
     """``ids``: a row a block, ``counts``: how many of a row hold, not rising."""
     lanes = _Lanes(len(counts))
     out = np.zeros((len(counts), int(ids.shape[1] * 1.6) + 16), np.uint32)
-    done = np.zeros(len(counts), np.int64)
-    columns, kinds = np.ascontiguousarray(ids.T.astype(np.uint32)), np.ascontiguousarray(_kinds(ids.T))
+    done = np.zeros(len(counts), np.intp)
+    columns = np.ascontiguousarray(ids.T.astype(np.uint32))
 
     def flush() -> None:
         if len(i := lanes.full()):
@@ -131,14 +139,16 @@ def encode_blocks(ids: np.ndarray, counts: np.ndarray) -> list[bytes]:
             lanes.cut(active)
         now = columns[t, :active]
         lanes.predict()
-        symbol = np.where(lanes.own >> 2 == now, 2, kinds[t, :active])
-        symbol = np.where(lanes.entry1 >> 2 == now, 1, symbol)
-        symbol = np.where(lanes.entry2 >> 2 == now, 0, symbol)
+        symbol = _kinds(now)
+        for order, right in enumerate(lanes.known == now):
+            symbol[right] = 2 - order
         lanes.narrow(symbol)
         flush()
         bits = _BITS[symbol]
-        lanes.range = lanes.range >> bits
-        lanes.low = lanes.low + np.where(bits > 0, lanes.range * now, 0).astype(_U64)
+        i = np.flatnonzero(bits)
+        part = lanes.range[i] >> bits[i]
+        lanes.range[i] = part
+        lanes.low[i] += part * now[i]
         flush()
         lanes.learn(now, symbol)
     if lanes.n:
@@ -152,11 +162,11 @@ def encode_blocks(ids: np.ndarray, counts: np.ndarray) -> list[bytes]:
 def decode_blocks(parts: list[bytes], counts: np.ndarray) -> np.ndarray:
     """The ids, a row a block; ``counts`` must not rise."""
     n, width = len(parts), int(counts[0]) if len(counts) else 0
-    words = np.zeros((n, max([len(p) // 4 for p in parts], default=0) + 4), np.uint64)
+    words = np.zeros((n, max([len(p) // 4 for p in parts], default=0) + 4), np.uint32)
     for i, p in enumerate(parts):
         words[i, : len(p) // 4] = np.frombuffer(p, "<u4")
     lanes = _Lanes(n)
-    code = words[:, 0] << _WORD | words[:, 1]
+    code = words[:, 0].astype(_U64) << _WORD | words[:, 1]
     at = np.full(n, 2)
     out = np.zeros((width, n), np.uint32)
 
@@ -170,20 +180,18 @@ def decode_blocks(parts: list[bytes], counts: np.ndarray) -> np.ndarray:
         if active < lanes.n:
             lanes.cut(active)
         lanes.predict()
-        offset = code[:active] - lanes.low
-        step = lanes.range >> np.uint64(16)
-        symbol = (step[:, None] * lanes.cdf[:, 1:].astype(_U64) <= offset[:, None]).sum(axis=1)
+        symbol = lanes.pick(code[:active])
         lanes.narrow(symbol)
         refill()
         bits = _BITS[symbol]
-        lanes.range = lanes.range >> bits
-        known = np.where(symbol == 0, lanes.entry2, np.where(symbol == 1, lanes.entry1, lanes.own)) >> 2
+        now = np.take(lanes.known, (2 - np.minimum(symbol, 2)) * active + lanes.lane, mode="clip")
         i = np.flatnonzero(bits)
-        value = (code[i] - lanes.low[i]) // lanes.range[i]
-        known[i] = value
-        lanes.low[i] += lanes.range[i] * value
+        part = lanes.range[i] >> bits[i]
+        value = (code[i] - lanes.low[i]) // part
+        now[i] = value
+        lanes.range[i] = part
+        lanes.low[i] += part * value
         refill()
-        now = known.astype(np.uint32)
         out[t, :active] = now
         lanes.learn(now, symbol)
     return out.T
