@@ -93,8 +93,6 @@ def _pieces(path: str, capacity: int, end_id: int, with_ids: bool):
                 columns = [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))]
                 yield pa.RecordBatch.from_arrays(columns[: 6 if with_ids else 5], ["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: 6 if with_ids else 5])
 
-        encode.rest()
-
     return run
 
 

@@ -47,7 +47,6 @@ def _shards(path: str, end_id: int, shard_ids: int):
                         doc_ids, ids, size, number = [], [], 0, number + 1
         if doc_ids:
             yield close()
-        encode.rest()
 
     return run
 

@@ -8,7 +8,7 @@ from array import array
 from functools import lru_cache
 
 #: Stretches of text in each of two generations that a worker process keeps.
-MOST_KEPT = 150_000
+MOST_KEPT = 400_000
 #: A byte-level BPE pre-tokenizer always cuts before white space that follows anything
 #: else, and between letters and a full stop or comma that ends a word.
 _STRETCH = re.compile(
@@ -95,11 +95,6 @@ class Encoder:
         return out
 
 
-    def rest(self) -> None:
-        """Let go of the older generation between tasks."""
-        self.words.old, self.parts.old = {}, {}
-
-
 @lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
     return Encoder(path)
