@@ -17,7 +17,7 @@ from causeway.llm.tables import rows_of
 from causeway.llm.tokens import default_path, grouped
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-#: Words a worker keeps, words of one query, and bytes of the longest word it takes.
+#: Words of each of two generations that a worker keeps, words of one query, and bytes of the longest word it takes.
 MOST_KEPT, WORDS_A_QUERY, LONGEST = 400_000, 20_000, 256
 
 #: Token-position rows meet the merge table; each word's leftmost pair of least rank is
@@ -85,6 +85,7 @@ class Codec:
 
         self.ranks, self.pattern = read_ranks(path), regex.compile(pattern)
         self.kept: dict[str, tuple[bytes, bytes]] = {}
+        self.old: dict[str, tuple[bytes, bytes]] = {}
         self.single = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
         self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "500MB", "temp_directory": ""})
         self.db.register("merges_in", merge_table(self.ranks))
@@ -116,10 +117,12 @@ class Codec:
     def encode(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
         """Of each text its ids: as little-endian unsigned 32-bit integers, and in decimals joined by commas."""
         parts = [self.pattern.findall(t) for t in texts]
-        new = list(set().union(*parts).difference(self.kept)) if parts else []
-        if len(self.kept) + len(new) > MOST_KEPT:
-            self.kept.clear()
-            new = list(set().union(*parts))
+        wanted = set().union(*parts)
+        missing = wanted.difference(self.kept)
+        if len(self.kept) + len(missing) > MOST_KEPT:  # the older generation goes
+            self.old, self.kept, missing = self.kept, {}, wanted
+        self.kept.update((part, self.old[part]) for part in missing.intersection(self.old))
+        new = list(missing.difference(self.old))
         for part, ids in zip(new, self.contract([p.encode() for p in new])):
             self.kept[part] = np.array(ids, "<u4").tobytes(), b",".join(b"%d" % i for i in ids)
         got = [[self.kept[p] for p in part] for part in parts]
