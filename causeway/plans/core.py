@@ -101,11 +101,11 @@ query("i01_connected_components", """, edges AS (SELECT case_id, source_ref AS a
     SELECT case_id, node_id, min(label) AS component FROM reach GROUP BY ALL""".replace("reach(case_id", "reach(case_id"))(
     lambda t: assembly.components_of(t["nodes"], t["relations"].where("kind = 'parent_of'")))
 ORACLE_SQL["i01_connected_components"] = ORACLE_SQL["i01_connected_components"].replace("WITH ev", "WITH RECURSIVE ev", 1)
-query("i02_neighborhood", DERIVED + """, both_ways AS (SELECT source_ref AS a, target_ref AS b, relation_id FROM every_rel UNION ALL SELECT target_ref, source_ref, relation_id FROM every_rel),
+query("i02_neighborhood", """, both_ways AS (SELECT source_ref AS a, target_ref AS b, relation_id FROM relations UNION ALL SELECT target_ref, source_ref, relation_id FROM relations),
     center AS (SELECT min(node_id) AS entity FROM nodes), one AS (SELECT entity FROM center UNION SELECT b FROM both_ways JOIN center ON a = entity),
     two AS (SELECT entity FROM one UNION SELECT b FROM both_ways JOIN one ON a = entity)
     SELECT DISTINCT b.relation_id FROM both_ways b JOIN two ON b.a = two.entity WHERE b.a IN (FROM one)""")(
-    lambda t: assembly.neighborhood(graph(t)["graph"]["relations"], t["nodes"].agg(F.min("node_id")).first()[0], 2)[1].select("relation_id").distinct())
+    lambda t: assembly.neighborhood(t["relations"], t["nodes"].agg(F.min("node_id")).first()[0], 2)[1].select("relation_id").distinct())
 
 # invariants: statuses and references
 _IN = """, res AS (SELECT c.case_id, {status} AS status, {nodes} AS node_refs, {effects} AS effect_refs, {contexts} AS context_refs, {evidence} AS evidence_refs FROM cases c {join})
