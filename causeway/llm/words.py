@@ -63,6 +63,12 @@ def _words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return mix(np.add.reduceat(letters, first) + sizes.astype(np.uint64)), counts
 
 
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of some texts in order, and how many each text has."""
+    with np.errstate(over="ignore"):
+        return _words(texts)
+
+
 def shingles(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the shingles of all texts in order, and how many each text has (0 without a word)."""
     out, sizes, group, size = [], [], [], 0

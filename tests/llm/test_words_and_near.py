@@ -175,3 +175,35 @@ def test_split_by_keys_loses_nothing(spark):
     there, rest = split_by_keys(rows, F.col("k"), keys, both=True)
     assert there.count() + rest.count() == 1000
     assert rest.join(keys, "k").count() == 0
+
+
+def brute_passages(docs, least):
+    """Words in a run of ``least`` that came before, per document in the order given."""
+    seen, gone = set(), {}
+    for key, text in docs:
+        w = split(text)
+        for s in range(len(w) - least + 1):
+            run = tuple(w[s : s + least])
+            if run in seen:
+                gone.setdefault(key, set()).update(range(s, s + least))
+            seen.add(run)
+    return gone
+
+
+def test_substring_dedup_cuts_passages_wherever_they_stand(spark):
+    rng = random.Random(11)
+    p, q = sentence(rng, 54).split(" "), sentence(rng, 130).split(" ")
+    ragged = lambda words: "".join(w + rng.choice([" ", " ", " ", "\n", "  "]) for w in words).strip()
+    around = lambda words: ragged([*sentence(rng, 60).split(" "), *words, *sentence(rng, 45).split(" ")])
+    docs = [(i, around(rng.choice([p, p[:51], p[3:53], p[:49], q[:60], q[40:], q[20:100], []]))) for i in range(40)]
+    docs += [(40, around(p + q + p)), (41, " ".join(["same"] * 60)), (42, " ".join(["on", "off"] * 45)), (43, " ".join(p)), (44, ragged(p[:49])), (45, None)]
+    got = {r.doc_id: r for r in substring_dedup(spark.createDataFrame([*docs, docs[43]], "doc_id long, text string")).collect()}
+    want = brute_passages(docs, 50)
+    assert 41 in want and 42 in want and 43 in want and 44 not in want
+    for key, text in docs:
+        gone = {i for s in got[key].spans or () for i in range(s["first"], s["last"] + 1)}
+        assert gone == want.get(key, set())
+        assert split(got[key].text) == [w for i, w in enumerate(split(text)) if i not in gone]
+        assert bool(gone) == (got[key].n_removed > 0)
+        if not gone:
+            assert got[key].text == text
