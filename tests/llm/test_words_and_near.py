@@ -207,3 +207,21 @@ def test_substring_dedup_cuts_passages_wherever_they_stand(spark):
         assert bool(gone) == (got[key].n_removed > 0)
         if not gone:
             assert got[key].text == text
+
+
+def test_line_dedup_finds_short_runs_of_many_words(spark):
+    rng = random.Random(21)
+    pool = [sentence(rng, n) for n in (4, 8, 11, 12, 13, 19, 20, 30)]
+    docs = [(i, "\n".join(rng.choice([*pool, "", sentence(rng, 6), sentence(rng, 6)]) for _ in range(rng.randrange(1, 9)))) for i in range(60)]
+    got = {r.doc_id: r for r in line_dedup(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    seen, want = set(), {}
+    for key, text in docs:
+        lines = [(i, x) for i, x in enumerate(text.split("\n")) if x]
+        for s in range(len(lines)):
+            for n in (1, 2, 3):
+                run = tuple(x for _, x in lines[s : s + n])
+                if len(run) == n and (n == 3 or sum(len(split(x)) for x in run) >= 20):
+                    if run in seen:
+                        want.setdefault(key, set()).update(range(lines[s][0], lines[s + n - 1][0] + 1))
+                    seen.add(run)
+    assert {k: set(r.places) for k, r in got.items() if r.places} == want != brute_lines(docs, 3)
