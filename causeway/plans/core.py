@@ -107,6 +107,11 @@ query("i02_neighborhood", """, both_ways AS (SELECT source_ref AS a, target_ref
     SELECT DISTINCT b.relation_id FROM both_ways b JOIN two ON b.a = two.entity WHERE b.a IN (FROM one)""")(
     lambda t: assembly.neighborhood(t["relations"], t["nodes"].agg(F.min("node_id")).first()[0], 2)[1].select("relation_id").distinct())
 
+# over recorded and derived relations; tests hold these against brute force
+query("i08_components_of_all_relations")(lambda t: assembly.components_of(t["nodes"], graph(t)["graph"]["relations"]))
+query("i09_neighborhood_of_all_relations")(
+    lambda t: assembly.neighborhood(graph(t)["graph"]["relations"], t["nodes"].agg(F.min("node_id")).first()[0], 2)[1].select("relation_id").distinct())
+
 # invariants: statuses and references
 _IN = """, res AS (SELECT c.case_id, {status} AS status, {nodes} AS node_refs, {effects} AS effect_refs, {contexts} AS context_refs, {evidence} AS evidence_refs FROM cases c {join})
 SELECT case_id, status, coalesce(node_refs, '') AS node_refs, coalesce(effect_refs, '') AS effect_refs, coalesce(context_refs, '') AS context_refs, coalesce(evidence_refs, '') AS evidence_refs FROM res"""
