@@ -87,6 +87,7 @@ table_query("m02_rule_matching", f"SELECT {_ACT} AS action, count(*) AS n FROM d
 QUERIES["g05_first_rule_by_priority"], ORACLE_SQL["g05_first_rule_by_priority"] = QUERIES["m02_rule_matching"], ORACLE_SQL["m02_rule_matching"]
 table_query("m03_redaction", f"SELECT doc_id, '[text length=' || length(text) || ' sha256=' || left(sha256(text), 12) || ']' AS text, source FROM documents WHERE NOT regexp_matches(text, '{_EMAIL}')")(
     lambda r: privacy.redact(_docs(r).where(~F.col("text").rlike(_EMAIL)), "doc_id", "shareable"))
+table_query("m08_redaction_of_all_rows")(lambda r: privacy.redact(_docs(r), "doc_id", "shareable"))
 table_query("m04_transformation_records")(lambda r: privacy.transformations(_docs(r), "doc_id", "shareable"))
 table_query("e12_redaction_summary", f"SELECT {_ACT} AS action, count(*) AS n, CASE WHEN action = 'tokenize' THEN count(DISTINCT text) ELSE 0 END AS tokens FROM documents GROUP BY ALL".replace("CASE WHEN action = 'tokenize' THEN count(DISTINCT text) ELSE 0 END", f"count(DISTINCT CASE WHEN regexp_matches(text, '{_EMAIL}') THEN text END)"))(
     lambda r: privacy.redaction_summary(_docs(r), "doc_id", "shareable"))

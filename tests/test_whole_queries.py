@@ -1,6 +1,13 @@
 """Queries without SQL that do the whole job, against brute force over the smallest tables."""
 
+import hashlib
+import hmac
+import re
+
+import pyarrow.parquet as pq
+
 from causeway import registry
+from causeway.operators import privacy
 from causeway.plans.core import graph
 from causeway.plans.views import tables
 
@@ -29,3 +36,19 @@ def test_components_and_neighborhood_walk_all_relations(spark, sf_dir):
     assert {r.relation_id for r in registry.QUERIES["i09_neighborhood_of_all_relations"](spark, sf_dir).collect()} == want
     recorded = t["relations"].where("kind = 'parent_of'")
     assert len(rels) > t["relations"].count() > recorded.count()  # the derived ones are walked
+
+
+def test_redaction_covers_rows_with_addresses(spark, sf_dir):
+    rows = pq.read_table(f"{sf_dir}/documents.parquet").to_pylist()
+
+    def redacted(text):
+        if text is None:
+            return None
+        if re.search(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", text):
+            return "contact_" + hmac.new(privacy.KEY, b"contact|" + text.encode(), hashlib.sha256).hexdigest()[:14]
+        return f"[text length={len(text)} sha256={hashlib.sha256(text.encode()).hexdigest()[:12]}]"
+
+    want = sorted((r["doc_id"], redacted(r["text"]) or "", r["source"] or "") for r in rows)
+    assert any(t.startswith("contact_") for _, t, _ in want)
+    got = registry.QUERIES["m08_redaction_of_all_rows"](spark, sf_dir).collect()
+    assert sorted((r.doc_id, r.text or "", r.source or "") for r in got) == want
