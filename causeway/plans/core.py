@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from causeway.operators import assembly, invariants
 from causeway.plans.views import SQL_VIEWS, sql_id, tables
+from causeway.session import checkpointed
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -108,9 +109,9 @@ query("i02_neighborhood", """, both_ways AS (SELECT source_ref AS a, target_ref
     lambda t: assembly.neighborhood(t["relations"], t["nodes"].agg(F.min("node_id")).first()[0], 2)[1].select("relation_id").distinct())
 
 # over recorded and derived relations; tests hold these against brute force
-query("i08_components_of_all_relations")(lambda t: assembly.components_of(t["nodes"], graph(t)["graph"]["relations"]))
+query("i08_components_of_all_relations")(lambda t: assembly.components_of(t["nodes"], checkpointed(graph(t)["graph"]["relations"])))
 query("i09_neighborhood_of_all_relations")(
-    lambda t: assembly.neighborhood(graph(t)["graph"]["relations"], t["nodes"].agg(F.min("node_id")).first()[0], 2)[1].select("relation_id").distinct())
+    lambda t: assembly.neighborhood(checkpointed(graph(t)["graph"]["relations"]), t["nodes"].agg(F.min("node_id")).first()[0], 2)[1].select("relation_id").distinct())
 
 # invariants: statuses and references
 _IN = """, res AS (SELECT c.case_id, {status} AS status, {nodes} AS node_refs, {effects} AS effect_refs, {contexts} AS context_refs, {evidence} AS evidence_refs FROM cases c {join})
