@@ -126,10 +126,31 @@ def test_bpe_equals_tiktoken(docs):
     assert encode_decode(docs.limit(0)).count() == 0
 
 
-def test_long_words_contract_alike():
+def _by_hand(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """The leftmost pair of least rank, again and again."""
+    parts = [bytes([b]) for b in word]
+    while True:
+        pairs = [(ranks[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in ranks]
+        if not pairs:
+            return [ranks[p] for p in parts]
+        _, i = min(pairs)
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+
+
+def test_words_of_all_lengths_contract_alike(monkeypatch):
     codec = Codec(default_path(VOCABULARY), public_tokenizers.PATTERN)
-    from causeway.llm.bpe import contract_long
-
     rng = np.random.default_rng(3)
-    words = [bytes(rng.choice(list(b"abcdeth n"), n).astype(np.uint8)) for n in (2, 7, 30, 120, 250)] + [b"a" * 200, bytes(range(200))]
-    assert codec.contract(words) == [[codec.ranks[w]] if w in codec.ranks else contract_long(w, codec.ranks) for w in words]
+    words = [bytes(rng.choice(list(b"abcdeth n"), n).astype(np.uint8)) for n in (1, 2, 7, 30, 120, 250, 257, 400)]
+    words += [b"", b"a" * 200, b"a" * 301, bytes(range(200)), "\u6f22\u5b57".encode() * 60]
+    want = [[codec.ranks[w]] if w in codec.ranks else _by_hand(w, codec.ranks) for w in words]
+    for longest in (256, 5):  # the second sends nearly all through the recursion over rows
+        monkeypatch.setattr("causeway.llm.bpe.LONGEST", longest)
+        assert [np.frombuffer(x, "<u4").tolist() for x in codec.contract(words)] == want
+
+
+def test_bpe_of_repeats_and_clashing_names(spark):
+    rows = [(1, "same text", b"x", 7), (1, "same text", b"y", 7), (None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, ids binary, n_tokens long")
+    got = encode_decode(docs).collect()
+    assert sorted(r.doc_id is None for r in got) == [False, False, True] and [r.n_tokens for r in got if r.doc_id is None] == [0]
+    assert all(r.n_tokens == len(r.ids) // 4 for r in got) and len({r.ids_sha256 for r in got}) == 2
