@@ -20,7 +20,7 @@ from causeway.session import shared_folder
 
 END_ID = 2
 #: Ids of a shard, unless one document has more.
-SHARD_IDS = 1 << 23
+SHARD_IDS = 1 << 22
 
 
 def _shards(path: str, end_id: int, shard_ids: int):

@@ -80,21 +80,42 @@ def test_packing_of_nothing_and_of_repeats(spark, docs):
 
 def test_range_coder_round_trip():
     rng = np.random.default_rng(7)
-    for n in (0, 1, 4096, 4097, 30000):
-        for ids in (rng.integers(0, 1 << 20, n), np.minimum(rng.zipf(1.4, n), 50000), np.full(n, 9), np.arange(n) % 3):
-            data = write_shard([5, None], np.array([n, 0]), ids.astype(np.uint32))
-            doc_ids, sizes, got = read_shard(data)
-            assert doc_ids == [5, None] and sizes.tolist() == [n, 0] and (got == ids).all()
-    assert len(write_shard([1], np.array([30000]), (np.arange(30000) % 3).astype(np.uint32))) < 3000
+    for n in (0, 1, 2, 1024, 1025, 30000):
+        for ids in (rng.integers(0, 1 << 32, n), rng.integers(0, 1 << 20, n), np.minimum(rng.zipf(1.4, n), 50000), np.full(n, 9), np.arange(n) % 3):
+            for block in (1 << 22, 5000):
+                data = write_shard([5, None], np.array([n, 0]), ids.astype(np.uint32), block)
+                doc_ids, sizes, got = read_shard(data)
+                assert doc_ids == [5, None] and sizes.tolist() == [n, 0] and (got == ids).all()
+    assert len(write_shard([1], np.array([30000]), (np.arange(30000) % 3).astype(np.uint32))) < 1500
+
+
+def _entropy(ids: np.ndarray) -> float:
+    p = np.unique(ids, return_counts=True)[1] / len(ids)
+    return float(-(p * np.log2(p)).sum())
+
+
+def test_bits_an_id_stay_below_the_entropy_of_order_0():
+    import pyarrow.parquet as pq
+
+    encode = encoder(default_path())
+    texts = [t or "" for t in pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"]).column("text").to_pylist()[:400]]
+    ids = np.frombuffer(b"".join(encode(texts)), "<u4")
+    assert len(write_shard([1], np.array([len(ids)]), ids)) * 8 < 0.9 * len(ids) * _entropy(ids)
+    rng = np.random.default_rng(5)  # what follows an id is one of four ids: order 1 knows it, order 0 does not
+    chain = np.zeros(100_000, np.uint32)
+    after = rng.integers(0, 500, (500, 4))
+    for i in range(1, len(chain)):
+        chain[i] = after[chain[i - 1], rng.integers(4)]
+    assert len(write_shard([1], np.array([len(chain)]), chain)) * 8 < 3 * len(chain) < 0.5 * len(chain) * _entropy(chain)
 
 
 def test_damage_is_seen():
-    data = bytearray(write_shard([1], np.array([5000]), np.arange(5000, dtype=np.uint32)))
-    data[-40] ^= 1
-    with pytest.raises(ValueError):
-        read_shard(bytes(data))
-    with pytest.raises(ValueError):
-        write_shard([1], np.array([1]), np.array([1 << 20], np.uint32))
+    good = write_shard([1], np.array([5000]), np.arange(5000, dtype=np.uint32))
+    for place in (2, 30, len(good) // 2, len(good) - 40):
+        data = bytearray(good)
+        data[place] ^= 1
+        with pytest.raises(ValueError):
+            read_shard(bytes(data))
 
 
 def test_token_files_in_order(spark, docs, ids, tmp_path):
@@ -154,3 +175,10 @@ def test_bpe_of_repeats_and_clashing_names(spark):
     got = encode_decode(docs).collect()
     assert sorted(r.doc_id is None for r in got) == [False, False, True] and [r.n_tokens for r in got if r.doc_id is None] == [0]
     assert all(r.n_tokens == len(r.ids) // 4 for r in got) and len({r.ids_sha256 for r in got}) == 2
+
+
+def test_token_files_of_repeats_and_clashing_names(spark):
+    rows = [(1, "same text", 5, b"x"), (1, "same text", 6, b"y"), (None, None, 7, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, start long, data binary")
+    got = sorted(through_files(docs).collect(), key=lambda r: r.start)
+    assert [(r.doc_id, r.start) for r in got] == [(None, 0), (1, 1), (1, 1 + got[1].n_tokens)] and got[1].ids == got[2].ids
