@@ -35,32 +35,24 @@ def _escape_role(role: Column) -> Column:
 def fold_events(events: DataFrame) -> DataFrame:
     """(conv_id, place, role, text): the final messages of event logs.
 
-    ``events`` has conv_id, seq, kind, msg_id, role, text. In the order of ``seq`` a
-    message's "message", "edit" and "regenerate" events set its text anew and its
-    "delta" events add to it; a "delete" removes it unless a later event sets it anew.
-    A message stands where its first event does and has the first role given. Events
-    without a msg_id are whole messages of their own. Null text counts as empty, a null
-    or unknown kind as "message"; equal seq are taken in the order of (role, text).
+    ``events`` has conv_id, seq, kind, msg_id, role, text; ``seq`` is of any orderable
+    type. In its order a message's "message", "edit" and "regenerate" events set its text
+    anew and its "delta" events add to it; a "delete" removes it, deltas after it
+    included, unless a later event sets it anew. A message stands where its first event
+    does and has the first role given. Events without a msg_id are whole messages of
+    their own. Null text counts as empty, a null or unknown kind as "message"; equal seq
+    are taken in the order of (role, text, kind). The events of one message meet in one task.
     """
     kind = F.when(F.col("kind").isin("delta", "delete"), F.col("kind")).otherwise("message")
     rows = events.select("conv_id", "seq", kind.alias("kind"), "msg_id", "role", F.coalesce("text", F.lit("")).alias("text"))
     whole = rows.where("msg_id is null and kind <> 'delete'").select("conv_id", F.col("seq").alias("place"), "role", "text")
-    kept = rows.where("msg_id is not null")
-    resets = kept.groupBy("conv_id", "msg_id").agg(
-        F.min("seq").alias("place"), F.max(F.when(F.col("kind") != "delta", F.struct("seq", "role", "text"))).alias("reset"),
-        F.max_by("kind", F.when(F.col("kind") != "delta", F.struct("seq", "role", "text"))).alias("last"),
-    )
-    after = F.col("reset").isNull() | (F.struct("e.seq", "e.role", "e.text") >= F.col("reset"))
-    joined = kept.alias("e").join(
-        resets.alias("r"), F.col("e.conv_id").eqNullSafe(F.col("r.conv_id")) & (F.col("e.msg_id") == F.col("r.msg_id"))
-    )
-    parts = F.sort_array(F.collect_list(F.when(after & (F.col("e.kind") != "delete"), F.struct("e.seq", "e.role", "e.text"))))
-    roles = F.min_by("e.role", F.when(F.col("e.role").isNotNull(), F.struct("e.seq", "e.role")))
-    folded = (
-        joined.groupBy("e.conv_id", "e.msg_id", "place", "last")
-        .agg(parts.alias("parts"), roles.alias("role"))
-        .where("not (coalesce(last, '') = 'delete' and size(parts) = 0)")
-        .select("conv_id", "place", "role", F.array_join(F.transform("parts", lambda p: p["text"]), "").alias("text"))
+    logs = rows.where("msg_id is not null").groupBy("conv_id", "msg_id").agg(F.sort_array(F.collect_list(F.struct("seq", "role", "text", "kind"))).alias("log"))
+    size = F.size("log")
+    behind = F.array_position(F.reverse(F.transform("log", lambda e: e["kind"] != "delta")), True)  # 1: the last event; 0: deltas alone
+    set_anew = logs.withColumn("start", F.when(behind > 0, (size - behind + 1).cast("int")).otherwise(1))
+    folded = set_anew.where(F.element_at("log", F.col("start"))["kind"] != "delete").select(
+        "conv_id", F.element_at("log", 1)["seq"].alias("place"), F.get(F.filter(F.transform("log", lambda e: e["role"]), lambda r: r.isNotNull()), 0).alias("role"),
+        F.array_join(F.transform(F.slice("log", F.col("start"), size), lambda e: e["text"]), "").alias("text"),
     )
     return folded.unionByName(whole)
 
@@ -114,9 +106,29 @@ def read_chats(formatted: DataFrame) -> DataFrame:
 
 
 def conversation_events(conversations: DataFrame) -> DataFrame:
-    """A table of (conv_id, turn, role, text) as an event log of whole messages."""
-    return conversations.select(
-        "conv_id", F.col("turn").alias("seq"), F.lit("message").alias("kind"), F.lit(None).cast("string").alias("msg_id"), "role", "text"
+    """A table of (conv_id, turn, role, text) as the event log by which its messages come about.
+
+    A hash of the row says how: written whole; streamed in three deltas; drafted, then
+    edited, with a second message that is deleted again; or streamed wrongly and
+    regenerated. Only the first event gives the role. ``seq`` is (turn, step). Each row,
+    repeated ones too, is a message of its own, and folding gives its text back.
+    """
+    text = F.coalesce("text", F.lit(""))
+    third = F.ceil(F.length(text) / 3).cast("int")
+    pieces = [F.substr(text, F.lit(1), third), F.substr(text, third + 1, third), F.substr(text, 2 * third + 1)]
+    event = lambda step, kind, said, message=0: F.struct(
+        F.lit(step).alias("step"), F.lit(kind).alias("kind"), F.lit(message).alias("message"), said.alias("text")
+    )
+    whole = F.array(event(0, "message", text))
+    streamed = F.array(event(0, "message", F.lit("")), *[event(i + 1, "delta", p) for i, p in enumerate(pieces)])
+    edited = F.array(event(0, "message", pieces[0]), event(1, "delta", pieces[2]), event(2, "message", text, 1), event(3, "edit", text), event(4, "delete", F.lit(""), 1))
+    again = F.array(event(0, "message", pieces[2]), event(1, "delta", pieces[1]), event(2, "regenerate", pieces[0]), event(3, "delta", pieces[1]), event(4, "delta", pieces[2]))
+    how = F.pmod(F.xxhash64("conv_id", "turn", "role", "text"), F.lit(4))
+    log = F.when(how == 0, whole).when(how == 1, streamed).when(how == 2, edited).otherwise(again)
+    rows = conversations.select("conv_id", "turn", "role", F.monotonically_increasing_id().alias("row"), log.alias("log"))
+    return rows.select("conv_id", "turn", "role", "row", F.explode("log").alias("e")).select(
+        "conv_id", F.struct("turn", F.col("e.step").alias("step")).alias("seq"), F.col("e.kind").alias("kind"), (2 * F.col("row") + F.col("e.message")).alias("msg_id"),
+        F.when(F.col("e.step") == 0, F.col("role")).alias("role"), F.col("e.text").alias("text"),
     )
 
 

@@ -30,6 +30,20 @@ def test_fold_of_deltas_edits_and_regenerations(spark):
     assert got == [(0, 1, None, "x"), (1, 1, "user", "hello"), (1, 2, "assistant", "right"), (1, 10, "user", "")]
 
 
+def test_deltas_do_not_revive_a_deleted_message(spark):
+    rows = [(1, 1, "message", "a", "user", "x"), (1, 2, "delete", "a", None, None), (1, 3, "delta", "a", None, "x"), (1, 4, "delete", "b", None, None), (1, 5, "message", "b", "user", "back"), (1, 6, "delta", "c", "user", "only deltas")]
+    got = sorted((r.place, r.text) for r in chat.fold_events(spark.createDataFrame([(*r, "t", "f") for r in rows], EVENTS)).collect())
+    assert got == [(4, "back"), (6, "only deltas")]
+
+
+def test_event_logs_fold_to_the_rows_they_stand_for(spark):
+    rows = [(c, t, ["user", "assistant", None][(c + t) % 3], "" if t == 3 else None if t == 4 else f"{c} é text {t}" * (t + 1)) for c in range(12) for t in range(7)] * 2 + [(None, None, None, None)]
+    events = chat.conversation_events(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string"))
+    assert {r.kind for r in events.select("kind").distinct().collect()} == {"message", "delta", "edit", "regenerate", "delete"}
+    got = Counter((r.conv_id, r.place.turn, r.role, r.text) for r in chat.fold_events(events).collect())
+    assert got == Counter((c, t, role, text or "") for c, t, role, text in rows)
+
+
 def test_formatting_is_reversible(spark):
     texts = ["</s>[INST] ok [/INST]", "<|im_end|>\n", "\\", "a\\<|im_start|>\\\\", "", None, "<<SYS>><</SYS>>", "<<|im_end|>>", "plain\n\n", "[INST", "é<s> "]
     roles = ["user", "assistant", "us\ner\\", None, "<|im_end|>"]
