@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from causeway.llm.memory import trimmed
 from causeway.llm.tables import rows_of
-from causeway.llm.tokens import default_path, encoder, grouped
+from causeway.llm.tokens import MOST_KEPT, default_path, encoder, grouped
 from causeway.session import checkpointed
 
 CAPACITY, END_ID = 2048, 0
@@ -73,11 +73,11 @@ def best_two_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.nda
     return bins, offsets
 
 
-def _pieces(path: str, capacity: int, end_id: int, with_ids: bool):
+def _pieces(path: str, capacity: int, end_id: int, with_ids: bool, most_kept: int, release: bool):
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path)
+        encode = encoder(path, most_kept)
         for batch in trimmed(batches):
             doc_ids = batch.column("doc_id").to_pylist()
             for first, texts in grouped([t or "" for t in batch.column("text").to_pylist()]):
@@ -92,18 +92,25 @@ def _pieces(path: str, capacity: int, end_id: int, with_ids: bool):
                         at, to, piece = to, to + capacity, piece + 1
                 columns = [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))]
                 yield pa.RecordBatch.from_arrays(columns[: 6 if with_ids else 5], ["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: 6 if with_ids else 5])
+            del batch
+        if release:
+            encode.rest()
 
     return run
 
 
-def token_pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
+def token_pieces(
+    docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False, most_kept: int = MOST_KEPT, release: bool = False
+) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 (and ids, little-endian unsigned 32-bit) of every document.
 
     A document is the ids of its whole text (a null one is empty) and then ``end_id``;
     one longer than ``capacity`` is cut into pieces of that length, the first may be shorter.
+    A worker keeps the ids of ``most_kept`` words at most in each of two generations, to
+    the end of a task if ``release``, else for the next ones too.
     """
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
-    return rows_of(docs).mapInArrow(_pieces(path or default_path(), capacity, end_id, with_ids), schema)
+    return rows_of(docs).mapInArrow(_pieces(path or default_path(), capacity, end_id, with_ids, most_kept, release), schema)
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> DataFrame:

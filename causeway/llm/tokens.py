@@ -7,8 +7,8 @@ import re
 from array import array
 from functools import lru_cache
 
-#: Stretches of text in each of two generations that a worker process keeps.
-MOST_KEPT = 400_000
+#: Stretches of text, of 64 characters at most, in each of two generations that a worker process keeps; about 200 bytes each.
+MOST_KEPT = 300_000
 #: A byte-level BPE pre-tokenizer always cuts before white space that follows anything
 #: else, and between letters and a full stop or comma that ends a word.
 _STRETCH = re.compile(
@@ -72,6 +72,10 @@ class Encoder:
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that byte-level BPE shows as themselves
         hidden = [b for b in range(256) if b not in shown]
         self.letters = str.maketrans({chr(b): chr(256 + i) for i, b in enumerate(hidden)})
+        self.rest()
+
+    def rest(self) -> None:
+        """Keep nothing."""
         self.words, self.parts = _Kept(self.word, {}), _Kept(self.whole, {})
 
     def whole(self, text: str) -> list[int]:
@@ -96,8 +100,8 @@ class Encoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
-    return Encoder(path)
+def encoder(path: str, most_kept: int = MOST_KEPT) -> Encoder:
+    return Encoder(path, most_kept)
 
 
 def grouped(texts: list[str], most_chars: int = 1 << 19):
