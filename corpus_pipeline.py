@@ -19,6 +19,10 @@ from causeway.llm.substring_dedup import substring_dedup
 from causeway.session import read_table, shared_folder
 
 
+#: Words whose ids a worker keeps during packing; executors still hold much of the stages before.
+WORDS_KEPT = 100_000
+
+
 def _cleaned(docs: DataFrame, cut: DataFrame) -> DataFrame:
     """The columns of ``docs`` after lines were cut: n_chars is that of the text that is left, and a
     document of which no word is left goes."""
@@ -49,7 +53,7 @@ def paragraphs(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces of the documents, placed in sequences."""
-    return pack(token_pieces(docs))
+    return pack(token_pieces(docs, most_kept=WORDS_KEPT, release=True))
 
 
 STAGES = [("language_id", language_id), ("line_dedup", lines), ("ngram_jaccard_join", near_copies), ("substring_dedup", paragraphs), ("best_fit_packing", packing)]
