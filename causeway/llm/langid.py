@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from causeway.llm.memory import trimmed
+from causeway.llm.memory import small_batches, trimmed
 
 DIMENSIONS, CENTROIDS = 4096, 4
 #: Documents that the centroids are fitted on: a language at most, and in all. They are
@@ -127,6 +127,7 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
     no letter, which get "und" and score 0. Without labelled rows all get that. Repeated
     rows and null ids come back as they are; other columns are ignored.
     """
+    small_batches(docs.sparkSession)
     model = model or train(docs)
     return docs.select("doc_id", "text").mapInArrow(_identify(model), "doc_id long, lang_pred string, score double, rejected boolean")
 
@@ -155,6 +156,7 @@ def _identify(model: Model | None):
 
 def accepted(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """The rows of ``docs``, with all columns, that :func:`identify` does not reject; no shuffle."""
+    small_batches(docs.sparkSession)
     model = model or train(docs)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -28,7 +28,7 @@ from causeway.operators.graph import contract_components
 from causeway.session import checkpointed
 
 #: Units in a block: at least, and at most (a tile holds two blocks).
-LEAST_BLOCK, MOST_BLOCK = 256, 2048
+LEAST_BLOCK, MOST_BLOCK = 256, 1024
 
 
 @dataclass(frozen=True)
@@ -94,7 +94,8 @@ def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
     keep = shared[column]
     owner, column = owner[keep], number[column[keep]]
     n = int(shared.sum())
-    got = np.zeros((m, m))
+    exact = np.float32 if int(times.sum()) < 1 << 24 else np.float64  # counts that the type holds exactly
+    got = np.zeros((m, m), exact)
     if not n:
         return got
     sizes = times[shared].astype(np.float64)
@@ -128,16 +129,20 @@ def tile_links(texts: list[bytes], copies: np.ndarray, side: np.ndarray, thresho
     hashes, counts = shingles(texts)
     ends = np.cumsum(counts)
     sets = [np.unique(hashes[e - c : e]) for e, c in zip(ends, counts)]
-    sizes = np.array([len(s) for s in sets], dtype=np.float64)
+    sizes = np.array([len(s) for s in sets], dtype=np.int64)
     both = _overlaps(sets)
-    union = sizes[:, None] + sizes[None, :] - both
-    linked = (both * limit.denominator >= union * limit.numerator) & (both > 0)
+    linked = np.zeros(both.shape, bool)
+    for at in range(0, len(sets), 256):  # whole numbers in strips: an exact comparison in little memory
+        strip = both[at : at + 256].astype(np.int64)
+        union = sizes[at : at + 256, None] + sizes[None, :] - strip
+        linked[at : at + 256] = (strip * limit.denominator >= union * limit.numerator) & (strip > 0)
+    del both
     np.fill_diagonal(linked, False)
     if side.any() and not side.all():
         linked &= side[:, None] != side[None, :]
     root = np.where(linked.any(axis=1), np.arange(len(texts)), -1)
     while True:  # the least position spreads over the links
-        low = np.where(linked, root[None, :], len(texts)).min(axis=1)
+        low = np.concatenate([np.where(linked[at : at + 256], root[None, :], len(texts)).min(axis=1) for at in range(0, len(texts), 256)])
         new = np.where(root >= 0, np.minimum(root, low), -1)
         new = np.where(new >= 0, new[new], -1)
         if (new == root).all():

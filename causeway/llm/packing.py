@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from causeway.llm.memory import trimmed
+from causeway.llm.memory import trim, trimmed
 from causeway.llm.tables import rows_of
 from causeway.llm.tokens import MOST_KEPT, default_path, encoder, grouped
 from causeway.session import checkpointed
@@ -95,6 +95,8 @@ def _pieces(path: str, capacity: int, end_id: int, with_ids: bool, most_kept: in
             del batch
         if release:
             encode.rest()
+            encoder.cache_clear()
+            trim()
 
     return run
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from causeway.llm.memory import small_batches
+
 
 def without(df: DataFrame, *names: str) -> DataFrame:
     """Drop columns whose names equal, in any case, those that an operator adds."""
@@ -19,6 +21,7 @@ def text_key(text: Column) -> Column:
 
 def rows_of(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text) alone; everything an operator works on, whatever else the table has."""
+    small_batches(df.sparkSession)
     return df.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
 
 
