@@ -6,7 +6,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -104,13 +103,12 @@ def train(docs: DataFrame, dimensions: int = DIMENSIONS, of_language: int = SAMP
     chance = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, float(min(1.0, most / n)))])
     drawn = usable.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / float(1 << 30) < chance[F.col("lang")])
 
-    def features(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            frame = frame[frame["text"].map(has_letter)]
-            counts = [np.minimum(term_counts(t, dimensions), 2**31 - 1).astype("<u4").tobytes() for t in frame["text"]]
-            yield pd.DataFrame({"lang": frame["lang"], "counts": counts})
+    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in trimmed(batches):
+            rows = [(lang, np.minimum(term_counts(t, dimensions), 2**31 - 1).astype("<u4").tobytes()) for lang, t in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()) if has_letter(t)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.binary())], ["lang", "counts"])
 
-    rows = drawn.select("lang", "text").mapInPandas(features, "lang string, counts binary").collect()  # bounded by the sample
+    rows = drawn.select("lang", "text").mapInArrow(features, "lang string, counts binary").collect()  # bounded by the sample
     if not rows:
         return None
     rows.sort(key=lambda r: (r["lang"], bytes(r["counts"])))

@@ -7,7 +7,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -127,9 +126,10 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> Dat
     groups = max(1, math.ceil(kept.count() / group))
     dealt = kept.withColumn("sequence_id", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)))
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        bins, offsets = best_two_fit(rows["length"].to_numpy(), capacity)
-        return rows.assign(sequence_id=rows["sequence_id"] * (1 << 32) + bins, offset=offsets)
+    def run(rows: pa.Table) -> pa.Table:
+        bins, offsets = best_two_fit(rows.column("length").to_numpy(), capacity)
+        numbers = rows.column("sequence_id").to_numpy() * (1 << 32) + bins
+        return rows.set_column(rows.schema.get_field_index("sequence_id"), "sequence_id", pa.array(numbers)).append_column("offset", pa.array(offsets))
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema) + ", sequence_id long, offset long"
-    return dealt.groupBy("sequence_id").applyInPandas(run, schema)
+    return dealt.groupBy("sequence_id").applyInArrow(run, schema)
