@@ -20,7 +20,7 @@ from causeway.session import read_table, shared_folder
 
 
 #: Words whose ids a worker keeps during packing; executors still hold much of the stages before.
-WORDS_KEPT = 100_000
+WORDS_KEPT = 30_000
 
 
 def _cleaned(docs: DataFrame, cut: DataFrame) -> DataFrame:
