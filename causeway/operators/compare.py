@@ -24,14 +24,13 @@ _PARTS = list(WEIGHTS)
 
 def prepare(nodes: DataFrame, components: DataFrame) -> DataFrame:
     """Nodes with their semantic signature and offset from the origin of their case."""
-    kinds = components.select(F.col("component_id").alias("component_ref"), F.col("kind").alias("component_kind"))
+    kinds = components.select(F.col("component_id").alias("component_ref"), F.col("kind").alias("component_kind"), F.col("role").alias("component_role"))
     origin = F.min("start_us").over(Window.partitionBy("case_id"))
     return nodes.join(kinds, "component_ref", "left").select(
         "case_id", "node_id", "role", F.col("kind").alias("node_kind"), normalize_operation(F.col("operation")).alias("operation"),
-        F.coalesce("component_kind", F.lit("unknown")).alias("component_kind"), F.lit(None).cast("string").alias("component_role"), "logical_operation_id",
-        F.lit(None).cast("string").alias("task_name"), F.lit(None).cast("int").alias("stage"), "status", "task_attempt", "start_us",
+        F.coalesce("component_kind", F.lit("unknown")).alias("component_kind"), "component_role", "logical_operation_id", "task_name", "stage", "status", "task_attempt", "start_us",
         ((F.col("start_us") - origin) / 1000.0).alias("offset_ms"), duration_ms(F.col("start_us"), F.col("end_us")).alias("duration_ms"),
-        "tenant_id", "idempotency_key", "message_id", (F.size("observation_refs") > 0).alias("has_evidence"),
+        "tenant_id", "principal_id", "idempotency_key", "message_id", (F.size("observation_refs") > 0).alias("has_evidence"),
     )
 
 
@@ -181,7 +180,7 @@ def identity_changes(rows: DataFrame) -> DataFrame:
         differs = ~F.col(f"a_{c}").eqNullSafe(F.col(f"b_{c}"))
         return F.when(differs & ~(truthy(F.col("a_message_id")) & truthy(F.col("b_message_id"))) if c == "message_id" else differs, F.lit(c))
 
-    return rows.withColumn("changed", F.array_compact(F.array(*[change(c) for c in ("tenant_id", "idempotency_key", "task_attempt", "message_id")])))
+    return rows.withColumn("changed", F.array_compact(F.array(*[change(c) for c in ("tenant_id", "principal_id", "idempotency_key", "task_attempt", "message_id")])))
 
 
 def identity_changed(rows: DataFrame) -> DataFrame:
@@ -247,6 +246,12 @@ def divergences(pairs: DataFrame, alignments: DataFrame, left: DataFrame, right:
     return reduce(DataFrame.unionByName, parts).withColumn("_n", F.row_number().over(order)).where("_n = 1").select(DIVERGENCE)
 
 
+def in_order(rows: DataFrame) -> DataFrame:
+    """Divergences with their ``place`` in the report of their comparison: by time (null last), severity, id."""
+    order = Window.partitionBy("comparison_id").orderBy(F.coalesce("rank_ms", F.lit(float("inf"))), severity_order(F.col("severity")), "divergence_id")
+    return rows.withColumn("place", F.row_number().over(order))
+
+
 def first_meaningful(rows: DataFrame) -> DataFrame:
     """Of each comparison the earliest consequential divergence that is semantic or outcome relevant."""
     key = F.struct(F.coalesce("rank_ms", F.lit(float("inf"))).alias("r"), severity_order(F.col("severity")).alias("s"), F.col("divergence_id").alias("d"))

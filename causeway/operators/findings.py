@@ -38,7 +38,7 @@ def inspection_points(rows: DataFrame) -> DataFrame:
 def from_results(results: DataFrame) -> DataFrame:
     """A finding for every violated, contradicted or inconclusive result."""
     rows = results.where(F.col("status").isin("violated", "contradicted", "inconclusive")).join(F.broadcast(analyzer_invariants(results.sparkSession)), "invariant")
-    severity = F.when(F.col("status") == "inconclusive", "low").otherwise(F.col("severity"))
+    severity = F.when((F.col("status") == "contradicted") & (F.col("severity") != "critical"), "high").otherwise(F.col("severity"))
     return rows.select(
         "case_id", stable_id("finding", F.col("analyzer"), F.col("result_id")).alias("finding_id"), "analyzer", "category", F.col("invariant").alias("classification"),
         title_of(F.col("invariant")).alias("title"), severity.alias("severity"), "evidence_class", "confidence", "node_refs", "effect_refs",

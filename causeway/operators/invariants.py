@@ -111,12 +111,23 @@ def effect_at_most_once(t: dict) -> DataFrame:
 
 
 def effect_required_eventuality(t: dict) -> DataFrame:
-    """Every effect that is required became durable."""
-    keys = t["effects"].groupBy("case_id", "logical_effect_key").agg(
-        F.bool_or("required").alias("required"), F.bool_or(F.col("durability").isin(assembly.DURABLE)).alias("durable")
-    )
-    found = keys.groupBy("case_id").agg(F.bool_or("required").alias("any"), F.bool_or(F.col("required") & ~F.col("durable")).alias("bad"))
-    return _result(t["cases"].join(found, "case_id", "left"), _verdict(F.col("bad"), F.coalesce("any", F.lit(False))))
+    """Every effect that is required became durable.
+
+    A case's contract, where it has one (table ``expected_effects``: case_id,
+    logical_effect_key, required), says which; else the effects that are marked so.
+    """
+    key = ["case_id", "logical_effect_key"]
+    wanted = t["effects"].where("required").select(*key).distinct()
+    governed = wanted.select("case_id")
+    if "expected_effects" in t:
+        contract = t["expected_effects"]
+        named = contract.select("case_id").distinct()
+        wanted = contract.where("coalesce(required, true)").select(*key).unionByName(wanted.join(named, "case_id", "left_anti")).distinct()
+        governed = governed.unionByName(named)
+    durable = t["effects"].where(F.col("durability").isin(assembly.DURABLE)).select(*key)
+    missing = wanted.join(durable, key, "left_anti").select("case_id").distinct().withColumn("bad", F.lit(True))
+    rows = t["cases"].join(governed.distinct().withColumn("any", F.lit(True)), "case_id", "left").join(missing, "case_id", "left")
+    return _result(rows, _verdict(F.coalesce("bad", F.lit(False)), F.coalesce("any", F.lit(False))))
 
 
 def latest_producers(nodes: DataFrame) -> DataFrame:
@@ -207,8 +218,17 @@ def missing_expected_edges(expected: DataFrame, relations: DataFrame, nodes: Dat
 
 
 def observability_required_linkage(t: dict) -> DataFrame:
-    """Contradiction outranks a missing link, which outranks a graph in several parts."""
-    lost = broken_links(t["graph"]["relations"], t["nodes"]).select("case_id", F.explode(F.array("source_ref", "target_ref")).alias("ref"))
+    """Contradiction outranks a missing link, which outranks a graph in several parts.
+
+    Missing are links that had to be rebuilt, and edges that a case's contract (table
+    ``expected_edges``: case_id, source_role, target_role, kind) expects between roles
+    it has and that no recorded relation holds.
+    """
+    ends = ("case_id", "source_ref", "target_ref")
+    gaps = broken_links(t["graph"]["relations"], t["nodes"]).select(*ends)
+    if "expected_edges" in t:
+        gaps = gaps.unionByName(missing_expected_edges(t["expected_edges"], t["relations"], t["nodes"]).select(*ends))
+    lost = gaps.select("case_id", F.explode(F.array("source_ref", "target_ref")).alias("ref"))
     lost = lost.groupBy("case_id").agg(F.array_sort(F.collect_set("ref")).alias("lost"))
     against = t["observations"].where("contradiction").groupBy("case_id").agg(F.array_sort(F.collect_set("observation_id")).alias("against"))
     parts = assembly.components_of(t["nodes"], t["graph"]["relations"]).groupBy("case_id").agg(F.count_distinct("component").alias("parts"), F.array_sort(F.collect_set("node_id")).alias("all"))
@@ -268,9 +288,17 @@ def missing_evidence(t: dict, ids: list[str] | None = None) -> DataFrame:
     return have.where(F.coalesce("n", F.lit(0)) < F.col("least")).groupBy("case_id", "invariant").agg(F.array_sort(F.collect_set("entity")).alias("missing"))
 
 
+def _evaluated(t: dict, handler: Callable[[dict], DataFrame]) -> DataFrame:
+    """A handler's rows; one that fails on these tables gives "evaluation_error" for each case and holds up no other."""
+    try:
+        return handler(t).select("case_id", "status", *REFS)
+    except Exception:  # noqa: BLE001  whatever it is, the other invariants are still to be told
+        return _result(t["cases"], F.lit("evaluation_error"))
+
+
 def evaluate(t: dict, ids: list[str] | None = None) -> DataFrame:
     """One row for each case and invariant; a case that lacks evidence is inconclusive."""
-    results = [INVARIANTS[i][0](t).select("case_id", F.lit(i).alias("invariant"), F.lit(INVARIANTS[i][1]).alias("severity"), "status", *REFS) for i in select(ids)]
+    results = [_evaluated(t, INVARIANTS[i][0]).select("case_id", F.lit(i).alias("invariant"), F.lit(INVARIANTS[i][1]).alias("severity"), "status", *REFS) for i in select(ids)]
     rows = reduce(DataFrame.unionByName, results).join(missing_evidence(t, ids), ["case_id", "invariant"], "left")
     lacks, empty = F.col("missing").isNotNull(), F.array().cast("array<string>")
     status = F.when(lacks, "inconclusive").otherwise(F.col("status"))
@@ -278,7 +306,7 @@ def evaluate(t: dict, ids: list[str] | None = None) -> DataFrame:
     return rows.select(
         "case_id", "invariant", "severity", status.alias("status"), *[F.when(lacks | F.col(r).isNull(), empty).otherwise(F.col(r)).alias(r) for r in REFS],
         F.coalesce("missing", empty).alias("missing_evidence"), evidence_class(status).alias("evidence_class"),
-        F.when(weak, 0.6).otherwise(confidence(status)).alias("confidence"), stable_id("invariant-result", F.col("invariant"), F.col("case_id")).alias("result_id"),
+        F.when(weak, 0.6).when(status == "evaluation_error", 0.0).otherwise(confidence(status)).alias("confidence"), stable_id("invariant-result", F.col("invariant"), F.col("case_id")).alias("result_id"),
     )
 
 

@@ -10,14 +10,12 @@ from causeway.plans.core import BROKEN, DERIVED, EFFECT_GROUPS, ORACLE_SQL, TEMP
 from causeway.plans.views import sql_id
 
 _TITLE = "array_to_string(list_transform(string_split(regexp_replace(invariant, '[._-]+', ' ', 'g'), ' '), lambda x: upper(x[1]) || lower(x[2:])), ' ')"
-_RESULTS = core._statuses({"identity.workflow-correlatable": "j04_identity_workflow_correlatable", "resource.capacity-bounded": "j10_resource_capacity_bounded", "contract.schema-compatible": "j09_contract_schema_compatible"})
-_IDS = ["identity.workflow-correlatable", "resource.capacity-bounded", "contract.schema-compatible"]
-_SPECS = ", ".join(f"('{i}', '{a}', '{c}', '{invariants.INVARIANTS[i][1]}')" for a, (c, ids, _) in findings.ANALYZERS.items() for i in ids if i in _IDS)
-_results = lambda t: invariants.evaluate(graph(t), _IDS)
-query("k01_findings_from_results", f"""SELECT case_id, {sql_id('finding', 'analyzer', sql_id('invariant-result', 'invariant', 'case_id'))} AS finding_id, analyzer, category, invariant AS classification, {_TITLE} AS title, severity
-    FROM ({_RESULTS}) r JOIN (VALUES {_SPECS}) s(invariant, analyzer, category, severity) USING (invariant) WHERE status = 'violated'""", views=False)(
+_SPECS = ", ".join(f"('{i}', '{a}', '{c}', '{invariants.INVARIANTS[i][1]}')" for a, (c, ids, _) in findings.ANALYZERS.items() for i in ids)
+_results = lambda t: invariants.evaluate(graph(t))
+query("k01_findings_from_results", f"""SELECT case_id, {sql_id('finding', 'analyzer', sql_id('invariant-result', 'invariant', 'case_id'))} AS finding_id, analyzer, category, invariant AS classification, {_TITLE} AS title,
+    CASE WHEN severity = 'critical' THEN 'critical' WHEN status = 'contradicted' THEN 'high' ELSE severity END AS severity FROM ({core.RUNTIME}) r JOIN (VALUES {_SPECS}) s(invariant, analyzer, category, severity) USING (invariant) WHERE status IN ('violated', 'contradicted', 'inconclusive')""", views=False)(
     lambda t: findings.from_results(_results(t)).select("case_id", "finding_id", "analyzer", "category", "classification", "title", "severity"))
-query("d22_analyzer_results", f"SELECT analyzer, invariant, count(*) AS n FROM ({_RESULTS}) r JOIN (VALUES {_SPECS}) s(invariant, analyzer, category, severity) USING (invariant) GROUP BY ALL", views=False)(
+query("d22_analyzer_results", f"SELECT analyzer, invariant, count(*) AS n FROM ({core.RUNTIME}) r JOIN (VALUES {_SPECS}) s(invariant, analyzer, category, severity) USING (invariant) GROUP BY ALL", views=False)(
     lambda t: _results(t).join(F.broadcast(findings.analyzer_invariants(t["nodes"].sparkSession)), "invariant").groupBy("analyzer", "invariant").agg(F.count("*").alias("n")))
 query("k02_retry_repeated_effect", EFFECT_GROUPS + """, bad AS (SELECT case_id, logical_effect_key, durable_count FROM effect_groups WHERE durable_count > 1)
     SELECT b.case_id, b.logical_effect_key, durable_count, coalesce(string_agg(DISTINCT CAST(task_attempt AS VARCHAR), ',' ORDER BY lpad(CAST(task_attempt AS VARCHAR), 9, '0')) , '') AS attempts,
@@ -54,7 +52,7 @@ query("k08_analysis_report")(lambda t: findings.analyze(graph(t), invariants.eva
 
 # comparisons
 _prepared = lambda t: compare.sides(t["pairs"], compare.prepare(t["nodes"], t["components"]))
-SIDES = """, prep AS (SELECT n.case_id, node_id, role, n.kind AS node_kind, lower(trim(operation)) AS operation, coalesce(c.kind, 'unknown') AS component_kind, logical_operation_id, status, task_attempt, start_us,
+SIDES = """, prep AS (SELECT n.case_id, node_id, n.role, n.kind AS node_kind, lower(trim(operation)) AS operation, coalesce(c.kind, 'unknown') AS component_kind, c.role AS component_role, logical_operation_id, task_name, stage, principal_id, status, task_attempt, start_us,
     (start_us - min(start_us) OVER (PARTITION BY n.case_id)) / 1000.0 AS offset_ms, greatest(0.0, (end_us - start_us) / 1000.0) AS duration_ms, tenant_id, idempotency_key, message_id, len(observation_refs) > 0 AS has_evidence
     FROM nodes n LEFT JOIN components c ON n.component_ref = c.component_id),
 a AS (SELECT comparison_id, prep.* FROM pairs JOIN prep ON case_id = baseline_case), b AS (SELECT comparison_id, prep.* FROM pairs JOIN prep ON case_id = candidate_case)"""
@@ -65,7 +63,8 @@ query("l01_prepare", SIDES + " SELECT comparison_id, node_id, operation, compone
     lambda t: _prepared(t)[0].unionByName(_prepared(t)[1]).select("comparison_id", "node_id", "operation", "component_kind", "offset_ms", "duration_ms"))
 query("d14_role_ordinal_alignment", ROLE + " FROM zipped")(lambda t: compare.align_by_role(*_prepared(t)))
 query("d15_similarity_join", SIDES + """, s AS (SELECT a.comparison_id, a.node_id AS baseline_ref, b.node_id AS candidate_ref, ((CASE WHEN a.node_kind = b.node_kind THEN 4.0 ELSE 0 END) + (CASE WHEN a.operation = b.operation THEN 6.0 ELSE 0 END)
-    + (CASE WHEN a.component_kind = b.component_kind THEN 3.0 ELSE 0 END) + (CASE WHEN a.logical_operation_id = b.logical_operation_id THEN 2.0 ELSE 0 END))::DOUBLE / 19.5 AS score FROM a JOIN b ON a.comparison_id = b.comparison_id)
+    + (CASE WHEN a.component_kind = b.component_kind THEN 3.0 ELSE 0 END) + (CASE WHEN a.logical_operation_id = b.logical_operation_id THEN 2.0 ELSE 0 END) + (CASE WHEN a.component_role = b.component_role THEN 1.5 ELSE 0 END)
+    + (CASE WHEN a.task_name = b.task_name THEN 2.0 ELSE 0 END) + (CASE WHEN a.stage = b.stage THEN 1.0 ELSE 0 END))::DOUBLE / 19.5 AS score FROM a JOIN b ON a.comparison_id = b.comparison_id)
     SELECT comparison_id, count(*) AS n, round(sum(score), 6) AS total FROM s WHERE score >= 0.55 GROUP BY comparison_id""")(
     lambda t: compare.similar_pairs(*_prepared(t)).groupBy("comparison_id").agg(F.count("*").alias("n"), F.round(F.sum("score"), 6).alias("total")))
 query("l02_alignment")(lambda t: compare.align(*_prepared(t)))
@@ -80,7 +79,7 @@ def _role_rows(t):
 
 
 _ALN = sql_id("alignment", "z.baseline_ref", "z.candidate_ref")
-_BOTH = ROLE + """, x AS (SELECT z.comparison_id, z.baseline_ref, z.candidate_ref, {aln} AS alignment_id, least(a.offset_ms, b.offset_ms) AS rank_ms, a.status AS a_status, b.status AS b_status, a.tenant_id AS a_tenant, b.tenant_id AS b_tenant,
+_BOTH = ROLE + """, x AS (SELECT z.comparison_id, z.baseline_ref, z.candidate_ref, {aln} AS alignment_id, least(a.offset_ms, b.offset_ms) AS rank_ms, a.status AS a_status, b.status AS b_status, a.tenant_id AS a_tenant, b.tenant_id AS b_tenant, a.principal_id AS a_principal, b.principal_id AS b_principal,
     a.idempotency_key AS a_key, b.idempotency_key AS b_key, a.task_attempt AS a_attempt, b.task_attempt AS b_attempt, a.message_id AS a_message, b.message_id AS b_message, a.duration_ms AS a_ms, b.duration_ms AS b_ms,
     a.has_evidence AS a_seen, b.has_evidence AS b_seen FROM zipped z JOIN a ON a.comparison_id = z.comparison_id AND a.node_id = z.baseline_ref JOIN b ON b.comparison_id = z.comparison_id AND b.node_id = z.candidate_ref)""".replace("{aln}", _ALN)
 
@@ -91,7 +90,7 @@ def _divergence_query(name: str, function, dimension: str, classification: str,
 
 
 _divergence_query("l06_status_changed", lambda t, r: compare.status_changed(r), "error", "status.changed", "a_status <> b_status", "CASE WHEN b_status IN ('ok', 'committed', 'completed') THEN 'medium' ELSE 'high' END", "'outcome_relevant'")
-_CHANGES = """, ch AS (SELECT *, a_tenant IS DISTINCT FROM b_tenant AS tenant, a_key IS DISTINCT FROM b_key OR a_attempt IS DISTINCT FROM b_attempt OR (a_message IS DISTINCT FROM b_message AND (a_message IS NULL OR b_message IS NULL)) AS other FROM x)"""
+_CHANGES = """, ch AS (SELECT *, a_tenant IS DISTINCT FROM b_tenant AS tenant, a_principal IS DISTINCT FROM b_principal OR a_key IS DISTINCT FROM b_key OR a_attempt IS DISTINCT FROM b_attempt OR (a_message IS DISTINCT FROM b_message AND (a_message IS NULL OR b_message IS NULL)) AS other FROM x)"""
 _divergence_query("l08_identity_changed", lambda t, r: compare.identity_changed(r), "identity", "identity.changed", "tenant OR other", "CASE WHEN tenant THEN 'high' ELSE 'medium' END",
                   "CASE WHEN tenant THEN 'outcome_relevant' ELSE 'semantic' END", ctes=_CHANGES, source="ch")
 _divergence_query("l09_duration_regression", lambda t, r: compare.duration_changed(r), "timing", "timing.duration-regression", "abs(b_ms - a_ms) >= 25 AND greatest(a_ms, b_ms) / greatest(1.0, least(a_ms, b_ms)) >= 1.5", "'medium'", "'semantic'")
@@ -117,4 +116,4 @@ query("l13_semantic_comparison")(lambda t: compare.compare(t["pairs"], t)["summa
 query("e09_comparison_summary", SIDES + """ SELECT comparison_id, (SELECT count(*) FROM a WHERE a.comparison_id = p.comparison_id) AS baseline_nodes, (SELECT count(*) FROM b WHERE b.comparison_id = p.comparison_id) AS candidate_nodes FROM pairs p""")(
     lambda t: compare.compare(t["pairs"], t)["summary"].select("comparison_id", (F.col("aligned_nodes") + F.col("ambiguous_nodes") + F.col("baseline_only_nodes")).alias("baseline_nodes"),
                                                              (F.col("aligned_nodes") + F.col("candidate_only_nodes")).alias("candidate_nodes")))
-ORACLE_SQL["e09_comparison_summary"] = ORACLE_SQL["e09_comparison_summary"]
+query("g03_divergences_in_order")(lambda t: compare.in_order(compare.compare(t["pairs"], t)["divergences"]))

@@ -99,7 +99,7 @@ query("d21_timeline_connectors", DERIVED + """ SELECT r.case_id, relation_id, r.
     lambda t: assembly.timeline_connectors(graph(t)["graph"]["relations"], t["nodes"]))
 query("i01_connected_components", """, edges AS (SELECT case_id, source_ref AS a, target_ref AS b FROM relations WHERE kind = 'parent_of' UNION ALL SELECT case_id, target_ref, source_ref FROM relations WHERE kind = 'parent_of'),
     reach(case_id, node_id, label) AS (SELECT case_id, node_id, node_id FROM nodes UNION SELECT e.case_id, e.b, r.label FROM reach r JOIN edges e ON r.case_id = e.case_id AND r.node_id = e.a)
-    SELECT case_id, node_id, min(label) AS component FROM reach GROUP BY ALL""".replace("reach(case_id", "reach(case_id"))(
+    SELECT case_id, node_id, min(label) AS component FROM reach GROUP BY ALL""")(
     lambda t: assembly.components_of(t["nodes"], t["relations"].where("kind = 'parent_of'")))
 ORACLE_SQL["i01_connected_components"] = ORACLE_SQL["i01_connected_components"].replace("WITH ev", "WITH RECURSIVE ev", 1)
 query("i02_neighborhood", """, both_ways AS (SELECT source_ref AS a, target_ref AS b, relation_id FROM relations UNION ALL SELECT target_ref, source_ref, relation_id FROM relations),
@@ -218,21 +218,46 @@ query("c12_evidence_preflight", """, need AS (SELECT * FROM (VALUES ('context.re
     SELECT c.case_id, invariant, string_agg(DISTINCT need.entity, ',' ORDER BY need.entity) AS missing FROM cases c CROSS JOIN need LEFT JOIN have h ON h.case_id = c.case_id AND h.entity = need.entity WHERE coalesce(n, 0) < least GROUP BY ALL""")(
     lambda t: invariants.missing_evidence(t, ["context.required-continuity", "effect.at-most-once", "ordering.read-after-visibility"]).unionByName(
         invariants.missing_evidence(t, ["observability.required-linkage"])))
-_SOME = ["effect.at-most-once", "identity.workflow-correlatable", "resource.capacity-bounded", "contract.schema-compatible"]
+_KEYS = dict(zip(invariants.INVARIANTS, (
+    "j01_context_required_continuity", "j02_context_forbidden_propagation", "j03_identity_execution_isolation", "j04_identity_workflow_correlatable", "j05_effect_at_most_once", "j06_effect_required_eventuality",
+    "j07_ordering_read_after_visibility", "j08_consistency_required_freshness", "j09_contract_schema_compatible", "j10_resource_capacity_bounded", "j11_performance_work_amplification",
+    "j12_observability_required_linkage", "j13_privacy_prohibited_capture")))
+_NEEDS = ", ".join(f"('{i}', '{entity}', {least})" for i, (_, _, needs) in invariants.INVARIANTS.items() for entity, least in needs.items())
+_HAVE = " UNION ALL ".join(f"SELECT case_id, '{e}' AS entity, count(*) AS n FROM {e} GROUP BY case_id" for e in ("nodes", "relations", "contexts", "effects", "observations"))
+#: Status of every invariant in every case, with the evidence preflight.
+RUNTIME = f"""SELECT v.case_id, v.invariant, CASE WHEN l.case_id IS NULL THEN v.status ELSE 'inconclusive' END AS status
+    FROM ({" UNION ALL ".join(f"SELECT case_id, '{i}' AS invariant, status FROM ({ORACLE_SQL[key]})" for i, key in _KEYS.items())}) v
+    LEFT JOIN ({SQL_VIEWS}, need AS (SELECT * FROM (VALUES {_NEEDS}) x(invariant, entity, least)), have AS ({_HAVE})
+        SELECT DISTINCT c.case_id, invariant FROM cases c CROSS JOIN need LEFT JOIN have h ON h.case_id = c.case_id AND h.entity = need.entity WHERE coalesce(n, 0) < least) l
+    ON v.case_id = l.case_id AND v.invariant = l.invariant"""
+
+
+query("j14_invariant_runtime", RUNTIME, views=False)(lambda t: invariants.evaluate(graph(t)).select("case_id", "invariant", "status"))
+query("e07_status_histogram", f"""SELECT case_id, {", ".join(f"count(*) FILTER (status = '{s}') AS {s}" for s in invariants.STATUSES)} FROM ({RUNTIME}) GROUP BY case_id""", views=False)(
+    lambda t: invariants.histogram(invariants.evaluate(graph(t))))
+query("j15_registry_selection", "SELECT x AS invariant, 'selected' AS status, count(*) AS cases FROM (SELECT DISTINCT user_id FROM events), (SELECT unnest(['effect.at-most-once', 'privacy.prohibited-capture']) AS x) GROUP BY x", views=False)(
+    lambda t: invariants.evaluate(graph(t), ["privacy.prohibited-capture", "effect.at-most-once"]).groupBy("invariant").agg(F.lit("selected").alias("status"), F.count("*").alias("cases")))
 
 
-def _statuses(names: dict[str, str]) -> str:
-    parts = []
-    for invariant, key in names.items():
-        parts.append(f"SELECT case_id, '{invariant}' AS invariant, status FROM ({ORACLE_SQL[key]})")
-    return " UNION ALL ".join(parts)
+_EVEN = "CAST(substr(case_id, 6) AS INT) % 2 = 0"
 
 
-_KEYS = dict(zip(_SOME, ("j05_effect_at_most_once", "j04_identity_workflow_correlatable", "j10_resource_capacity_bounded", "j09_contract_schema_compatible")))
-query("j14_invariant_runtime", f"SELECT s.case_id, invariant, status FROM ({_statuses(_KEYS)}) s", views=False)(
-    lambda t: invariants.evaluate(graph(t), _SOME).where("invariant <> 'effect.at-most-once' or status <> 'inconclusive'").unionByName(
-        invariants.evaluate(graph(t), _SOME).where("invariant = 'effect.at-most-once' and status = 'inconclusive'").withColumn("status", F.lit("not_applicable"))).select("case_id", "invariant", "status"))
-query("e07_status_histogram", f"""SELECT case_id, {", ".join(f"count(*) FILTER (status = '{s}') AS {s}" for s in invariants.STATUSES)} FROM ({_statuses({k: v for k, v in _KEYS.items() if k != 'effect.at-most-once'})}) GROUP BY case_id""", views=False)(
-    lambda t: invariants.histogram(invariants.evaluate(graph(t), [s for s in _SOME if s != "effect.at-most-once"])))
-query("j15_registry_selection", "SELECT x AS invariant, 'selected' AS status, count(*) AS cases FROM (SELECT DISTINCT user_id FROM events), (SELECT unnest(['effect.at-most-once', 'privacy.prohibited-capture']) AS x) GROUP BY x", views=False)(
-    lambda t: invariants.evaluate(graph(t), ["privacy.prohibited-capture", "effect.at-most-once"]).groupBy("invariant").agg(F.lit("selected").alias("status"), F.count("*").alias("cases")))
+def contracts(t: dict) -> dict:
+    """The tables with contracts for every second case: expected effects, and edges between roles."""
+    key = F.concat(F.lit("effect-key"), F.substring("task_id", 5, 1000)).alias("logical_effect_key")
+    wanted = t["nodes"].where(f"event_id % 7 = 0 and {_EVEN}").groupBy("case_id", key).agg(F.bool_or(F.col("event_id") % 3 != 0).alias("required"))
+    return t | {"expected_effects": wanted, "expected_edges": _expected(t).where(_EVEN)}
+
+
+_invariant("j16_required_effects_of_contracts", lambda t: invariants.effect_required_eventuality(contracts(t)), f""", contract AS (SELECT case_id, 'effect-key' || substr(task_id, 5) AS logical_effect_key, bool_or(event_id % 3 <> 0) AS required
+        FROM nodes WHERE event_id % 7 = 0 AND {_EVEN} GROUP BY ALL),
+    wanted AS (SELECT case_id, logical_effect_key FROM contract WHERE required UNION SELECT case_id, logical_effect_key FROM effects WHERE required AND case_id NOT IN (SELECT case_id FROM contract)),
+    f AS (SELECT case_id, TRUE AS applies FROM contract UNION SELECT case_id, TRUE FROM wanted),
+    m AS (SELECT DISTINCT case_id FROM wanted w WHERE NOT EXISTS (SELECT 1 FROM effects e WHERE e.case_id = w.case_id AND e.logical_effect_key = w.logical_effect_key AND e.durability IN ('committed', 'durable')))""",
+    _LEFT + " LEFT JOIN m ON c.case_id = m.case_id", "CASE WHEN applies IS NOT TRUE THEN 'not_applicable' WHEN m.case_id IS NOT NULL THEN 'violated' ELSE 'satisfied' END")
+query("j17_linkage_of_contracts", "")(lambda t: invariants.observability_required_linkage(graph(contracts(t))))
+ORACLE_SQL["j17_linkage_of_contracts"] = ORACLE_SQL["j12_observability_required_linkage"].replace(", l AS (", f""", firsts AS (SELECT case_id, role, node_id FROM nodes QUALIFY row_number() OVER (PARTITION BY case_id, role ORDER BY coalesce(task_attempt, 0), start_us, node_id) = 1),
+    gaps AS (SELECT case_id, source_ref, target_ref FROM broken UNION ALL SELECT e.case_id, x.node_id, y.node_id FROM (SELECT case_id, 'role.' || i AS s, 'role.' || (i + 1) % 10 AS t FROM cases, range(10) x(i) WHERE {_EVEN}) e
+        JOIN firsts x ON e.case_id = x.case_id AND e.s = x.role JOIN firsts y ON e.case_id = y.case_id AND e.t = y.role
+        WHERE NOT EXISTS (SELECT 1 FROM relations r WHERE r.case_id = e.case_id AND r.source_ref = x.node_id AND r.target_ref = y.node_id AND r.kind = 'invokes')), l AS (""", 1).replace(
+    "[source_ref, target_ref]) AS r FROM broken)", "[source_ref, target_ref]) AS r FROM gaps)", 1)

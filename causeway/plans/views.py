@@ -58,6 +58,7 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(_every(17), F.array().cast("array<string>")).otherwise(F.array(_id("observation", e))).alias("observation_refs"),
         _id("role", k % 10).alias("role"), F.when(k % 25 == 0, (1 + (k / 25).cast("int") % 2).cast("string")).alias("schema_version"),
         _every(211).alias("amplified"), _every(503).alias("identity_collision"), F.lit(50).alias("maximum_amplification"),
+        F.when(_every(103), "principal.x").otherwise(_id("principal", u % 5)).alias("principal_id"), F.when(~_every(23), _id("task-name", k % 6)).alias("task_name"), (k % 3).alias("stage"),
     )
 
 
@@ -108,7 +109,7 @@ def components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row for each component of the system; as few as there are event types."""
     kinds = read_table(spark, sf_dir, "events").select("event_type").distinct()
     kind = F.when(F.col("event_type").isin("purchase", "signup"), "database").when(F.col("event_type") == "error", "broker").otherwise("service")
-    return kinds.select(_id("component", F.col("event_type")).alias("component_id"), F.initcap("event_type").alias("name"), kind.alias("kind"))
+    return kinds.select(_id("component", F.col("event_type")).alias("component_id"), F.initcap("event_type").alias("name"), kind.alias("kind"), F.when(kind == "service", "handler").otherwise("store").alias("role"))
 
 
 def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -153,7 +154,8 @@ nodes AS (SELECT 'case.' || user_id AS case_id, 'node.event.' || event_id AS nod
     CASE WHEN event_type = 'purchase' THEN 'key.' || user_id || '.' || k END AS idempotency_key,
     CASE WHEN event_id % 17 = 0 THEN [] ELSE ['observation.' || event_id] END AS observation_refs, 'role.' || k % 10 AS role,
     CASE WHEN k % 25 = 0 THEN CAST(1 + (k // 25) % 2 AS VARCHAR) END AS schema_version, event_id % 211 = 0 AS amplified,
-    event_id % 503 = 0 AS identity_collision, 50 AS maximum_amplification FROM ev),
+    event_id % 503 = 0 AS identity_collision, 50 AS maximum_amplification,
+    CASE WHEN event_id % 103 = 0 THEN 'principal.x' ELSE 'principal.' || user_id % 5 END AS principal_id, CASE WHEN event_id % 23 <> 0 THEN 'task-name.' || k % 6 END AS task_name, k % 3 AS stage FROM ev),
 effects AS (SELECT 'case.' || user_id AS case_id, 'effect.' || event_id AS effect_id, 'effect-key.' || user_id || '.' || k AS logical_effect_key,
     'node.event.' || event_id AS producer_node_ref, CASE event_type WHEN 'purchase' THEN 'durable' WHEN 'signup' THEN 'committed' ELSE 'attempted' END AS durability,
     CASE WHEN event_type = 'purchase' THEN 'key.' || user_id || '.' || k END AS idempotency_key, ['observation.' || event_id] AS evidence_refs,
@@ -169,8 +171,8 @@ observations AS (SELECT 'case.' || user_id AS case_id, 'observation.' || event_i
     CASE WHEN event_id % 307 = 0 THEN ['props', 'Authorization'] ELSE ['props'] END AS attribute_keys,
     CASE WHEN event_id % 401 = 0 THEN ['credential'] ELSE [] END AS sensitivity, event_id % 601 = 0 AS contradiction FROM ev),
 components AS (SELECT 'component.' || event_type AS component_id, upper(event_type[1]) || event_type[2:] AS name,
-    CASE WHEN event_type IN ('purchase', 'signup') THEN 'database' WHEN event_type = 'error' THEN 'broker' ELSE 'service' END AS kind
-    FROM (SELECT DISTINCT event_type FROM events)),
+    CASE WHEN event_type IN ('purchase', 'signup') THEN 'database' WHEN event_type = 'error' THEN 'broker' ELSE 'service' END AS kind,
+    CASE WHEN event_type IN ('purchase', 'signup', 'error') THEN 'store' ELSE 'handler' END AS role FROM (SELECT DISTINCT event_type FROM events)),
 cases AS (SELECT 'case.' || user_id AS case_id, CASE WHEN user_id % 3 = 0 THEN 'comparison' ELSE 'single' END AS category FROM (SELECT DISTINCT user_id FROM events)),
 pairs AS (SELECT 'comparison.' || a.user_id AS comparison_id, 'case.' || a.user_id AS baseline_case, 'case.' || b.user_id AS candidate_case
     FROM (SELECT DISTINCT user_id FROM events) a JOIN (SELECT DISTINCT user_id FROM events) b ON b.user_id = a.user_id + 1 WHERE a.user_id % 2 = 0)"""
