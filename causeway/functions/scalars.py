@@ -117,10 +117,16 @@ def hmac_sha256(key: bytes, message: Column) -> Column:
     return F.sha2(F.concat(pads[1], inner), 256)
 
 
+def json_string(value: Column) -> Column:
+    """A text as JSON."""
+    whole = F.to_json(F.struct(value.alias("v")))
+    return F.substr(whole, F.lit(6), F.length(whole) - 6)
+
+
 def token(key: bytes, value: Column, labels: Column) -> Column:
-    """``label_`` and 14 hex digits: the same value under the same labels gives the same token."""
-    first = F.coalesce(F.get(labels, 0), F.lit("value"))
-    return F.concat(first, F.lit("_"), F.substring(hmac_sha256(key, F.concat(F.array_join(labels, ","), F.lit("|"), value)), 1, 14))
+    """The first word of the first label, and 14 hex digits: the same value under the same labels gives the same token."""
+    first = F.coalesce(F.get(F.split(F.get(labels, 0), "_"), 0), F.lit("value"))
+    return F.concat(first, F.lit("_"), F.substring(hmac_sha256(key, F.concat(F.array_join(labels, ","), F.lit(":"), json_string(value))), 1, 14))
 
 
 def mask(value: Column) -> Column:
@@ -132,7 +138,7 @@ def mask(value: Column) -> Column:
 
 
 def summarize(value: Column) -> Column:
-    return F.concat(F.lit("[text length="), F.length(value).cast("string"), F.lit(" sha256="), F.substring(F.sha2(value, 256), 1, 12), F.lit("]"))
+    return F.concat(F.lit("[redacted free text: "), F.length(value).cast("string"), F.lit(" chars, sha256:"), F.substring(F.sha2(value, 256), 1, 12), F.lit("]"))
 
 
 def truncate(value: Column, n: int) -> Column:
@@ -140,7 +146,7 @@ def truncate(value: Column, n: int) -> Column:
 
 
 def preview(value: Column) -> Column:
-    return F.coalesce(F.substring(F.replace(value, F.lit("\n"), F.lit(" ")), 1, 64), F.lit("null"))
+    return F.coalesce(truncate(F.replace(value, F.lit("\n"), F.lit(" ")), 64), F.lit("null"))
 
 
 SEVERITY_RANK = {"critical": 4, "high": 3, "medium": 2, "low": 1, "info": 0}
@@ -179,17 +185,23 @@ def deep_link(base: str, case_id: Column, node_id: Column, finding_id: Column) -
 
 # Which words in a key name mark its value as sensitive, and how.
 SENSITIVE_KEYS = [
-    ("credential", "authorization|cookie|password|passwd|secret|token|api[_-]?key"),
-    ("contact", "email|phone|mobile"),
-    ("tenant", "tenant"),
-    ("identity", "user[_-]?id|principal|student|employee"),
-    ("financial", "card|iban|account[_-]?number"),
-    ("location", "address|latitude|longitude|ip[_-]?addr"),
+    ("credential", r"(?i)(^|[_.-])(authorization|cookie|password|passwd|secret|api[_-]?key|access[_-]?token|refresh[_-]?token)($|[_.-])"),
+    ("student_record", r"(?i)(^|[_.-])(student|transcript|grade|course[_-]?history|advising[_-]?note)($|[_.-])"),
+    ("user_identifier", r"(?i)(^|[_.-])(user[_-]?id|principal|email|phone)($|[_.-])"),
+    ("tenant_identifier", r"(?i)(^|[_.-])(tenant|institution[_-]?id)($|[_.-])"),
+    ("query_text", r"(?i)(^|[_.-])(query|sql)($|[_.-])"),
+    ("free_text", r"(?i)(^|[_.-])(note|comment|description|message|body|text)($|[_.-])"),
 ]
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
+WHOLE_EMAIL = r"^[^@\s]+@[^@\s]+\.[^@\s]+\z"
+
+
+def is_email(value: Column) -> Column:
+    """The whole value is an e-mail address; most values are told apart by the missing sign."""
+    return F.coalesce(value.contains("@") & value.rlike(WHOLE_EMAIL), F.lit(False))
 
 
 def sensitivity_labels(key: Column, value: Column) -> Column:
-    """Labels that a key's name, or an e-mail address as the value, gives."""
-    found = [F.when(F.lower(key).rlike(pattern), label) for label, pattern in SENSITIVE_KEYS]
-    return F.array_sort(F.array_distinct(F.array_compact(F.array(*found, F.when(value.rlike(EMAIL), "contact")))))
+    """Labels that a key's name, or a value that is an e-mail address, gives."""
+    found = [F.when(key.rlike(pattern), label) for label, pattern in SENSITIVE_KEYS]
+    return F.array_sort(F.array_distinct(F.array_compact(F.array(*found, F.when(is_email(value), "user_identifier")))))

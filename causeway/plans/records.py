@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -54,10 +57,25 @@ table_query("b15_canonical_json", "SELECT event_id, '{\"a\":1,\"k\":' || json_ex
 table_query("b16_digest", "SELECT doc_id, 'sha256:' || sha256(coalesce(text, '')) AS digest FROM documents")(lambda r: r("documents").select("doc_id", S.digest(F.coalesce("text", F.lit(""))).alias("digest")))
 table_query("b18_mask", "SELECT c_custkey, CASE WHEN length(c_name) <= 4 THEN repeat('*', length(c_name)) ELSE left(c_name, 2) || repeat('*', least(length(c_name) - 4, 12)::INT) || right(c_name, 2) END AS masked FROM customer")(
     lambda r: r("customer").select("c_custkey", S.mask(F.col("c_name")).alias("masked")))
-table_query("b17_token")(lambda r: r("customer").select("c_custkey", S.token(privacy.KEY, F.col("c_name"), F.array(F.lit("identity"))).alias("token")))
-table_query("b19_summarize", "SELECT doc_id, '[text length=' || length(text) || ' sha256=' || left(sha256(text), 12) || ']' AS summary FROM documents")(lambda r: r("documents").select("doc_id", S.summarize(F.col("text")).alias("summary")))
+_SECRET = b"key of the registered queries"
+_PADS = [bytes(b ^ x for b in _SECRET.ljust(64, b"\0")).hex() for x in (0x36, 0x5C)]
+
+
+def _sql_token(message: str, prefix: str) -> str:
+    """DuckDB SQL of a token: HMAC-SHA-256 as two nested digests."""
+    return f"'{prefix}_' || left(sha256(unhex('{_PADS[1]}') || unhex(sha256(unhex('{_PADS[0]}') || encode({message})))), 14)"
+
+
+def _sql_summary(c: str) -> str:
+    return f"'[redacted free text: ' || length({c}) || ' chars, sha256:' || left(sha256({c}), 12) || ']'"
+
+
+_CUT = lambda c: f"left({c}, 64) || CASE WHEN length({c}) > 64 THEN '…' ELSE '' END"
+table_query("b17_token", "SELECT c_custkey, " + _sql_token("""'user_identifier:"' || c_name || '"'""", "user") + " AS token FROM customer")(
+    lambda r: r("customer").select("c_custkey", S.token(_SECRET, F.col("c_name"), F.array(F.lit("user_identifier"))).alias("token")))
+table_query("b19_summarize", f"SELECT doc_id, {_sql_summary('text')} AS summary FROM documents")(lambda r: r("documents").select("doc_id", S.summarize(F.col("text")).alias("summary")))
 table_query("b20_truncate", "SELECT doc_id, left(text, 20) || CASE WHEN length(text) > 20 THEN '…' ELSE '' END AS short FROM documents")(lambda r: r("documents").select("doc_id", S.truncate(F.col("text"), 20).alias("short")))
-table_query("b21_preview", "SELECT doc_id, coalesce(left(replace(text, chr(10), ' '), 64), 'null') AS preview FROM documents")(lambda r: r("documents").select("doc_id", S.preview(F.col("text")).alias("preview")))
+table_query("b21_preview", f"SELECT doc_id, coalesce({_CUT("replace(text, chr(10), ' ')")}, 'null') AS preview FROM documents")(lambda r: r("documents").select("doc_id", S.preview(F.col("text")).alias("preview")))
 _SEV = lambda: F.element_at(F.array(*[F.lit(s) for s in ("critical", "high", "medium", "low", "info")]), (F.col("event_id") % 5 + 1).cast("int"))
 table_query("b22_severity_rank", "SELECT event_id, CAST(4 - event_id % 5 AS INT) AS rank FROM events")(lambda r: r("events").select("event_id", S.severity_rank(_SEV()).alias("rank")))
 _ST = lambda: F.element_at(F.array(*[F.lit(s) for s in invariants.STATUSES]), (F.col("event_id") % 6 + 1).cast("int"))
@@ -72,33 +90,46 @@ _VERSION = lambda: F.when(F.col("user_id") % 3 == 0, "1.0.0").when(F.col("user_i
 _manifests = lambda r: r("events").select("user_id").distinct().select(F.col("user_id").alias("case_id"), _VERSION().alias("version"))
 _MANIFESTS = "SELECT DISTINCT user_id AS case_id, CASE user_id % 3 WHEN 0 THEN '1.0.0' WHEN 1 THEN '0.9.0' ELSE '0.1.0' END AS version FROM events"
 table_query("b28_manifest_migration", f"SELECT case_id, '1.0.0' AS version, 'local' AS profile FROM ({_MANIFESTS}) WHERE version <> '0.1.0'")(lambda r: integrity.migrate(_manifests(r), {"profile": "local"})[0])
-table_query("b29_sensitivity_labels", r"SELECT doc_id, CASE WHEN regexp_matches(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}') THEN 'contact,credential' ELSE 'credential' END AS labels FROM documents")(
-    lambda r: r("documents").select("doc_id", S.sensitivity_labels(F.lit("api_key"), F.col("text")).alias("labels")))
-table_query("b30_declared_labels", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'contact,restricted' ELSE 'contact' END AS labels FROM documents")(
-    lambda r: r("documents").select("doc_id", F.array_sort(F.array_union(privacy.labels_of("email", F.col("text")), F.array_compact(F.array(F.when(F.col("doc_id") % 2 == 0, "restricted"))))).alias("labels")))
+_OWNER = "CASE WHEN doc_id % 3 = 0 THEN 'u' || doc_id % 50 || '@x.org' ELSE 'u' || doc_id % 50 END"
+_owner = lambda: F.concat(F.lit("u"), (F.col("doc_id") % 50).cast("string"), F.when(F.col("doc_id") % 3 == 0, "@x.org").otherwise(""))
+table_query("b29_sensitivity_labels", "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'credential' WHEN 1 THEN 'query_text' WHEN 2 THEN 'student_record' ELSE '' END || CASE WHEN doc_id % 3 = 0 THEN CASE WHEN doc_id % 4 < 3 THEN ',' ELSE '' END || 'user_identifier' ELSE '' END AS labels FROM documents")(
+    lambda r: r("documents").select("doc_id", S.sensitivity_labels(F.element_at(F.array(*[F.lit(k) for k in ("x.api_key", "sql", "grade-1", "ungraded")]), (F.col("doc_id") % 4 + 1).cast("int")), _owner()).alias("labels")))
+table_query("b30_declared_labels", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'internal,user_identifier' ELSE 'user_identifier' END AS labels FROM documents")(
+    lambda r: r("documents").select("doc_id", F.when(F.col("doc_id") % 2 == 0, privacy.labels_of("email", F.col("text"), ("internal",))).otherwise(privacy.labels_of("email", F.col("text"))).alias("labels")))
 
 # privacy over documents and customers
 _EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
-_docs = lambda r: r("documents").select("doc_id", "text", "source")
-_ACT = f"CASE WHEN regexp_matches(text, '{_EMAIL}') THEN 'tokenize' ELSE 'summarize' END"
-table_query("m01_field_inventory", f"""SELECT doc_id AS id, 'record.text' AS path, CASE WHEN regexp_matches(text, '{_EMAIL}') THEN 'contact' ELSE '' END AS labels, {_ACT} AS action, left(replace(text, chr(10), ' '), 64) AS preview FROM documents
-    UNION ALL SELECT doc_id, 'record.source', '', 'retain', source FROM documents""")(lambda r: privacy.inventory(_docs(r), "doc_id", "shareable").drop("value"))
-table_query("m02_rule_matching", f"SELECT {_ACT} AS action, count(*) AS n FROM documents GROUP BY ALL UNION ALL SELECT 'retain', count(*) FROM documents")(lambda r: privacy.inventory(_docs(r), "doc_id", "shareable").groupBy("action").agg(F.count("*").alias("n")))
-QUERIES["g05_first_rule_by_priority"], ORACLE_SQL["g05_first_rule_by_priority"] = QUERIES["m02_rule_matching"], ORACLE_SQL["m02_rule_matching"]
-table_query("m03_redaction", f"SELECT doc_id, '[text length=' || length(text) || ' sha256=' || left(sha256(text), 12) || ']' AS text, source FROM documents WHERE NOT regexp_matches(text, '{_EMAIL}')")(
-    lambda r: privacy.redact(_docs(r).where(~F.col("text").rlike(_EMAIL)), "doc_id", "shareable"))
-table_query("m08_redaction_of_all_rows")(lambda r: privacy.redact(_docs(r), "doc_id", "shareable"))
-table_query("m04_transformation_records")(lambda r: privacy.transformations(_docs(r), "doc_id", "shareable"))
-table_query("e12_redaction_summary", f"SELECT {_ACT} AS action, count(*) AS n, CASE WHEN action = 'tokenize' THEN count(DISTINCT text) ELSE 0 END AS tokens FROM documents GROUP BY ALL".replace("CASE WHEN action = 'tokenize' THEN count(DISTINCT text) ELSE 0 END", f"count(DISTINCT CASE WHEN regexp_matches(text, '{_EMAIL}') THEN text END)"))(
-    lambda r: privacy.redaction_summary(_docs(r), "doc_id", "shareable"))
-table_query("e11_inventory_by_label", f"SELECT 'contact' AS label, count(*) AS n FROM documents WHERE regexp_matches(text, '{_EMAIL}') HAVING count(*) > 0")(lambda r: privacy.by_label(_docs(r), "doc_id", "shareable"))
+_docs = lambda r: r("documents").select("doc_id", "text", "source", _owner().alias("owner"), F.when(F.col("doc_id") % 9 == 0, F.concat(F.lit("k"), "doc_id")).alias("api_key"))
+_TOKEN = f"CASE WHEN doc_id % 3 = 0 THEN {_sql_token(chr(39) + 'user_identifier:' + chr(34) + chr(39) + ' || ' + _OWNER + ' || ' + chr(39) + chr(34) + chr(39), 'user')} ELSE {_OWNER} END"
+_DIGEST = lambda v: f"'sha256:' || sha256(CAST(to_json({v}) AS VARCHAR) || chr(10))"
+#: Every leaf of the records, with what the shareable policy says of it; no text of the test tables is an e-mail address as a whole.
+_LEAVES = f"""WITH leaf AS (SELECT doc_id AS id, 'record.text' AS path, 'free_text' AS labels, 'free-text.summarize' AS rule, 'summarize' AS action, text AS value, {_sql_summary('text')} AS replacement FROM documents
+    UNION ALL SELECT doc_id, 'record.source', '', NULL, 'retain', source, source FROM documents
+    UNION ALL SELECT doc_id, 'record.owner', CASE WHEN doc_id % 3 = 0 THEN 'user_identifier' ELSE '' END, CASE WHEN doc_id % 3 = 0 THEN 'user.tokenize' END, CASE WHEN doc_id % 3 = 0 THEN 'tokenize' ELSE 'retain' END, {_OWNER}, {_TOKEN} FROM documents
+    UNION ALL SELECT doc_id, 'record.api_key', 'credential', 'credential.remove', 'remove', CASE WHEN doc_id % 9 = 0 THEN 'k' || doc_id END, CASE WHEN doc_id % 9 = 0 THEN '[REDACTED]' END FROM documents) """
+table_query("m01_field_inventory", _LEAVES + f"SELECT id, path, CASE WHEN value IS NULL THEN 'null' ELSE 'string' END AS type, labels, rule, action, FALSE AS structural, coalesce({_CUT("replace(value, chr(10), ' ')")}, 'null') AS preview FROM leaf")(
+    lambda r: privacy.inventory(_docs(r), "doc_id", "shareable").drop("value"))
+table_query("m02_rule_matching", _LEAVES + "SELECT coalesce(rule, 'none') AS rule, action, count(*) AS n FROM leaf GROUP BY ALL")(
+    lambda r: privacy.inventory(_docs(r), "doc_id", "shareable").groupBy(F.coalesce("rule", F.lit("none")).alias("rule"), "action").agg(F.count("*").alias("n")))
+table_query("g05_first_rule_by_priority", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'b' ELSE 'c' END AS rule FROM documents")(lambda r: r("documents").select("doc_id", privacy.rule_of(
+    [privacy.Rule("b", "mask", 1, value_pattern="^even"), privacy.Rule("c", "digest", 5), privacy.Rule("a", "retain", 5)], "record.x", "x", F.when(F.col("doc_id") % 2 == 0, "even").otherwise("odd"), F.array().cast("array<string>")).alias("rule")))
+_REDACTED = f"SELECT doc_id, {_sql_summary('text')} AS text, source, {_TOKEN} AS owner, CASE WHEN doc_id % 9 = 0 THEN '[REDACTED]' END AS api_key FROM documents"
+table_query("m03_redaction", _REDACTED)(lambda r: privacy.redact(_docs(r), "doc_id", "shareable", _SECRET))
+table_query("m08_redaction_of_all_rows", _REDACTED)(lambda r: privacy.redact(_docs(r), "doc_id", "shareable", _SECRET))
+table_query("m04_transformation_records", _LEAVES + f"""SELECT {sql_id('transform', 'id', 'path')} AS transformation_id, id, path, labels, action, rule AS rule_ref, 'string' AS original_type, {_DIGEST('value')} AS original_digest, replacement
+    FROM leaf WHERE action <> 'retain' AND value IS NOT NULL""")(lambda r: privacy.transformations(_docs(r), "doc_id", "shareable", _SECRET))
+table_query("e12_redaction_summary", _LEAVES + "SELECT action, count(*) AS n, count(DISTINCT CASE WHEN action = 'tokenize' THEN replacement END) AS tokens FROM leaf WHERE action <> 'retain' AND value IS NOT NULL GROUP BY action")(
+    lambda r: privacy.redaction_summary(_docs(r), "doc_id", "shareable", _SECRET))
+table_query("e11_inventory_by_label", _LEAVES + "SELECT labels AS label, count(*) AS n FROM leaf WHERE labels <> '' GROUP BY labels")(lambda r: privacy.by_label(_docs(r), "doc_id", "shareable"))
 _IP = r"\b[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\b"
 _VIOL = f"""SELECT doc_id AS id, 'record.text' AS path, 'email' AS pattern FROM documents WHERE regexp_matches(text, '{_EMAIL}') UNION ALL SELECT doc_id, 'record.text', 'bearer' FROM documents WHERE regexp_matches(text, '(?i)bearer\\s+[a-z0-9._-]{{8,}}')
     UNION ALL SELECT doc_id, 'record.text', 'secret' FROM documents WHERE regexp_matches(text, '(?i)(token|password|secret)\\s*=\\s*["''][^"'']{{6,}}["'']') UNION ALL SELECT doc_id, 'record.text', 'ipv4' FROM documents WHERE regexp_matches(text, '{_IP}')"""
 table_query("c08_prohibited_patterns", _VIOL)(lambda r: privacy.violations(_docs(r), "doc_id"))
 table_query("c09_first_match_in_payload", f"SELECT doc_id AS id, regexp_extract(text, '{_EMAIL}') AS match FROM documents WHERE regexp_matches(text, '{_EMAIL}')")(lambda r: privacy.first_matches(r("documents").select("doc_id", "text"), "doc_id", _EMAIL))
-table_query("m06_clean_export", "SELECT doc_id, source FROM documents")(lambda r: privacy.export(_docs(r), "doc_id", "shareable")[0].select("doc_id", "source"))
-table_query("m05_policies", "SELECT doc_id, 'public' AS policy FROM documents")(lambda r: privacy.redact(r("documents").select("doc_id", "text"), "doc_id", "public").select("doc_id", F.lit("public").alias("policy")))
+table_query("m06_clean_export", _REDACTED)(lambda r: privacy.export(_docs(r), "doc_id", "shareable", _SECRET)[0])
+table_query("m05_policies", f"""SELECT 'internal' AS policy, doc_id, text, source, {_OWNER} AS owner, CASE WHEN doc_id % 9 = 0 THEN '[PROHIBITED]' END AS api_key FROM documents
+    UNION ALL SELECT 'shareable', * FROM ({_REDACTED}) UNION ALL SELECT 'public', * FROM ({_REDACTED})""")(
+    lambda r: reduce(DataFrame.unionByName, [privacy.redact(_docs(r), "doc_id", p, _SECRET).select(F.lit(p).alias("policy"), "*") for p in privacy.POLICIES]))
 
 # coverage over nations, segments and orders
 _expected = lambda r: coverage.expected_points(*[
