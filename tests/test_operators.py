@@ -2,6 +2,7 @@
 
 import hashlib
 import hmac
+import json
 import random
 
 import pandas as pd
@@ -51,10 +52,10 @@ def test_similarity_join_needs_its_threshold(spark):
 
 
 def test_tokens_equal_python_hmac(spark):
-    df = spark.createDataFrame([("a", ["contact"]), ("ü b", ["contact", "tenant"]), ("", ["identity"])], "v string, l array<string>")
+    df = spark.createDataFrame([("a", ["user_identifier"]), ('ü "b"', ["student_record", "tenant_identifier"]), ("", ["credential"]), ("x", [])], "v string, l array<string>")
     for r in df.select("v", "l", S.token(b"k" * 80, F.col("v"), F.col("l")).alias("t")).collect():
-        digest = hmac.new(b"k" * 80, f"{','.join(r.l)}|{r.v}".encode(), hashlib.sha256).hexdigest()
-        assert r.t == f"{r.l[0]}_{digest[:14]}"
+        message = f"{','.join(r.l)}:{json.dumps(r.v, ensure_ascii=False)}"
+        assert r.t == f"{r.l[0].split('_')[0] if r.l else 'value'}_{hmac.new(b'k' * 80, message.encode(), hashlib.sha256).hexdigest()[:14]}"
 
 
 def test_unknown_names_are_errors():
@@ -66,13 +67,27 @@ def test_unknown_names_are_errors():
 
 def test_redaction_leaves_no_secret(spark):
     df = spark.createDataFrame([(1, "Bearer abcdefghijk", "a@b.example", None)], "id long, authorization string, contact_email string, note string")
-    clean, bad = privacy.export(df, "id", "shareable")
+    clean, bad = privacy.export(df, "id", "shareable", b"key")
     row = clean.first()
-    assert row.authorization == "[REDACTED]" and row.contact_email.startswith("contact_") and row.note is None and bad.count() == 0
-    assert privacy.redact(df, "id", "internal").first().authorization == "[PROHIBITED]"
+    assert row.authorization == "[REDACTED]" and row.contact_email.startswith("user_") and row.note is None and bad.count() == 0
+    assert privacy.redact(df, "id", "internal", b"key").first().authorization == "[PROHIBITED]"
     assert {r.pattern for r in privacy.violations(df, "id").collect()} == {"bearer", "email"}
 
 
+def test_nested_records_are_redacted(spark):
+    df = spark.createDataFrame(
+        [(1, (("t1", None), "n1"), ["one note", None], {"api_key": "k", "Query": "select 1", "size": "7", "who": "a@b.example"}), (2, None, None, None)],
+        "id long, node struct<identities:struct<tenant_id:string,principal_id:string>,node_id:string>, comment array<string>, attributes map<string,string>",
+    )
+    one, two = privacy.redact(df, "id", "shareable", b"key").orderBy("id").collect()
+    assert one.node.identities.tenant_id.startswith("tenant_") or one.node.identities.tenant_id.startswith("value_")
+    assert one.node.identities.principal_id is None and one.node.node_id == "n1"
+    assert one.comment[0].startswith("[redacted free text: 8 chars, sha256:") and one.comment[1] is None
+    assert set(one.attributes) == {"Query", "size", "who"}  # what is removed from a map goes with its key
+    assert one.attributes["Query"] == "sha256:" + hashlib.sha256(b'"select 1"\n').hexdigest() and one.attributes["size"] == "7" and one.attributes["who"].startswith("user_")
+    assert (two.node, two.comment, two.attributes) == (None, None, None)
+
+
 MUTATIONS = {
     "effect.at-most-once": (lambda t: mutations.duplicate_effects(t, F.lit(True), 4), "violated"),
     "effect.required-eventuality": (lambda t: t | {"effects": t["effects"].withColumn("durability", F.lit("attempted"))}, "violated"),

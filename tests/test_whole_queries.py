@@ -7,7 +7,7 @@ import re
 import pyarrow.parquet as pq
 
 from causeway import registry
-from causeway.operators import privacy
+from causeway.plans import records
 from causeway.plans.core import graph
 from causeway.plans.views import tables
 
@@ -41,14 +41,14 @@ def test_components_and_neighborhood_walk_all_relations(spark, sf_dir):
 def test_redaction_covers_rows_with_addresses(spark, sf_dir):
     rows = pq.read_table(f"{sf_dir}/documents.parquet").to_pylist()
 
-    def redacted(text):
-        if text is None:
-            return None
-        if re.search(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", text):
-            return "contact_" + hmac.new(privacy.KEY, b"contact|" + text.encode(), hashlib.sha256).hexdigest()[:14]
-        return f"[text length={len(text)} sha256={hashlib.sha256(text.encode()).hexdigest()[:12]}]"
+    def owner(i):
+        name = f"u{i % 50}" + ("@x.org" if i % 3 == 0 else "")
+        return name if i % 3 else "user_" + hmac.new(records._SECRET, f'user_identifier:"{name}"'.encode(), hashlib.sha256).hexdigest()[:14]
 
-    want = sorted((r["doc_id"], redacted(r["text"]) or "", r["source"] or "") for r in rows)
-    assert any(t.startswith("contact_") for _, t, _ in want)
+    def summary(text):
+        return text and f"[redacted free text: {len(text)} chars, sha256:{hashlib.sha256(text.encode()).hexdigest()[:12]}]"
+
+    want = sorted((r["doc_id"], summary(r["text"]) or "", r["source"] or "", owner(r["doc_id"])) for r in rows)
+    assert any(re.search(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", r["text"] or "") for r in rows)
     got = registry.QUERIES["m08_redaction_of_all_rows"](spark, sf_dir).collect()
-    assert sorted((r.doc_id, r.text or "", r.source or "") for r in got) == want
+    assert sorted((r.doc_id, r.text or "", r.source or "", r.owner) for r in got) == want
