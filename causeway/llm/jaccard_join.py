@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from causeway.llm.near import Banding, near_links
@@ -13,6 +13,18 @@ PRODUCTION = Banding(bands=32, rows=5, threshold="0.8")
 HAS_WORD = "[^ \\t-\\r]"
 
 
+def _uid() -> Column:
+    return F.when(F.col("text").rlike(HAS_WORD), text_key(F.col("text")))
+
+
+def _linked_texts(rows: DataFrame, banding: Banding) -> DataFrame:
+    """(uid, least doc_id, copies, links, root of the class) of every text with a word."""
+    with_words = rows.where("uid is not null")
+    near = near_links(with_words, F.col("uid"), banding)
+    texts = with_words.groupBy("uid").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"))
+    return texts.join(near, "uid", "left").withColumn("root", F.coalesce("root", "uid"))
+
+
 def jaccard_join(docs: DataFrame, banding: Banding = PRODUCTION) -> DataFrame:
     """Per row of ``docs``: doc_id, class_id, n_links.
 
@@ -27,11 +39,8 @@ def jaccard_join(docs: DataFrame, banding: Banding = PRODUCTION) -> DataFrame:
     names a class only if all ids in it are null. Other columns are ignored. An empty
     table gives an empty result.
     """
-    rows = rows_of(docs).withColumn("uid", F.when(F.col("text").rlike(HAS_WORD), text_key(F.col("text"))))
-    with_words = rows.where("uid is not null")
-    near = near_links(with_words, F.col("uid"), banding)
-    texts = with_words.groupBy("uid").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"))
-    texts = texts.join(near, "uid", "left").withColumn("root", F.coalesce("root", "uid"))
+    rows = rows_of(docs).withColumn("uid", _uid())
+    texts = _linked_texts(rows, banding)
     classes = texts.groupBy("root").agg(F.min("least").alias("class_id"))
     placed = texts.join(classes, "root").select("uid", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     own = rows.select("doc_id", "uid").join(placed, "uid", "left")
@@ -43,11 +52,15 @@ def jaccard_join(docs: DataFrame, banding: Banding = PRODUCTION) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, banding: Banding = PRODUCTION) -> DataFrame:
-    """The rows of ``docs`` whose doc_id names their class: one document of each group stays.
+    """The rows of ``docs`` that stand for their class: one document of each group stays.
 
-    Rows that repeat a doc_id within a class are one document and stay together, as do
-    rows without a doc_id. All columns stay.
+    It is the text with the least doc_id of the class, a null one only where all are null,
+    and the least hash among equals. Rows equal in doc_id and text are one document and
+    stay together. A text that is null or has no word stays. All columns stay.
     """
-    named = jaccard_join(docs, banding).where("class_id = doc_id").select(F.col("class_id").alias("doc_id")).distinct()
-    nameless = docs.where("doc_id is null")
-    return docs.join(named, "doc_id", "left_semi").unionByName(nameless)
+    rows = rows_of(docs).withColumn("uid", _uid())
+    order = F.struct(F.col("least").isNull().alias("none"), F.col("least").alias("id"), F.col("uid").alias("uid"))
+    chosen = _linked_texts(rows, banding).groupBy("root").agg(F.min(order).alias("c")).select(F.col("c.uid").alias("_cw_uid"), F.col("c.id").alias("_cw_id"))
+    named = docs.where(_uid().isNotNull())
+    kept = named.join(chosen, (_uid() == F.col("_cw_uid")) & named["doc_id"].eqNullSafe(F.col("_cw_id")), "left_semi")
+    return kept.unionByName(docs.where(_uid().isNull()))

@@ -104,7 +104,7 @@ def test_jaccard_join_edges(spark):
     got = sorted((r.doc_id or -1, r.class_id, r.n_links) for r in jaccard_join(docs).collect())
     assert got == [(-1, 4, 2), (4, 4, 2), (4, 4, 2), (5, 5, 0)]
     kept = one_of_each(docs)
-    assert kept.columns == docs.columns and sorted(r.doc_id or -1 for r in kept.collect()) == [-1, 4, 4, 5]
+    assert kept.columns == docs.columns and sorted(r.doc_id or -1 for r in kept.collect()) == [4, 4, 5]  # the row without an id is a copy of 4
 
 
 def test_substring_dedup_keeps_first_paragraphs(spark):
@@ -225,3 +225,14 @@ def test_line_dedup_finds_short_runs_of_many_words(spark):
                         want.setdefault(key, set()).update(range(lines[s][0], lines[s + n - 1][0] + 1))
                     seen.add(run)
     assert {k: set(r.places) for k, r in got.items() if r.places} == want != brute_lines(docs, 3)
+
+
+def test_one_document_of_each_class_stays(spark):
+    from causeway.llm.jaccard_join import one_of_each
+
+    words = [f"w{i}" for i in range(60)]
+    near = " ".join([*words[:-1], "other"])
+    rows = [(1, " ".join(words), "a"), (None, " ".join(words), "b"), (None, " ".join(words), "c"), (1, near, "d"), (5, near, "e"), (7, None, "f"), (8, " ", "g"), (None, "quite another text", "h"), (9, "quite another text of its own", "i"), (9, "quite another text of its own", "i")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, root string")
+    assert sorted(r.root for r in one_of_each(docs).collect()) in (["a", "f", "g", "h", "i", "i"], ["d", "f", "g", "h", "i", "i"])
+    assert one_of_each(docs.limit(0)).count() == 0
