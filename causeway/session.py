@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,11 +30,14 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share for intermediate tables.
 
     ``spark.checkpoint.dir`` is read from the session; only where neither it nor a
-    checkpoint folder is set (tests, a laptop) is a temporary folder used.
+    checkpoint folder is set, and only in local mode (tests, a laptop), is a temporary folder used.
     """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not re.match(r"local(\[|$)", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return context.getCheckpointDir()
 
 
