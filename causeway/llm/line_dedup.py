@@ -42,31 +42,35 @@ def _line_marks(window: int, least_words: int):
         for batch in trimmed(batches):
             for at in range(0, len(batch), 1000):
                 part = batch.slice(at, 1000)
-                rows, fps, starts, widths, blobs = [], [], [], [], []
-                for row, text in enumerate(part.column("text").to_pylist()):
-                    lines = [x.encode() for _, x in _filled(text)]
-                    if not lines:
-                        continue
-                    hashes = np.frombuffer(b"".join(hashlib.blake2b(x, digest_size=8).digest() for x in lines), np.uint64)
-                    words = np.cumsum([0, *(len(x.split()) for x in lines)])
+                counts, lines = [], []
+                for text in part.column("text").to_pylist():
+                    before = len(lines)
+                    lines += [x.encode() for _, x in _filled(text)]
+                    counts.append(len(lines) - before)
+                if lines:
+                    hashes = np.frombuffer(b"".join([hashlib.blake2b(x, digest_size=8).digest() for x in lines]), np.uint64)
+                    words = np.cumsum([0, *[len(x.split()) for x in lines]])
+                    row = np.repeat(np.arange(len(counts)), counts)
+                    first = np.cumsum(counts) - counts  # of all lines, the first of a text
                     for width in range(1, min(window, len(lines)) + 1):
                         low, whole = winnow(hashes, width)
-                        good = np.arange(len(low)) if width == window else np.flatnonzero(words[width:] - words[:-width] >= least_words)
-                        if not len(good):
+                        good = row[: len(low)] == row[width - 1 :]
+                        if width < window:
+                            good &= words[width:] - words[:-width] >= least_words
+                        spot = np.flatnonzero(good)
+                        if not len(spot):
                             continue
-                        new = np.flatnonzero(np.concatenate([[True], (low[good[1:]] != low[good[:-1]]) | (good[1:] != good[:-1] + 1)]))
+                        new = np.flatnonzero(np.concatenate([[True], (low[spot[1:]] != low[spot[:-1]]) | (spot[1:] != spot[:-1] + 1)]))
+                        start = spot[new]
                         with np.errstate(over="ignore"):
-                            fps.append(mix(hashes[low[good[new]]] + np.uint64(width)))
-                        rows.append(np.full(len(new), row))
-                        starts.append(good[new])
-                        widths.append(np.full(len(new), width))
-                        blobs += [x.tobytes() for x in np.split(whole[good], new[1:])]
-                if rows:
-                    take = pa.array(np.concatenate(rows))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.concatenate(fps).view(np.int64)), part.column("doc_id").take(take), part.column("key").take(take), *[pa.array(np.concatenate(x).astype(np.int32)) for x in (starts, widths)], pa.array(blobs, pa.binary())],
-                        [c.split()[0] for c in MARKS.split(", ")],
-                    )
+                            fp = mix(hashes[low[start]] + np.uint64(width))
+                        take = pa.array(row[start])
+                        offsets = (np.append(new, len(spot)) * 8).astype(np.int32)
+                        blobs = pa.Array.from_buffers(pa.binary(), len(new), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(whole[spot].tobytes())])
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(fp.view(np.int64)), part.column("doc_id").take(take), part.column("key").take(take), pa.array((start - first[row[start]]).astype(np.int32)), pa.array(np.full(len(new), width, np.int32)), blobs],
+                            [c.split()[0] for c in MARKS.split(", ")],
+                        )
 
     return run
 
