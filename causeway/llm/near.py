@@ -7,7 +7,8 @@ units gives m - 1 edges). Each component is cut into blocks of bounded size and
 pair of blocks is one tile; a tile compares all its pairs exactly, as set sizes from a
 matrix product, and hands on one row a unit: how many copies it is linked to, and the
 least unit of its cluster in the tile. So a group of thousands of near copies is compared
-in full, over many tasks, while the rows that move grow with the number of units.
+in full, over many tasks, and no pair of units is a row; a text moves once for each block
+of its component, so a component of n units moves n times n / MOST_BLOCK texts.
 """
 
 from __future__ import annotations
