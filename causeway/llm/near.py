@@ -68,7 +68,7 @@ def band_hashes(hashes: np.ndarray, counts: np.ndarray, banding: Banding) -> np.
         return mix((sig * constants(banding.rows, 303)).sum(axis=2, dtype=np.uint64) + constants(banding.bands, 404))
 
 
-def _band_rows(banding: Banding):
+def band_rows(banding: Banding):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in trimmed(batches):
             for at in range(0, len(batch), 500):
@@ -185,23 +185,28 @@ def _tiles(threshold: str):
     return run
 
 
-def candidate_components(units: DataFrame, banding: Banding) -> DataFrame:
+BANDS = "bucket long, cid long"
+
+
+def candidate_components(units: DataFrame, banding: Banding, bands: DataFrame | None = None) -> DataFrame:
     """(node, component) over the 64-bit ids of units that share a band with another one."""
-    rows = units.select("cid", "text").mapInArrow(_band_rows(banding), "bucket long, cid long")
+    rows = units.select("cid", "text").mapInArrow(band_rows(banding), BANDS) if bands is None else bands
     hubs = rows.groupBy("bucket").agg(F.min("cid").alias("hub"), F.max("cid").alias("last")).where("hub < last")
     edges = rows.join(hubs, "bucket").where("cid <> hub").select(F.col("cid").alias("src"), F.col("hub").alias("dst")).distinct()
     return contract_components(edges)
 
 
-def near_links(rows: DataFrame, uid: Column, banding: Banding = Banding()) -> DataFrame:
+def near_links(rows: DataFrame, uid: Column, banding: Banding = Banding(), bands: DataFrame | None = None) -> DataFrame:
     """(uid, links, root) of each distinct text that has a partner of the threshold's Jaccard or more.
 
     ``rows`` has a column ``text``; ``uid`` is sixteen bytes that stand for it. ``links``
     counts the rows of other texts that it is linked to, ``root`` is the least uid of
-    its connected component of links.
+    its connected component of links. ``bands`` are the rows of :func:`band_rows` over
+    (xxhash64 of uid, text), given where a Python worker makes the texts and can band
+    them at once; else a task would hold two workers.
     """
     units = rows.select(uid.alias("uid"), "text").where("text is not null").withColumn("cid", F.xxhash64("uid"))
-    groups = candidate_components(units, banding)
+    groups = candidate_components(units, banding, bands)
     sizes = groups.groupBy("component").agg(F.count("*").alias("size"))
     size = F.col("size")
     block = F.least(F.greatest(F.lit(LEAST_BLOCK), F.ceil(size / 16)), F.lit(MOST_BLOCK))

@@ -78,6 +78,22 @@ def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             open_fp, open_hashes, open_docs = fp, hashes[mine], [docs[owner[i]] for i in mine]
 
 
+def texts_alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of texts with null ids beside them, where nobody asks whose texts they are."""
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(b), pa.int64()), pa.nulls(len(b), pa.binary()), b.column("text")], ["doc_id", "key", "text"])
+
+
+def _fingerprints(marks: Callable):
+    """The fingerprints alone of what ``marks`` makes of texts; nothing else has to leave the worker to count them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in marks(texts_alone(batches)):
+            yield batch.select(["fp"])
+
+    return run
+
+
 def repeated_runs(rows: DataFrame, marks: Callable, live: DataFrame | None = None) -> DataFrame:
     """(doc_id, key, first, last, source): runs of units all of whose windows occurred earlier.
 
@@ -86,7 +102,7 @@ def repeated_runs(rows: DataFrame, marks: Callable, live: DataFrame | None = Non
     Earlier is in the order (doc_id, key, place); ``source`` is the doc_id of the first
     occurrence. Only windows under a fingerprint that occurs more than once move.
     """
-    counted = rows.mapInArrow(marks, MARKS).groupBy("fp").agg(F.count("*").alias("n"))
+    counted = rows.select("text").mapInArrow(_fingerprints(marks), "fp long").groupBy("fp").agg(F.count("*").alias("n"))
     again = checkpointed(counted.where("n > 1").select("fp"))
     wanted, _ = split_by_keys((rows if live is None else live).mapInArrow(marks, MARKS), F.col("fp"), again)
     return wanted.repartition("fp").sortWithinPartitions("fp", "doc_id", "key", "start", "width").mapInArrow(_later, "doc_id long, key binary, first int, last int, source long")

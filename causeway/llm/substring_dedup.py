@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from causeway.llm.memory import trimmed
-from causeway.llm.near import Banding, near_links
-from causeway.llm.passages import repeated_runs
+from causeway.llm.near import BANDS, Banding, band_rows, near_links
+from causeway.llm.passages import repeated_runs, texts_alone
 from causeway.llm.tables import rows_of, split_by_keys, text_key, without
 from causeway.llm.words import constants, mix, word_hashes
 from causeway.session import checkpointed
@@ -50,6 +52,22 @@ def _paragraphs(least_words: int):
     return run
 
 
+def _paragraph_bands(least_words: int, banding: Banding):
+    """Bands of the paragraphs of texts, in one worker; a paragraph's cid is Spark's xxhash64 of its text_key."""
+    paragraphs, bands = _paragraphs(least_words), band_rows(banding)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def units() -> Iterator[pa.RecordBatch]:
+            for batch in paragraphs(texts_alone(batches)):
+                keys = [hashlib.md5(t).digest() for t in batch.column("text").cast(pa.binary()).to_pylist()]
+                cid = np.array([xxhash.xxh64_intdigest(k, seed=42) for k in keys], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(cid), batch.column("text")], ["cid", "text"])
+
+        yield from bands(units())
+
+    return run
+
+
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows whose column ``text`` loses the lines numbered in ``_cw_places``."""
     for batch in trimmed(batches):
@@ -224,7 +242,8 @@ def substring_dedup(docs: DataFrame, banding: Banding = PRODUCTION, least_words:
     """
     rows = rows_of(docs).where("text is not null").withColumn("key", text_key(F.col("text")))
     paragraphs = rows.mapInArrow(_paragraphs(least_words), "doc_id long, key binary, place int, text string")
-    near = near_links(paragraphs.select("text"), text_key(F.col("text")), banding)
+    bands = rows.select("text").mapInArrow(_paragraph_bands(least_words, banding), BANDS)
+    near = near_links(paragraphs.select("text"), text_key(F.col("text")), banding, bands)
     found = paragraphs.select("doc_id", "key", "place", text_key(F.col("text")).alias("uid"))
     found = found.join(near.select("uid", "root"), "uid", "left").withColumn("root", F.coalesce("root", "uid"))
     spot = F.struct("doc_id", "key", "place")

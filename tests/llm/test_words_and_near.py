@@ -236,3 +236,15 @@ def test_one_document_of_each_class_stays(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, root string")
     assert sorted(r.root for r in one_of_each(docs).collect()) in (["a", "f", "g", "h", "i", "i"], ["d", "f", "g", "h", "i", "i"])
     assert one_of_each(docs.limit(0)).count() == 0
+
+
+def test_bands_of_paragraphs_in_one_worker_are_those_of_their_texts(spark, sf_dir):
+    from causeway.llm.near import BANDS, band_rows
+    from causeway.llm.substring_dedup import LEAST_WORDS, PRODUCTION, _paragraph_bands, _paragraphs
+    from causeway.llm.tables import rows_of, text_key
+
+    rows = rows_of(spark.read.parquet(f"{sf_dir}/documents.parquet")).where("text is not null").withColumn("key", text_key(F.col("text")))
+    units = rows.mapInArrow(_paragraphs(LEAST_WORDS), "doc_id long, key binary, place int, text string").select(F.xxhash64(text_key(F.col("text"))).alias("cid"), "text")
+    want = units.mapInArrow(band_rows(PRODUCTION), BANDS)
+    got = rows.select("text").mapInArrow(_paragraph_bands(LEAST_WORDS, PRODUCTION), BANDS)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) != []
