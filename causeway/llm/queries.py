@@ -10,6 +10,7 @@ from causeway.llm.bpe import encode_decode
 from causeway.llm.jaccard_join import jaccard_join
 from causeway.llm.line_dedup import line_dedup
 from causeway.llm.packing import pack, token_pieces
+from causeway.llm.structure_repair import damaged, repair
 from causeway.llm.substring_dedup import substring_dedup
 from causeway.llm.token_files import through_files
 from causeway.llm.topk import exact_top_k
@@ -62,14 +63,27 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_top_k(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
 
+def op12_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair(damaged(read_table(spark, sf_dir, "conversations")))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_substring_dedup, op2_ngram_jaccard_join, op3_best_fit_packing, op4_token_files, op5_language_id,
-        op6_quality_rules, op7_chat_formatting, op8_line_dedup, op9_byte_bpe, op10_exact_top_k,
+        op6_quality_rules, op7_chat_formatting, op8_line_dedup, op9_byte_bpe, op10_exact_top_k, op12_structure_repair,
     )
 }
 
+
+def _step(label: str, cost: str, letter: str, line: str = "''") -> str:
+    return f"CASE WHEN {label} IS NOT NULL THEN {{'c': {label}.c + {cost}, 'a': {label}.a || '{letter}', 't': {label}.t || {line}}} END"
+
+
+_LINE = "chr(10) || {role} || ':' || r.text"
+_KEPT, _USER, _ASSISTANT = (_LINE.format(role=x) for x in ("r.role", "'user'", "'assistant'"))
+_INSERTED = "chr(10) || '{}:'"
+
 _FORGED = r"([<\[])(\|im_start\|>|\|im_end\|>|\|endoftext\|>|s>|/s>|INST\]|/INST\]|<SYS>>|</SYS>>)"
 
 ORACLE_SQL = {
@@ -112,4 +126,35 @@ ORACLE_SQL = {
               FROM q a JOIN q b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id AND len(a.x) = len(b.x)),
         r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM s)
         SELECT query_id, n::INT AS rank, vec_id, score FROM r WHERE n <= 5""",
+    "op12_structure_repair": rf"""
+        WITH RECURSIVE crc AS (SELECT list_transform(range(256), lambda n: list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, b: CASE WHEN a & 1 = 1 THEN xor(3988292384, a >> 1) ELSE a >> 1 END)) AS crc_table),
+        h AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+                     xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda x: ascii(x)::BIGINT)),
+                         lambda a, b: xor(a >> 8, crc_table[1 + (xor(a, b) & 255)]))) % 20 AS kind FROM conversations, crc),
+        d AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+                     CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM h),
+        o AS (SELECT *, row_number() OVER w AS i, role[1] AS initial, lag(role[1]) OVER w AS before,
+                     row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS seen, regexp_replace(text, '[\x20\x09-\x0D]+$', '') AS bare
+              FROM d WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy)),
+        f AS (SELECT *, CASE WHEN bare = '' THEN 'blank' WHEN seen THEN 'duplicate' WHEN bare[-1] NOT IN ('.', '!', '?') THEN 'truncated' END AS fault FROM o),
+        r AS (SELECT conv_id, i, role, text, initial, coalesce(fault IN ('blank', 'duplicate'), false) AS must_go, CASE WHEN fault = 'truncated' THEN 1 ELSE 0 END AS stays FROM f),
+        n AS (SELECT conv_id, max(i) AS n, CASE WHEN count(turn) > 0 THEN max(turn) - min(turn) + 1 - count(DISTINCT turn) ELSE 0 END AS gaps,
+                     count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+                     count(*) FILTER (i > 1 AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY conv_id),
+        w AS (SELECT conv_id, 0::BIGINT AS i, {{'c': 0::BIGINT, 'a': '', 't': ''}} AS s0, NULL::STRUCT(c BIGINT, a VARCHAR, t VARCHAR) AS s1, NULL::STRUCT(c BIGINT, a VARCHAR, t VARCHAR) AS s2, NULL::STRUCT(c BIGINT, a VARCHAR, t VARCHAR) AS s3 FROM n
+              UNION ALL
+              SELECT r.conv_id, r.i, {_step("m0", "3", "D")},
+                     least({_step("m1", "3", "D")}, CASE WHEN NOT must_go AND initial = 's' THEN {_step("m0", "stays", "K", _KEPT)} END),
+                     least({_step("m2", "3", "D")}, CASE WHEN NOT must_go AND initial = 'u' THEN {_step("m", "stays", "K", _KEPT)} END, CASE WHEN NOT must_go THEN {_step("m", "2 + stays", "R", _USER)} END),
+                     least({_step("m3", "3", "D")}, CASE WHEN NOT must_go AND initial = 'a' THEN {_step("m2", "stays", "K", _KEPT)} END, CASE WHEN NOT must_go THEN {_step("m2", "2 + stays", "R", _ASSISTANT)} END)
+              FROM (SELECT *, least(s3, {_step("m2", "2", "I", _INSERTED.format("assistant"))}) AS m3 FROM
+                       (SELECT *, s0 AS m0, s1 AS m1, least(s2, {_step("s0", "2", "I", _INSERTED.format("user"))}, {_step("s1", "2", "I", _INSERTED.format("user"))}, {_step("s3", "2", "I", _INSERTED.format("user"))}) AS m2 FROM w)) v0,
+                   LATERAL (SELECT least(m0, m1, m3) AS m), r
+              WHERE r.conv_id IS NOT DISTINCT FROM v0.conv_id AND r.i = v0.i + 1),
+        e AS (SELECT n.*, least(w.s0, w.s3, {_step("m2", "2", "I", _INSERTED.format("assistant"))}) AS best FROM n JOIN
+              (SELECT *, least(s2, {_step("s0", "2", "I", _INSERTED.format("user"))}, {_step("s1", "2", "I", _INSERTED.format("user"))}, {_step("s3", "2", "I", _INSERTED.format("user"))}) AS m2 FROM w) w
+              ON w.conv_id IS NOT DISTINCT FROM n.conv_id AND w.i = n.n)
+        SELECT a.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+               coalesce(best.c, 0)::BIGINT AS cost, coalesce(best.a, '') AS audit, sha256(coalesce(substr(best.t, 2), '')) AS repaired_sha256
+        FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN e ON a.conv_id IS NOT DISTINCT FROM e.conv_id""",
 }
