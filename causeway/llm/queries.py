@@ -14,6 +14,7 @@ from causeway.llm.structure_repair import damaged, repair
 from causeway.llm.substring_dedup import substring_dedup
 from causeway.llm.token_files import through_files
 from causeway.llm.topk import exact_top_k
+from causeway.llm.whitening import whiten
 from causeway.session import read_table
 
 
@@ -63,6 +64,10 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_top_k(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(read_table(spark, sf_dir, "embeddings"))
+
+
 def op12_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair(damaged(read_table(spark, sf_dir, "conversations")))
 
@@ -71,7 +76,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_substring_dedup, op2_ngram_jaccard_join, op3_best_fit_packing, op4_token_files, op5_language_id,
-        op6_quality_rules, op7_chat_formatting, op8_line_dedup, op9_byte_bpe, op10_exact_top_k, op12_structure_repair,
+        op6_quality_rules, op7_chat_formatting, op8_line_dedup, op9_byte_bpe, op10_exact_top_k, op11_embedding_whitening, op12_structure_repair,
     )
 }
 
