@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from causeway.llm import chat, langid, quality
+from causeway.llm.adaptive_scan import nearest
 from causeway.llm.bpe import encode_decode
 from causeway.llm.jaccard_join import jaccard_join
 from causeway.llm.line_dedup import line_dedup
@@ -72,11 +73,16 @@ def op12_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair(damaged(read_table(spark, sf_dir, "conversations")))
 
 
+def op13_adaptive_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_substring_dedup, op2_ngram_jaccard_join, op3_best_fit_packing, op4_token_files, op5_language_id,
         op6_quality_rules, op7_chat_formatting, op8_line_dedup, op9_byte_bpe, op10_exact_top_k, op11_embedding_whitening, op12_structure_repair,
+        op13_adaptive_scan,
     )
 }
 
