@@ -130,13 +130,13 @@ ORACLE_SQL = {
         SELECT conv_id, n_turns, sha256(whole) AS turns_sha256, length(learnt)::BIGINT AS loss_chars, sha256(learnt) AS loss_sha256,
                length(formatted)::BIGINT AS formatted_chars FROM c""",
     "op10_exact_top_k": """
-        WITH v AS (SELECT DISTINCT vec_id, embedding::DOUBLE[] AS x FROM embeddings
+        WITH v AS (SELECT row_number() OVER () AS r, vec_id, embedding::DOUBLE[] AS x FROM embeddings
                    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda y: y IS NULL OR NOT isfinite(y))) = 0),
-        q AS (SELECT vec_id, list_transform(x, lambda y: floor(256 * y)) AS x FROM v),
-        s AS (SELECT a.vec_id AS query_id, b.vec_id, list_inner_product(a.x, b.x)::BIGINT AS score
-              FROM q a JOIN q b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id AND len(a.x) = len(b.x)),
-        r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM s)
-        SELECT query_id, n::INT AS rank, vec_id, score FROM r WHERE n <= 5""",
+        q AS (SELECT r, vec_id, list_transform(x, lambda y: floor(256 * y)) AS x FROM v),
+        s AS (SELECT a.r, a.vec_id AS query_id, b.vec_id, list_inner_product(a.x, b.x)::BIGINT AS score
+              FROM q a JOIN q b ON a.vec_id % 50 = 0 AND a.r <> b.r AND len(a.x) = len(b.x)),
+        n AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS rank FROM s)
+        SELECT query_id, rank::INT AS rank, vec_id, score FROM n WHERE rank <= 5""",
     "op12_structure_repair": rf"""
         WITH RECURSIVE crc AS (SELECT list_transform(range(256), lambda n: list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, b: CASE WHEN a & 1 = 1 THEN xor(3988292384, a >> 1) ELSE a >> 1 END)) AS crc_table),
         h AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,

@@ -109,13 +109,15 @@ def test_top_k_equals_brute_force(spark):
     rng = np.random.default_rng(1)
     vectors = rng.normal(size=(300, 8)).round(2)
     vectors[50:120] = vectors[7]  # ties
-    rows = [(i, v.tolist(), 0) for i, v in enumerate(vectors)] + [(1000, None, 0), (1050, [1.0, None] * 4, 0), (1100, [float("nan")] * 8, 0), (1150, [float("inf")] * 8, 0), (None, [1.0] * 8, 0), (1200, [1.0, 2.0], 0), (4, vectors[4].tolist(), 0)]
+    repeated = [(50, vectors[50]), (50, vectors[50]), (100, vectors[3]), (4, vectors[4])]  # rows of their own
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(vectors)] + [(i, v.tolist(), 0) for i, v in repeated] + [(1000, None, 0), (1050, [1.0, None] * 4, 0), (1100, [float("nan")] * 8, 0), (1150, [float("inf")] * 8, 0), (None, [1.0] * 8, 0), (1200, [1.0, 2.0], 0)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score int")
     got = exact_top_k(df, F.col("vec_id") % 50 == 0, 5, query_block=2, shard_rows=16, fan_in=3).collect()
-    q = np.floor(256 * vectors).astype(int)
+    ids = [*range(300), *[i for i, _ in repeated]]
+    q = np.floor(256 * np.concatenate([vectors, [v for _, v in repeated]])).astype(int)
     for i in range(0, 300, 50):
-        best = sorted((-int(q[i] @ q[j]), j) for j in range(300) if j != i)[:5]
-        assert [(-r.score, r.vec_id) for r in sorted((r for r in got if r.query_id == i), key=lambda r: r.rank)] == best
+        best = sorted(pair for n, own in enumerate(ids) if own == i for pair in enumerate(sorted((-int(q[n] @ q[j]), ids[j]) for j in range(len(ids)) if j != n)[:5], 1))
+        assert sorted((r.rank, (-r.score, r.vec_id)) for r in got if r.query_id == i) == best
     assert {r.query_id for r in got} == set(range(0, 300, 50))  # 1200 has no candidate of its length
     assert exact_top_k(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
