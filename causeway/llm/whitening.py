@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
@@ -18,7 +19,8 @@ GUARD, DEGREE = 16, 10
 #: A component counts if its residual is at most this part of the largest eigenvalue; passes stop there, or once
 #: they gain nothing and ``ACCEPTED`` is reached. Smaller eigenvalues than ``FLAT`` of the largest are no components.
 CERTIFIED, ACCEPTED, FLAT, ROUNDS = 2e-14, 1e-10, 1e-12, 300
-_BLOCK = 2048
+#: Rows of a product inside a task, numbers of a task of the fit list, and the tasks whose sums are added at once.
+_BLOCK, TASK, FAN_IN = 2048, 8 << 20, 64
 _LONGEST = 2**63 - 1
 
 
@@ -59,31 +61,35 @@ def _centred(x: np.ndarray, n: int, sums: np.ndarray) -> np.ndarray:
     return np.array([[n * int(c) - int(s) for c, s in zip(row, sums)] for row in x], object).astype(float) / n
 
 
+def _added(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = None
+    for batch in batches:
+        for part in batch.column(0):
+            part = np.frombuffer(part.as_py())
+            total = part if total is None else total + part
+    if total is not None:
+        yield pa.RecordBatch.from_pydict({"sums": [total.tobytes()]})
+
+
 def _pass(fit: DataFrame, n: int, sums: np.ndarray) -> Callable[[np.ndarray], np.ndarray]:
-    """V Q = Xᵀ X Q / n over the centred fit list. Each task adds up its own blocks, Spark adds the tasks a dimension at a
-    time; only d rows of as many numbers as Q has columns come to the driver."""
+    """V Q = Xᵀ X Q / n over the centred fit list. A task adds up its own blocks; from ``FAN_IN`` tasks on, groups of
+    about the square root of their number are added by further tasks, so that the driver adds few arrays of Q's size."""
+    tasks = fit.rdd.getNumPartitions()
 
     def apply(q: np.ndarray) -> np.ndarray:
         def partial(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = None
+            total = np.zeros(q.shape)
             for batch in batches:
-                if not batch.num_rows:
-                    continue
-                x = _matrix(batch.column(0))
+                x = _matrix(batch.column(0)) if batch.num_rows else ()
                 for at in range(0, len(x), _BLOCK):
                     block = _centred(x[at : at + _BLOCK], n, sums)
-                    part = block.T @ (block @ q)
-                    total = part if total is None else total + part
-            if total is not None:
-                yield pa.RecordBatch.from_pydict({"dim": np.arange(len(total), dtype=np.int32), "row": pa.array(list(total), pa.list_(pa.float64()))})
-
-        wide = q.shape[1]
-        parts = fit.select("x").mapInArrow(partial, "dim int, row array<double>")
-        added = parts.groupBy("dim").agg(F.array(*[F.sum(F.element_at("row", j + 1)) for j in range(wide)]).alias("row"))
-        out = np.zeros((len(q), wide))
-        for r in added.collect():
-            out[r["dim"]] = r["row"]
-        return out / n
+                    total += block.T @ (block @ q)
+            yield pa.RecordBatch.from_pydict({"sums": [total.tobytes()]})
+
+        parts = fit.select("x").mapInArrow(partial, "sums binary")
+        if tasks > FAN_IN:
+            parts = parts.repartition(math.isqrt(tasks)).mapInArrow(_added, "sums binary")
+        return sum(np.frombuffer(r["sums"]).reshape(q.shape) for r in parts.collect()) / n
 
     return apply
 
@@ -110,6 +116,14 @@ def _ritz(v: Callable, q: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return values[order], q @ turn[:, order], vq @ turn[:, order]
 
 
+def fit_list(rows: DataFrame) -> DataFrame:
+    """Each distinct vector once, written in as many parts as its size and the cluster's cores call for: every pass reads all of them."""
+    fit = checkpointed(rows.select("x").distinct())
+    numbers = fit.agg(F.sum(F.size("x"))).first()[0] or 0
+    parts = max(rows.sparkSession.sparkContext.defaultParallelism, math.ceil(numbers / TASK))
+    return checkpointed(fit.coalesce(parts)) if parts < fit.rdd.getNumPartitions() else fit
+
+
 def components(fit: DataFrame, k: int = 16) -> Basis | None:
     """The ``k`` first components of a fit list of distinct vectors ``x``, certified; None for an empty list.
 
@@ -197,7 +211,7 @@ def whiten(vectors: DataFrame, k: int = 16, id_col: str = "vec_id", vector_col:
     eigenvalues any basis is right. A deviation beyond 64 bits is held at the bound. A null id is an id. Other columns are ignored.
     """
     rows = quantised(vectors, id_col, vector_col)
-    fit = checkpointed(rows.select("x").distinct())
+    fit = fit_list(rows)
     schema = f"vec_id {rows.schema['vec_id'].dataType.simpleString()}, deviation long, values array<double>"
     basis = components(fit, k)
     if basis is None or not len(basis.values):
