@@ -19,9 +19,11 @@ SAMPLE, ASKED, ROWS_OF_LIST, MOST_LISTS = 32_768, 256, 1024, 4096
 IN_LISTS, LOST = 0.97, 0.005
 #: Dimensions of a column block; vectors of a shard of a list, and queries that meet one in a task.
 WIDTH, SHARD, QUERY_BLOCK = 16, 4096, 512
+#: Each round of probes sees about so many times the lists that the rounds before saw, with the bar that they reached.
+GROWTH = 4
 _SCHEMA_ASSIGNED = "row long, list int, vec array<double>, rotated array<double>, ids array<struct<vec_id: long, copies: long>>"
 _SCHEMA_PACKED = "list int, shard int, blocks array<binary>, norms binary, original binary, firsts binary, rows array<long>, ids array<array<struct<vec_id: long, copies: long>>>"
-_SCHEMA_PROBES = "row long, list int, near boolean, vec array<double>, rotated array<double>"
+_SCHEMA_PROBES = "row long, list int, round int, vec array<double>, rotated array<double>"
 _SCHEMA_FOUND = "query long, row long, first long, score double, ids array<struct<vec_id: long, copies: long>>"
 _IDS = pa.list_(pa.struct([("vec_id", pa.int64()), ("copies", pa.int64())]))
 
@@ -124,6 +126,16 @@ def _pack(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
     })
 
 
+def _round(place: np.ndarray, near: np.ndarray) -> np.ndarray:
+    """0 for the first ``near`` lists, then 1 up to ``GROWTH`` times as many, and so on."""
+    number = np.zeros(len(place), np.int64)
+    reach = near.astype(np.int64)
+    while (left := place >= reach).any():
+        number += left
+        reach = np.where(left, reach * GROWTH, reach)
+    return number
+
+
 def _probes(lists: Lists, sizes: np.ndarray, least: int):
     """The lists of each query in the order of their centroids' products: as many as fitted, and on until ``least`` vectors are there."""
 
@@ -141,7 +153,7 @@ def _probes(lists: Lists, sizes: np.ndarray, least: int):
                 of = np.repeat(rows, many[rows])
                 place = np.concatenate([np.arange(m) for m in many[rows]])
                 take = pa.array(of)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), pa.array(order[of, place], pa.int32()), pa.array(place < near[of]), batch.column(1).take(take), batch.column(2).take(take)], ["row", "list", "near", "vec", "rotated"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), pa.array(order[of, place], pa.int32()), pa.array(_round(place, near[of]), pa.int32()), batch.column(1).take(take), batch.column(2).take(take)], ["row", "list", "round", "vec", "rotated"])
 
     return run
 
@@ -236,7 +248,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
     Equal vectors are one entry of the index with its ``k + 1`` least ids, which is all that
     a result can hold of them. Entries go to the list of their nearest centroid,
     lists to shards of bounded size in column blocks. A query meets its nearest
-    lists first; its ``k + 1``-th score there is the bar that the scan of the other lists starts from.
+    lists first, then in rounds ``GROWTH`` times as many; the ``k + 1``-th score so far is the bar that a round's scans start from, so that few rows leave them.
     """
     rows = usable(vectors, is_query, id_col, vector_col).groupBy("vec", "vec_id").agg(F.count("*").alias("copies"), F.count_if("is_query").alias("asked"))
     rows = checkpointed(rows)
@@ -261,10 +273,12 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
     turned = placed.join(asked.select(F.col("query").alias("row")).distinct(), "row", "left_semi").select("row", "vec", "rotated")
     probes = checkpointed(turned.mapInArrow(_probes(lists, sizes, k + 1), _SCHEMA_PROBES))
     d = lists.centroids.shape[1]
-    first = checkpointed(_best(_scanned(probes.where("near").withColumn("floor", F.lit(float("-inf"))), packed, shards, d, k + 1), k + 1).drop("place"))
-    bars = first.groupBy("query").agg(F.when(F.count("*") > k, F.min("score")).alias("floor"))
-    others = probes.where("not near").join(bars.withColumnRenamed("query", "row"), "row", "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf"))))
-    found = _best(first.unionByName(_scanned(others, packed, shards, d, k + 1)), k + 1)
+    none = F.lit(float("-inf"))
+    found = checkpointed(_best(_scanned(probes.where("round = 0").withColumn("floor", none), packed, shards, d, k + 1), k + 1).drop("place"))
+    for number in range(1, probes.agg(F.max("round")).first()[0] + 1 if not probes.isEmpty() else 1):
+        bars = found.groupBy(F.col("query").alias("row")).agg(F.when(F.count("*") > k, F.min("score")).alias("floor"))
+        others = probes.where(F.col("round") == number).join(bars, "row", "left").withColumn("floor", F.coalesce("floor", none))
+        found = checkpointed(_best(found.unionByName(_scanned(others, packed, shards, d, k + 1)), k + 1).drop("place"))
 
     each = asked.join(found.select("query", "row", "score", F.inline("ids")), "query")
     own = (F.col("row") == F.col("query")) & (F.col("vec_id") == F.col("query_id"))
