@@ -7,12 +7,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from causeway.functions.scalars import duration_ms, normalize_operation, stable_id, truthy
 from causeway.operators import assembly
+from causeway.session import checkpointed
 
 # What each equal part of a signature weighs. Together 19.5.
 WEIGHTS = {"node_kind": 4.0, "operation": 6.0, "component_kind": 3.0, "component_role": 1.5, "logical_operation_id": 2.0, "task_name": 2.0, "stage": 1.0}
@@ -71,30 +71,65 @@ def similar_pairs(left: DataFrame, right: DataFrame, threshold: float = THRESHOL
     return rows.where(F.col("score") >= threshold).select("comparison_id", "baseline_ref", "candidate_ref", "score")
 
 
-def match(edges: pd.DataFrame) -> pd.DataFrame:
-    """Greedy one-to-one matching of one comparison's similar pairs, best first.
+def _classes(side: DataFrame, ref: str, name: str) -> DataFrame:
+    """Nodes of one side grouped by signature: comparison_id, the parts, the members in order of their ids."""
+    return side.groupBy("comparison_id", *_PARTS).agg(F.array_sort(F.collect_list(ref)).alias("members")).withColumn(name, F.element_at("members", 1))
 
-    A baseline node whose best partner is within 0.03 of another free one is ambiguous;
-    its partners stay free.
+
+def similar_classes(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(classes of the left side, of the right side, pairs of classes that reach the threshold).
+
+    Nodes of one signature have the same score to everything, so pairs are made between
+    signatures; a class goes by its least member.
+    """
+    a, b = _classes(left, "node_id", "a_class"), _classes(right, "node_id", "b_class")
+    named = lambda c, name: c.select("comparison_id", F.col(name).alias("node_id"), *_PARTS)
+    edges = similar_pairs(named(a, "a_class"), named(b, "b_class")).withColumnsRenamed({"baseline_ref": "a_class", "candidate_ref": "b_class"})
+    return a.select("comparison_id", "a_class", "members"), b.select("comparison_id", "b_class", "members"), edges
+
+
+def matched(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Greedy one-to-one matching of similar nodes, best first by (score, baseline, candidate), in rounds over all comparisons at once.
+
+    Taken in that order, a baseline node goes to its best free partner, unless another free
+    one is within 0.03 of it: then it is ambiguous and its partners stay free. A round
+    settles the next members of every class that nothing earlier can still change: no
+    other class with an earlier claim reaches a partner near its best. If near partners are
+    several, all its members up to the next claim are ambiguous; if it is one, the
+    first member takes it. The claim that is first of all is always settled, so rounds end; each is cut by a checkpoint.
     """
-    rows = sorted(zip(-edges["score"], edges["baseline_ref"], edges["candidate_ref"]))
-    of: dict[str, list[tuple[float, str]]] = {}
-    for s, left, right in rows:
-        of.setdefault(left, []).append((s, right))
-    taken_left, taken_right, out = set(), set(), []
-    for s, left, right in rows:
-        if left in taken_left or right in taken_right:
-            continue
-        near = sorted(r for x, r in of[left] if r not in taken_right and abs(x - s) < NEAR_TIE)
-        taken_left.add(left)
-        if len(near) > 1:
-            out.append((left, None, "ambiguous", -s, ",".join(near)))
-        else:
-            taken_right.add(right)
-            out.append((left, right, "aligned", -s, ""))
-    frame = pd.DataFrame(out, columns=["baseline_ref", "candidate_ref", "status", "score", "others"])
-    frame.insert(0, "comparison_id", edges["comparison_id"].iloc[0])
-    return frame
+    a, b, edges = (checkpointed(x) for x in similar_classes(left, right))
+    free_a, free_b = (x.select("comparison_id", c, F.col("members").alias(m)) for x, c, m in ((a, "a_class", "am"), (b, "b_class", "bm")))
+    done = None
+    while True:
+        live = edges.join(free_a, ["comparison_id", "a_class"]).join(free_b, ["comparison_id", "b_class"])
+        claim = F.struct((-F.col("score")).alias("s"), F.element_at("am", 1).alias("l"), F.element_at("bm", 1).alias("r"))
+        live = checkpointed(live.withColumn("claim", claim))
+        if live.isEmpty():
+            break
+        of_a, of_b = Window.partitionBy("comparison_id", "a_class"), Window.partitionBy("comparison_id", "b_class")
+        # the first two claims on a right class, so that each left class sees the first one of others
+        first = F.array_sort(F.collect_list(F.struct("claim", "a_class")).over(of_b))
+        others = live.withColumn("rival", F.get(F.transform(F.filter(first, lambda x: x["a_class"] != F.col("a_class")), lambda x: x["claim"]), 0))
+        best = others.withColumn("best", F.min("claim").over(of_a)).withColumn("near", F.abs(-F.col("score") - F.col("best.s")) < NEAR_TIE)
+        state = best.where("near").groupBy("comparison_id", "a_class").agg(
+            F.first("am").alias("am"), F.first("best").alias("best"), F.min("rival").alias("rival"), F.sum(F.size("bm")).alias("n"),
+            F.array_sort(F.flatten(F.collect_list("bm"))).alias("near"),
+        )
+        # members before the first rival's claim are settled now
+        early = F.filter("am", lambda m: F.col("rival").isNull() | (F.struct(F.col("best.s").alias("s"), m.alias("l"), F.col("best.r").alias("r")) < F.col("rival")))
+        settled = checkpointed(state.withColumn("early", early).where("size(early) > 0").select(
+            "comparison_id", "a_class", "n", "near", (-F.col("best.s")).alias("score"), F.col("best.r").alias("taken"), F.when(F.col("n") > 1, F.col("early")).otherwise(F.slice("early", 1, 1)).alias("early")))
+        rows = settled.select("comparison_id", F.explode("early").alias("baseline_ref"), "n", "near", "score", "taken").select(
+            "comparison_id", "baseline_ref", F.when(F.col("n") == 1, F.col("taken")).alias("candidate_ref"), F.when(F.col("n") == 1, "aligned").otherwise("ambiguous").alias("status"),
+            "score", F.when(F.col("n") > 1, F.array_join("near", ",")).otherwise("").alias("others"))
+        done = rows if done is None else done.unionByName(rows)
+        free_a = free_a.join(settled.select("comparison_id", "a_class", "early"), ["comparison_id", "a_class"], "left").withColumn("am", F.array_except("am", F.coalesce("early", F.array().cast("array<string>")))).where("size(am) > 0").drop("early")
+        gone = settled.where("n = 1").join(edges, ["comparison_id", "a_class"]).select("comparison_id", "b_class", "taken").distinct()
+        gone = gone.join(free_b, ["comparison_id", "b_class"]).where(F.array_contains("bm", F.col("taken"))).groupBy("comparison_id", "b_class").agg(F.collect_set("taken").alias("gone"))
+        free_b = free_b.join(gone, ["comparison_id", "b_class"], "left").withColumn("bm", F.array_except("bm", F.coalesce("gone", F.array().cast("array<string>")))).where("size(bm) > 0").drop("gone")
+        free_a, free_b = checkpointed(free_a), checkpointed(free_b)
+    return done if done is not None else left.sparkSession.createDataFrame([], _ALIGNMENT)
 
 
 _ALIGNMENT = "comparison_id string, baseline_ref string, candidate_ref string, status string, score double, others string"
@@ -103,15 +138,12 @@ _ALIGNMENT = "comparison_id string, baseline_ref string, candidate_ref string, s
 def align(left: DataFrame, right: DataFrame) -> DataFrame:
     """comparison_id, baseline_ref, candidate_ref, status, score, others: every node of both sides once.
 
-    Nodes of equal role go first; only what is left is compared by signature. The greedy
-    matching is sequential in one comparison, so its similar pairs (of two cases) meet
-    in one group; comparisons are independent and run in parallel.
+    Nodes of equal role go first; only what is left is compared by signature, see :func:`matched`.
     """
     by_role = align_by_role(left, right)
     rest = lambda df, ref: df.join(by_role.select("comparison_id", F.col(ref).alias("node_id")), ["comparison_id", "node_id"], "left_anti")
-    left_over, right_over = rest(left, "baseline_ref"), rest(right, "candidate_ref")
-    matched = similar_pairs(left_over, right_over).groupBy("comparison_id").applyInPandas(match, _ALIGNMENT)
-    found = by_role.select("*", F.lit("aligned").alias("status"), F.lit(1.0).alias("score"), F.lit("").alias("others")).unionByName(matched)
+    by_signature = matched(rest(left, "baseline_ref"), rest(right, "candidate_ref"))
+    found = by_role.select("*", F.lit("aligned").alias("status"), F.lit(1.0).alias("score"), F.lit("").alias("others")).unionByName(by_signature)
     lone = lambda df, ref, other, status: df.join(
         found.where(F.col(ref).isNotNull()).select("comparison_id", F.col(ref).alias("node_id")), ["comparison_id", "node_id"], "left_anti"
     ).select("comparison_id", F.col("node_id").alias(ref), F.lit(None).cast("string").alias(other), F.lit(status).alias("status"), F.lit(0.0).alias("score"), F.lit("").alias("others"))
@@ -154,12 +186,16 @@ def status_changed(rows: DataFrame) -> DataFrame:
 
 
 def context_differences(rows: DataFrame, contexts: DataFrame) -> DataFrame:
-    """Aligned pairs with the context names that are missing, added or changed on the candidate's side."""
+    """Aligned pairs with the context names that are missing, added or changed on the candidate's side.
+
+    Cases may share node ids, so contexts are looked up by case and node. Of a name observed twice at
+    a node the greatest context_id counts.
+    """
     name = F.concat("namespace", F.lit("."), "field_name")
-    of = contexts.where("observed_at_node_ref is not null").groupBy("observed_at_node_ref").agg(
-        F.map_from_entries(F.array_sort(F.collect_set(F.struct(name.alias("k"), "value")))).alias("m"))
-    joined = rows.join(of.select(F.col("observed_at_node_ref").alias("baseline_ref"), F.col("m").alias("ma")), "baseline_ref", "left").join(
-        of.select(F.col("observed_at_node_ref").alias("candidate_ref"), F.col("m").alias("mb")), "candidate_ref", "left")
+    last = contexts.where("observed_at_node_ref is not null").groupBy("case_id", F.col("observed_at_node_ref").alias("ref"), name.alias("k")).agg(F.max_by("value", "context_id").alias("value"))
+    of = last.where("k is not null").groupBy("case_id", "ref").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "value")))).alias("m"))
+    side = lambda case, ref, m: of.select(F.col("case_id").alias(case), F.col("ref").alias(ref), F.col("m").alias(m))
+    joined = rows.join(side("a_case_id", "baseline_ref", "ma"), ["a_case_id", "baseline_ref"], "left").join(side("b_case_id", "candidate_ref", "mb"), ["b_case_id", "candidate_ref"], "left")
     keys = lambda m: F.coalesce(F.map_keys(m), F.array().cast("array<string>"))
     both = F.array_intersect(keys("ma"), keys("mb"))
     return joined.select(
@@ -200,8 +236,8 @@ def evidence_changed(rows: DataFrame) -> DataFrame:
 
 def structural(alignments: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
     lone = alignments.where(F.col("status").isin("baseline_only", "candidate_only")).withColumn("node_id", F.coalesce("baseline_ref", "candidate_ref"))
-    nodes = left.select("comparison_id", "node_id", "task_attempt", "offset_ms").unionByName(right.select("comparison_id", "node_id", "task_attempt", "offset_ms"))
-    rows = lone.join(nodes, ["comparison_id", "node_id"])
+    of_side = lambda df, status: df.select("comparison_id", F.lit(status).alias("status"), "node_id", "task_attempt", "offset_ms")
+    rows = lone.join(of_side(left, "baseline_only").unionByName(of_side(right, "candidate_only")), ["comparison_id", "status", "node_id"])
     retry = F.coalesce(F.col("task_attempt") > 1, F.lit(False))
     name = F.when(F.col("status") == "candidate_only", "structure.additional-operation").otherwise("structure.missing-operation")
     return _divergence(rows, "structure", name, F.when(retry, "high").otherwise("medium"), F.when(retry, "outcome_relevant").otherwise("semantic"), F.col("offset_ms"), stable_id("divergence.structure", F.col("alignment_id")))
@@ -222,8 +258,8 @@ def effect_counts(pairs: DataFrame, effects: DataFrame) -> DataFrame:
 
 def effect_changed(pairs: DataFrame, effects: DataFrame, right: DataFrame) -> DataFrame:
     rows = effect_counts(pairs, effects)
-    made = rows.select("comparison_id", "logical_effect_key", F.explode("b_ids").alias("effect_id")).join(effects.select("effect_id", F.col("producer_node_ref").alias("node_id")), "effect_id")
-    ranks = made.join(right.select("comparison_id", "node_id", "offset_ms"), ["comparison_id", "node_id"]).groupBy("comparison_id", "logical_effect_key").agg(F.min("offset_ms").alias("rank"))
+    made = effects.select("case_id", "logical_effect_key", F.col("producer_node_ref").alias("node_id"))
+    ranks = made.join(right.select("comparison_id", "case_id", "node_id", "offset_ms"), ["case_id", "node_id"]).groupBy("comparison_id", "logical_effect_key").agg(F.min("offset_ms").alias("rank"))
     rows = rows.join(ranks, ["comparison_id", "logical_effect_key"], "left").withColumns({"baseline_ref": F.array_join("a_ids", ","), "candidate_ref": F.array_join("b_ids", ",")})
     return _divergence(
         rows, "effect", F.lit("effect.durable-count-changed"), F.when(F.col("b_n") > 1, "critical").otherwise("high"), F.lit("outcome_relevant"), F.coalesce("rank", F.lit(0.0)),

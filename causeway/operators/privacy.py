@@ -61,10 +61,20 @@ STRUCTURAL_KEYS = {
     "node_id", "relation_id", "context_id", "fact_id", "effect_id", "observation_id", "component_id", "boundary_id", "resource_id", "source_id", "case_id", "system_id",
     "source_ref", "target_ref", "component_ref", "producer_node_ref", "observation_ref", "origin_node_ref", "observed_at_node_ref", "transaction_ref",
 }
-# What must not be in an export.
+# What each policy does not let into an export.
+_NOT_SHAREABLE = {
+    "bearer": r"(?i)bearer\s+[a-z0-9._~+/-]+=*",
+    "aws_key": r"AKIA[0-9A-Z]{16}",
+    "secret": r"(?i)(password|passwd|secret|api[_-]?key)\s*[=:]\s*[^\s,}\]]+",
+    "private_key": r"-----BEGIN (?:RSA |EC |OPENSSH )?PRIVATE KEY-----",
+}
 PROHIBITED = {
-    "email": EMAIL, "bearer": r"(?i)bearer\s+[a-z0-9._-]{8,}", "secret": r"""(?i)(token|password|secret)\s*=\s*["'][^"']{6,}["']""", "ipv4": r"\b[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\b",
+    "internal": {"authorization": r"(?i)authorization:\s*bearer\s+\S+", "password": r"(?i)password\s*[=:]\s*\S+"},
+    "shareable": _NOT_SHAREABLE,
+    "public": _NOT_SHAREABLE,
 }
+#: What scans look for besides; no policy names these.
+PERSONAL = {"email": EMAIL, "ipv4": r"\b[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\b"}
 
 
 def policy(name: str) -> list[Rule]:
@@ -189,10 +199,10 @@ def redaction_summary(df: DataFrame, id_col: str, policy_name: str, secret: byte
     return rows.groupBy("action").agg(F.count("*").alias("n"), F.count_distinct(F.when(F.col("action") == "tokenize", F.col("replacement"))).alias("tokens"))
 
 
-def violations(df: DataFrame, id_col: str) -> DataFrame:
-    """(id, path, pattern): prohibited patterns that fields still hold. One scan; all patterns are tried in place."""
-    rows = leaves(df, id_col)
-    found = F.array_compact(F.array(*[F.when(F.coalesce(F.col("value").rlike(p), F.lit(False)), F.lit(name)) for name, p in PROHIBITED.items()]))
+def violations(df: DataFrame, id_col: str, policy_name: str = "shareable", besides: dict[str, str] = PERSONAL) -> DataFrame:
+    """(id, path, pattern): what a policy prohibits, and what is looked for besides, that fields still hold. One scan; all patterns are tried in place."""
+    rows, patterns = leaves(df, id_col), PROHIBITED[policy_name] | besides
+    found = F.array_compact(F.array(*[F.when(F.coalesce(F.col("value").rlike(p), F.lit(False)), F.lit(name)) for name, p in patterns.items()]))
     return rows.select("id", "path", F.explode(found).alias("pattern"))
 
 
@@ -206,7 +216,7 @@ def first_matches(df: DataFrame, id_col: str, pattern: str) -> DataFrame:
 def export(df: DataFrame, id_col: str, policy_name: str, secret: bytes) -> tuple[DataFrame, DataFrame]:
     """(records that are clean after redaction, ids of those that are not with what they still hold)."""
     clean = redact(df, id_col, policy_name, secret)
-    bad = violations(clean, id_col).groupBy("id").agg(F.array_sort(F.collect_set("pattern")).alias("patterns"))
+    bad = violations(clean, id_col, policy_name, {}).groupBy("id").agg(F.array_sort(F.collect_set("pattern")).alias("patterns"))
     return clean.join(bad.select(F.col("id").alias(id_col)), id_col, "left_anti"), bad
 
 

@@ -79,7 +79,7 @@ def _role_rows(t):
 
 
 _ALN = sql_id("alignment", "z.baseline_ref", "z.candidate_ref")
-_BOTH = ROLE + """, x AS (SELECT z.comparison_id, z.baseline_ref, z.candidate_ref, {aln} AS alignment_id, least(a.offset_ms, b.offset_ms) AS rank_ms, a.status AS a_status, b.status AS b_status, a.tenant_id AS a_tenant, b.tenant_id AS b_tenant, a.principal_id AS a_principal, b.principal_id AS b_principal,
+_BOTH = ROLE + """, x AS (SELECT z.comparison_id, a.case_id AS a_case, b.case_id AS b_case, z.baseline_ref, z.candidate_ref, {aln} AS alignment_id, least(a.offset_ms, b.offset_ms) AS rank_ms, a.status AS a_status, b.status AS b_status, a.tenant_id AS a_tenant, b.tenant_id AS b_tenant, a.principal_id AS a_principal, b.principal_id AS b_principal,
     a.idempotency_key AS a_key, b.idempotency_key AS b_key, a.task_attempt AS a_attempt, b.task_attempt AS b_attempt, a.message_id AS a_message, b.message_id AS b_message, a.duration_ms AS a_ms, b.duration_ms AS b_ms,
     a.has_evidence AS a_seen, b.has_evidence AS b_seen FROM zipped z JOIN a ON a.comparison_id = z.comparison_id AND a.node_id = z.baseline_ref JOIN b ON b.comparison_id = z.comparison_id AND b.node_id = z.candidate_ref)""".replace("{aln}", _ALN)
 
@@ -95,7 +95,7 @@ _divergence_query("l08_identity_changed", lambda t, r: compare.identity_changed(
                   "CASE WHEN tenant THEN 'outcome_relevant' ELSE 'semantic' END", ctes=_CHANGES, source="ch")
 _divergence_query("l09_duration_regression", lambda t, r: compare.duration_changed(r), "timing", "timing.duration-regression", "abs(b_ms - a_ms) >= 25 AND greatest(a_ms, b_ms) / greatest(1.0, least(a_ms, b_ms)) >= 1.5", "'medium'", "'semantic'")
 _divergence_query("l10_evidence_coverage", lambda t, r: compare.evidence_changed(r), "evidence", "evidence.node-coverage-changed", "a_seen <> b_seen", "'low'", "'observational'", "FALSE")
-_CTX = """, cx AS (SELECT x.*, ca.namespace || '.' || ca.field_name AS ka, cb.namespace || '.' || cb.field_name AS kb, ca.value AS va, cb.value AS vb FROM x LEFT JOIN contexts ca ON ca.observed_at_node_ref = baseline_ref LEFT JOIN contexts cb ON cb.observed_at_node_ref = candidate_ref)"""
+_CTX = """, cx AS (SELECT x.*, ca.namespace || '.' || ca.field_name AS ka, cb.namespace || '.' || cb.field_name AS kb, ca.value AS va, cb.value AS vb FROM x LEFT JOIN contexts ca ON ca.case_id = a_case AND ca.observed_at_node_ref = baseline_ref LEFT JOIN contexts cb ON cb.case_id = b_case AND cb.observed_at_node_ref = candidate_ref)"""
 _divergence_query("l07_context_changed", lambda t, r: compare.context_changed(r, t["contexts"]), "context", "context.changed", "ka IS DISTINCT FROM kb OR va IS DISTINCT FROM vb",
                   "CASE WHEN ka IS NOT NULL THEN 'high' ELSE 'medium' END", "CASE WHEN ka IS NOT NULL THEN 'outcome_relevant' ELSE 'semantic' END", ctes=_CTX, source="cx")
 query("d17_context_differences", _BOTH + _CTX + """ SELECT comparison_id, baseline_ref, candidate_ref, CASE WHEN ka IS DISTINCT FROM kb THEN coalesce(ka, '') ELSE '' END AS missing, CASE WHEN ka IS DISTINCT FROM kb THEN coalesce(kb, '') ELSE '' END AS added,
@@ -106,7 +106,7 @@ COUNTS = """, k AS (SELECT case_id, logical_effect_key, count(*) FILTER (durabil
         coalesce(ka.ids, '') AS a_ids, coalesce(kb.ids, '') AS b_ids FROM ka FULL JOIN kb ON ka.comparison_id = kb.comparison_id AND ka.logical_effect_key = kb.logical_effect_key)"""
 query("d16_effect_count_differences", COUNTS + " SELECT * FROM both_k WHERE a_n <> b_n")(lambda t: compare.effect_counts(t["pairs"], t["effects"]))
 query("l11_effect_count_changed", SIDES + COUNTS + f""" SELECT comparison_id, {sql_id('divergence.effect', 'logical_effect_key', 'a_n', 'b_n')} AS divergence_id, CASE WHEN b_n > 1 THEN 'critical' ELSE 'high' END AS severity,
-    coalesce((SELECT min(offset_ms) FROM b JOIN effects e ON e.producer_node_ref = b.node_id WHERE b.comparison_id = x.comparison_id AND e.logical_effect_key = x.logical_effect_key), 0.0) AS rank_ms FROM both_k x WHERE a_n <> b_n""")(
+    coalesce((SELECT min(offset_ms) FROM b JOIN effects e ON e.case_id = b.case_id AND e.producer_node_ref = b.node_id WHERE b.comparison_id = x.comparison_id AND e.logical_effect_key = x.logical_effect_key), 0.0) AS rank_ms FROM both_k x WHERE a_n <> b_n""")(
     lambda t: compare.effect_changed(t["pairs"], t["effects"], _prepared(t)[1]).select("comparison_id", "divergence_id", "severity", "rank_ms"))
 query("l04_structural_divergence")(lambda t: compare.structural(compare.align(*_prepared(t)), *_prepared(t)))
 query("l05_ambiguous_alignment")(lambda t: compare.ambiguous(compare.align(*_prepared(t))))

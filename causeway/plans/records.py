@@ -121,10 +121,15 @@ table_query("m04_transformation_records", _LEAVES + f"""SELECT {sql_id('transfor
 table_query("e12_redaction_summary", _LEAVES + "SELECT action, count(*) AS n, count(DISTINCT CASE WHEN action = 'tokenize' THEN replacement END) AS tokens FROM leaf WHERE action <> 'retain' AND value IS NOT NULL GROUP BY action")(
     lambda r: privacy.redaction_summary(_docs(r), "doc_id", "shareable", _SECRET))
 table_query("e11_inventory_by_label", _LEAVES + "SELECT labels AS label, count(*) AS n FROM leaf WHERE labels <> '' GROUP BY labels")(lambda r: privacy.by_label(_docs(r), "doc_id", "shareable"))
-_IP = r"\b[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\b"
-_VIOL = f"""SELECT doc_id AS id, 'record.text' AS path, 'email' AS pattern FROM documents WHERE regexp_matches(text, '{_EMAIL}') UNION ALL SELECT doc_id, 'record.text', 'bearer' FROM documents WHERE regexp_matches(text, '(?i)bearer\\s+[a-z0-9._-]{{8,}}')
-    UNION ALL SELECT doc_id, 'record.text', 'secret' FROM documents WHERE regexp_matches(text, '(?i)(token|password|secret)\\s*=\\s*["''][^"'']{{6,}}["'']') UNION ALL SELECT doc_id, 'record.text', 'ipv4' FROM documents WHERE regexp_matches(text, '{_IP}')"""
-table_query("c08_prohibited_patterns", _VIOL)(lambda r: privacy.violations(_docs(r), "doc_id"))
+#: Records with a header that some of the policies' patterns meet.
+_headed = lambda r: _docs(r).withColumn("header", F.element_at(F.array(
+    F.concat(F.lit("Authorization: Bearer "), "source", "doc_id"), F.concat(F.lit("AKIA"), F.lpad(F.col("doc_id").cast("string"), 16, "0")), F.concat(F.lit("passwd : "), "doc_id"),
+    F.concat(F.lit("-----BEGIN EC PRIVATE KEY-----"), "doc_id"), F.concat(F.lit("10.0.0."), F.col("doc_id") % 256), F.lit("plain"), F.lit(None).cast("string")), (F.col("doc_id") % 7 + 1).cast("int")))
+_HEADED = f"""SELECT doc_id AS id, unnest(['record.text', 'record.source', 'record.owner', 'record.api_key', 'record.header']) AS path, unnest([text, source, {_OWNER}, CASE WHEN doc_id % 9 = 0 THEN 'k' || doc_id END,
+    ['Authorization: Bearer ' || source || doc_id, 'AKIA' || lpad(doc_id::VARCHAR, 16, '0'), 'passwd : ' || doc_id, '-----BEGIN EC PRIVATE KEY-----' || doc_id, '10.0.0.' || doc_id % 256, 'plain', NULL][doc_id % 7 + 1]]) AS value FROM documents"""
+_SQL_TEXT = lambda p: "'" + p.replace("'", "''") + "'"
+_VIOL = " UNION ALL ".join(f"SELECT id, path, '{name}' AS pattern FROM ({_HEADED}) WHERE regexp_matches(value, {_SQL_TEXT(p)})" for name, p in (privacy.PROHIBITED["shareable"] | privacy.PERSONAL).items())
+table_query("c08_prohibited_patterns", _VIOL)(lambda r: privacy.violations(_headed(r), "doc_id"))
 table_query("c09_first_match_in_payload", f"SELECT doc_id AS id, regexp_extract(text, '{_EMAIL}') AS match FROM documents WHERE regexp_matches(text, '{_EMAIL}')")(lambda r: privacy.first_matches(r("documents").select("doc_id", "text"), "doc_id", _EMAIL))
 table_query("m06_clean_export", _REDACTED)(lambda r: privacy.export(_docs(r), "doc_id", "shareable", _SECRET)[0])
 table_query("m05_policies", f"""SELECT 'internal' AS policy, doc_id, text, source, {_OWNER} AS owner, CASE WHEN doc_id % 9 = 0 THEN '[PROHIBITED]' END AS api_key FROM documents
@@ -226,8 +231,8 @@ query("b14_semantic_signature", " SELECT node_id, n.kind AS node_kind, lower(tri
     lambda t: __import__("causeway.operators.compare", fromlist=["prepare"]).prepare(t["nodes"], t["components"]).select("node_id", "node_kind", "operation", "component_kind"))
 query("d08_component_default", " SELECT node_id, coalesce(c.kind, 'unknown') AS kind FROM nodes n LEFT JOIN (FROM components WHERE kind <> 'broker') c ON component_ref = component_id")(
     lambda t: t["nodes"].select("node_id", "component_ref").join(F.broadcast(t["components"].where("kind <> 'broker'").select(F.col("component_id").alias("component_ref"), "kind")), "component_ref", "left").select("node_id", F.coalesce("kind", F.lit("unknown")).alias("kind")))
-query("d09_context_map", " SELECT observed_at_node_ref AS node_id, namespace || '.' || field_name || '=' || value AS context FROM contexts WHERE observed_at_node_ref IS NOT NULL")(
-    lambda t: t["contexts"].where("observed_at_node_ref is not null").groupBy(F.col("observed_at_node_ref").alias("node_id")).agg(F.array_sort(F.collect_list(F.concat("namespace", F.lit("."), "field_name", F.lit("="), "value"))).alias("context")))
+query("d09_context_map", " SELECT case_id, observed_at_node_ref AS node_id, string_agg(namespace || '.' || field_name || '=' || value, ',' ORDER BY namespace || '.' || field_name || '=' || value) AS context FROM contexts WHERE observed_at_node_ref IS NOT NULL GROUP BY ALL")(
+    lambda t: t["contexts"].where("observed_at_node_ref is not null").groupBy("case_id", F.col("observed_at_node_ref").alias("node_id")).agg(F.array_sort(F.collect_list(F.concat("namespace", F.lit("."), "field_name", F.lit("="), "value"))).alias("context")))
 query("f04_context_source", """ SELECT case_id, field_name, arg_min(context_id, (CASE WHEN origin_node_ref = observed_at_node_ref THEN 0 ELSE 1 END, input_seq)) AS source FROM contexts GROUP BY ALL""")(
     lambda t: t["contexts"].groupBy("case_id", "field_name").agg(F.min_by("context_id", F.struct((~F.col("origin_node_ref").eqNullSafe(F.col("observed_at_node_ref"))).cast("int"), "input_seq")).alias("source")))
 query("f06_first_divergence_kept", " SELECT case_id, logical_effect_key, min(effect_id) AS effect_id FROM effects GROUP BY ALL")(

@@ -1,6 +1,7 @@
 """Comparison and isolation of failures, held against plain Python on small cases."""
 
 import random
+import re
 from collections import Counter, defaultdict
 
 import pytest
@@ -26,17 +27,25 @@ def case(rng, name, n):
     ]
 
 
-@pytest.fixture(scope="module")
-def made(spark):
+def tables_of(spark, shared=False):
     rng = random.Random(11)
     cases = {f"{side}{i}": case(rng, f"{side}{i}", 9) for i in range(12) for side in "ab"}
+    own = (lambda n: "x") if shared else (lambda n: n)
+    if shared:
+        cases = {n: [(r[0], r[1].replace(n, "x"), *r[2:]) for r in rows] for n, rows in cases.items()}
     t = {
         "nodes": spark.createDataFrame([r for rows in cases.values() for r in rows], NODE),
         "components": spark.createDataFrame([("c1", "database", "store"), ("c2", "service", "handler")], "component_id string, kind string, role string"),
-        "contexts": spark.createDataFrame([(n, f"{n}.ctx", "s", "f", rng.choice("xy"), f"{n}.n01") for n in cases], "case_id string, context_id string, namespace string, field_name string, value string, observed_at_node_ref string"),
-        "effects": spark.createDataFrame([(n, f"{n}.e{j}", "key", rng.choice(["durable", "attempted"]), f"{n}.n0{j}") for n in cases for j in range(2)], "case_id string, effect_id string, logical_effect_key string, durability string, producer_node_ref string"),
+        "contexts": spark.createDataFrame([(n, f"{own(n)}.ctx", "s", "f", rng.choice("xy"), f"{own(n)}.n01") for n in cases], "case_id string, context_id string, namespace string, field_name string, value string, observed_at_node_ref string"),
+        "effects": spark.createDataFrame([(n, f"{own(n)}.e{j}", "key", rng.choice(["durable", "attempted"]), f"{own(n)}.n0{j}") for n in cases for j in range(2)], "case_id string, effect_id string, logical_effect_key string, durability string, producer_node_ref string"),
     }
     pairs = spark.createDataFrame([(f"cmp{i}", f"a{i}", f"b{i}") for i in range(12)], "comparison_id string, baseline_case string, candidate_case string")
+    return cases, pairs, t
+
+
+@pytest.fixture(scope="module")
+def made(spark):
+    cases, pairs, t = tables_of(spark)
     out = compare.compare(pairs, t)
     return cases, {name: [r.asDict() for r in df.collect()] for name, df in out.items()}, [r.asDict() for r in compare.in_order(out["divergences"]).collect()]
 
@@ -84,6 +93,56 @@ def test_alignment_by_hand(made):
     assert {r["status"] for r in got["alignments"]} == {"aligned", "ambiguous", "baseline_only", "candidate_only"}
 
 
+def test_cases_that_share_ids_compare_alike(spark, made):
+    """All cases hold the same node, context and effect ids: the result is that of ids of their own."""
+    _, pairs, t = tables_of(spark, shared=True)
+    bare = lambda text: re.sub(r"[ab]\d+\.", "x.", text)
+    rows = lambda found: Counter((d["comparison_id"], d["classification"], d["severity"], d["consequence"], bare(d["baseline_refs"]), bare(d["candidate_refs"]), d["rank_ms"]) for d in found)
+    got = rows(r.asDict() for r in compare.compare(pairs, t)["divergences"].collect())
+    assert got == rows(made[1]["divergences"]) and {c for _, c, *_ in got} >= {"context.changed", "effect.durable-count-changed", "structure.missing-operation"}
+
+
+def test_contexts_of_shared_and_repeated_names(spark):
+    node = lambda c: (c, "n", "r", "read", "get", "c1", None, None, None, "ok", None, 0, 5, None, None, None, None, [])
+    cases = {"same": [("v", "1")], "lost": [], "other": [("v", "2")], "twice": [("v", "2"), ("v", "1")], "more": [("v", "1"), ("w", "1")]}
+    t = {
+        "nodes": spark.createDataFrame([node(c) for c in ("base", *cases)], NODE), "components": spark.createDataFrame([("c1", "database", "store")], "component_id string, kind string, role string"),
+        "contexts": spark.createDataFrame([(c, f"ctx{i}", "s", name, value, "n") for c, seen in (("base", [("v", "1")]), *cases.items()) for i, (name, value) in enumerate(seen)],
+                                          "case_id string, context_id string, namespace string, field_name string, value string, observed_at_node_ref string"),
+        "effects": spark.createDataFrame([], "case_id string, effect_id string, logical_effect_key string, durability string, producer_node_ref string"),
+    }
+    pairs = spark.createDataFrame([(c, "base", c) for c in cases], "comparison_id string, baseline_case string, candidate_case string")
+    got = {r.comparison_id: (r.classification, r.severity) for r in compare.compare(pairs, t)["divergences"].collect()}
+    assert got == {"lost": ("context.changed", "high"), "other": ("context.changed", "high"), "more": ("context.changed", "medium")}
+
+
+def greedy(edges):
+    """The matching, one edge after the other."""
+    done, taken, out = set(), set(), []
+    for s, a, b in sorted(edges):
+        if a in done or b in taken:
+            continue
+        near = sorted(y for x, l, y in edges if l == a and y not in taken and abs(x - s) < 0.03)
+        done.add(a)
+        taken |= {b} if len(near) == 1 else set()
+        out.append((a, b, "aligned", round(-s, 6), "") if len(near) == 1 else (a, None, "ambiguous", round(-s, 6), ",".join(near)))
+    return sorted(out, key=str)
+
+
+def test_matching_in_rounds_equals_one_after_the_other(spark, monkeypatch):
+    """Scores drawn from few values, so that claims tie and cross; nodes are classes of their own."""
+    rng = random.Random(5)
+    edges = {c: [(-rng.choice([0.6, 0.62, 0.64, 0.7, 0.9]), f"l{i}", f"r{j}") for i in range(rng.randrange(1, 9)) for j in range(9) if rng.random() < rng.choice([0.15, 0.5])] for c in map(str, range(40))}
+    members = lambda side, at: spark.createDataFrame([(c, n, [n]) for c, es in edges.items() for n in sorted({e[at] for e in es})], f"comparison_id string, {side} string, members array<string>")
+    rows = spark.createDataFrame([(c, a, b, -s) for c, es in edges.items() for s, a, b in es], "comparison_id string, a_class string, b_class string, score double")
+    monkeypatch.setattr(compare, "similar_classes", lambda left, right: (members("a_class", 1), members("b_class", 2), rows))
+    found = defaultdict(list)
+    for r in compare.matched(rows, rows).collect():
+        found[r.comparison_id].append((r.baseline_ref, r.candidate_ref, r.status, round(r.score, 6), r.others))
+    for c, es in edges.items():
+        assert sorted(found[c], key=str) == greedy(es)
+
+
 def test_structure_and_ambiguity_by_hand(made):
     cases, got, _ = made
     attempts = {r[1]: r[10] for rows in cases.values() for r in rows}
