@@ -189,10 +189,11 @@ def context_differences(rows: DataFrame, contexts: DataFrame) -> DataFrame:
     """Aligned pairs with the context names that are missing, added or changed on the candidate's side.
 
     Cases may share node ids, so contexts are looked up by case and node. Of a name observed twice at
-    a node the greatest context_id counts.
+    a node the last one counts: by input_seq, where there is one, else by context_id.
     """
+    place = "input_seq" if "input_seq" in contexts.columns else "context_id"
     name = F.concat("namespace", F.lit("."), "field_name")
-    last = contexts.where("observed_at_node_ref is not null").groupBy("case_id", F.col("observed_at_node_ref").alias("ref"), name.alias("k")).agg(F.max_by("value", "context_id").alias("value"))
+    last = contexts.where("observed_at_node_ref is not null").groupBy("case_id", F.col("observed_at_node_ref").alias("ref"), name.alias("k")).agg(F.max_by("value", place).alias("value"))
     of = last.where("k is not null").groupBy("case_id", "ref").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "value")))).alias("m"))
     side = lambda case, ref, m: of.select(F.col("case_id").alias(case), F.col("ref").alias(ref), F.col("m").alias(m))
     joined = rows.join(side("a_case_id", "baseline_ref", "ma"), ["a_case_id", "baseline_ref"], "left").join(side("b_case_id", "candidate_ref", "mb"), ["b_case_id", "candidate_ref"], "left")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from causeway.functions.scalars import canonical_json, digest
+from causeway.session import checkpointed
 
 
 def expected_points(*parts: DataFrame) -> DataFrame:
@@ -82,7 +83,7 @@ def failures(constraints: list[tuple[str, str, str, object]]) -> Column:
         else:
             raise ValueError(f"unknown constraint: {op}")
         out.append(F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)))
-    return F.array_compact(F.array(*out))
+    return F.array_compact(F.array(*out)) if out else F.array().cast("array<string>")
 
 
 def grid(domains: dict[str, DataFrame], constraints: list) -> DataFrame:
@@ -95,9 +96,95 @@ def grid(domains: dict[str, DataFrame], constraints: list) -> DataFrame:
     return combined.withColumn("broken", failures(constraints))
 
 
-def sample(rows: DataFrame, n: int, seed: int) -> DataFrame:
-    """n admissible rows in an order fixed by a seed."""
-    return rows.where(F.size("broken") == 0).orderBy(F.xxhash64(F.lit(seed), *[c for c in rows.columns if c != "broken"])).limit(n)
+def _reads(constraint: tuple) -> set[str]:
+    _, op, column, operand = constraint
+    return {column, operand[1]} if op in ("requires", "excludes") else {column}
+
+
+def join_order(sizes: dict[str, int], constraints: list) -> list[str]:
+    """The domains in the order in which they are joined: next is always the one that lets the most constraints cut, then the smallest."""
+    order: list[str] = []
+    while len(order) < len(sizes):
+        there = set(order)
+        cuts = {c: sum(_reads(x) <= there | {c} and not _reads(x) <= there for x in constraints) for c in sizes if c not in there}
+        order.append(min(cuts, key=lambda c: (-cuts[c], sizes[c], c)))
+    return order
+
+
+def admissible_steps(domains: dict[str, DataFrame], constraints: list) -> list[DataFrame]:
+    """The growing product of the domains, of which each constraint cuts what breaks it as soon as its columns are there."""
+    counted = reduce(DataFrame.unionByName, [d.agg(F.count("*").alias("n")).select(F.lit(c).alias("c"), "n") for c, d in domains.items()])
+    order = join_order({r["c"]: r["n"] for r in counted.collect()}, constraints)  # a row for each domain
+    steps: list[DataFrame] = []
+    for number, column in enumerate(order):
+        before = set(order[:number])
+        rows = steps[-1].join(domains[column], F.lit(True)) if steps else domains[column]
+        ready = [x for x in constraints if _reads(x) <= before | {column} and not _reads(x) <= before]
+        steps.append(rows.where(F.size(failures(ready)) == 0) if ready else rows)
+    return steps
+
+
+def admissible(domains: dict[str, DataFrame], constraints: list) -> DataFrame:
+    """Every combination of the domains' values that breaks no constraint; the whole product is never built. Constraints on
+    columns without a domain are errors."""
+    if unknown := set().union(*map(_reads, constraints), set()) - set(domains):
+        raise ValueError(f"constraints on unknown parameters: {sorted(unknown)}")
+    return admissible_steps(domains, constraints)[-1].select(*domains)
+
+
+#: Rounds of the permutation, and the numbers that its rounds multiply by.
+_ROUNDS, _FIRST, _SECOND = 4, 40503, 60493
+
+
+def half_bits(size: int) -> int:
+    """Bits of each half of a permutation of at least ``size`` numbers; at most 30."""
+    bits = max(1, ((max(size, 2) - 1).bit_length() + 1) // 2)
+    if bits > 30:
+        raise ValueError("the product of the domains has more than 2^60 combinations")
+    return bits
+
+
+def round_keys(seed: int, bits: int) -> list[int]:
+    return [(seed * 1_000_003 + (r + 1) * 7_919) % (1 << bits) for r in range(_ROUNDS)]
+
+
+def permuted(number: Column, seed: int, bits: int) -> Column:
+    """A seeded permutation of the numbers of ``2 * bits`` bits: a Feistel network."""
+    left, right = F.shiftrightunsigned(number, bits), number.bitwiseAND(F.lit((1 << bits) - 1))
+    for key in round_keys(seed, bits):
+        mixed = right.bitwiseXOR(F.lit(key)) * F.lit(_FIRST).cast("long")
+        mixed = mixed.bitwiseXOR(F.shiftright(mixed, 9)) * F.lit(_SECOND).cast("long")
+        left, right = right, left.bitwiseXOR(F.shiftright(mixed, 5).bitwiseAND(F.lit((1 << bits) - 1)))
+    return F.shiftleft(left, bits).bitwiseOR(right)
+
+
+def sample(domains: dict[str, DataFrame], constraints: list, n: int, seed: int) -> DataFrame:
+    """``n`` different admissible combinations (all, if there are fewer), drawn without building the grid; ``draw`` is their order.
+
+    Combinations are numbered in mixed radix, the values of each domain in their order. A
+    seeded permutation of all numbers is walked from 0 on: what lies beyond the last
+    number, and what breaks a constraint, is passed over. Numbers are turned into values by a join
+    with each domain. Blocks of draws double until enough are found or the permutation ends.
+    """
+    numbered = {c: d.select(F.col(c), (F.row_number().over(Window.orderBy(c)) - 1).cast("long").alias("at")) for c, d in domains.items()}
+    sizes = {c: d.count() for c, d in domains.items()}
+    total = reduce(lambda a, b: a * b, sizes.values(), 1)
+    if not total or n <= 0:
+        return grid(domains, []).drop("broken").withColumn("draw", F.lit(0).cast("long")).limit(0)
+    bits, spark = half_bits(total), next(iter(domains.values())).sparkSession
+    start, block, parts, found = 0, max(64, 4 * n), [], 0
+    while found < n and start < 4**bits:
+        end = min(start + block, 4**bits)
+        rows = spark.range(start, end).select(F.col("id").alias("draw"), permuted(F.col("id"), seed, bits).alias("rank")).where(F.col("rank") < total)
+        for c in reversed(domains):  # the last domain turns fastest
+            digit = rows.withColumn("digit", F.col("rank") % sizes[c]).withColumn("rank", F.expr(f"rank div {sizes[c]}"))
+            rows = digit.join(numbered[c], digit["digit"] == numbered[c]["at"]).drop("digit", "at")
+        kept = rows.where(F.size(failures(constraints)) == 0).select(*domains, "draw").orderBy("draw").limit(n - found)
+        kept = checkpointed(kept)
+        parts.append(kept)
+        found += kept.count()
+        start, block = end, block * 2
+    return reduce(DataFrame.unionByName, parts)
 
 
 def parameter_pairs(instances: DataFrame, id_col: str) -> DataFrame:

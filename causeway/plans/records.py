@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -12,8 +13,8 @@ from causeway.functions import scalars as S
 from causeway.operators import assembly, coverage, integrity, invariants, mutations, privacy
 from causeway.plans.core import BROKEN, DERIVED, ORACLE_SQL, QUERIES, flat, graph, query
 from causeway.plans.views import SQL_VIEWS, sql_id
-from causeway.session import read_table
-from causeway.sources import traces
+from causeway.session import read_table, shared_folder
+from causeway.sources import case_store, traces
 from causeway.streaming import checks
 
 
@@ -166,7 +167,20 @@ _GRID = """WITH grid AS (SELECT segment, priority, region, concat_ws(',', CASE W
 _grid = lambda r: coverage.grid(_domains(r), _RULES)
 table_query("n06_parameter_grid", _GRID + "FROM grid")(_grid)
 table_query("c11_admissibility", _GRID + "SELECT segment, priority, region FROM grid WHERE broken = ''")(lambda r: _grid(r).where("size(broken) = 0").drop("broken"))
-table_query("n07_grid_sample", _GRID + "SELECT count(*) // count(*) * 10 AS n FROM grid")(lambda r: coverage.sample(_grid(r), 10, 7).agg(F.count("*").alias("n")))
+table_query("n06_admissible_grid", _GRID + "SELECT segment, priority, region FROM grid WHERE broken = ''")(lambda r: coverage.admissible(_domains(r), _RULES))
+
+
+def _drawn(n: int, seed: int, bits: int = 4) -> str:
+    """SQL of the same draws; four bits a half are enough for the 125 combinations."""
+    mask = (1 << bits) - 1
+    rounds = f"p0 AS (SELECT i, i >> {bits} AS l, i & {mask} AS r FROM range({4**bits}) x(i))"
+    for k, key in enumerate(coverage.round_keys(seed, bits)):
+        rounds += f", m{k} AS (SELECT *, xor(r, {key}) * 40503 AS m FROM p{k}), p{k + 1} AS (SELECT i, r AS l, xor(l, ((xor(m, m >> 9) * 60493) >> 5) & {mask}) AS r FROM m{k})"
+    return f""", {rounds}, numbered AS (SELECT *, ((dense_rank() OVER (ORDER BY segment) - 1) * 5 + dense_rank() OVER (ORDER BY priority) - 1) * 5 + dense_rank() OVER (ORDER BY region) - 1 AS number FROM grid)
+    SELECT segment, priority, region, i AS draw FROM p4 JOIN numbered ON number = (l << {bits}) | r WHERE broken = '' ORDER BY i LIMIT {n}"""
+
+
+table_query("n07_grid_sample", _GRID + _drawn(10, 7))(lambda r: coverage.sample(_domains(r), _RULES, 10, 7))
 _instances = lambda r: _grid(r).where("size(broken) = 0").drop("broken").withColumn("id", F.concat_ws("/", "segment", "priority", "region"))
 table_query("n08_parameter_pairs", _GRID + """, ok AS (FROM grid WHERE broken = '') SELECT DISTINCT 'priority' AS p1, priority AS v1, 'region' AS p2, CAST(region AS VARCHAR) AS v2 FROM ok UNION ALL SELECT DISTINCT 'priority', priority, 'segment', segment FROM ok
     UNION ALL SELECT DISTINCT 'region', CAST(region AS VARCHAR), 'segment', segment FROM ok""")(lambda r: coverage.parameter_pairs(_instances(r), "id"))
@@ -269,7 +283,69 @@ _fragments = lambda r: r("events").select("event_id", F.lit(1).alias("part"), "e
 table_query("f09_first_wins_merge", "SELECT event_id, 1 AS part, event_type, event_id % 8 = 0 AS collision FROM events")(lambda r: traces.merge_first(_fragments(r), "event_id", "part"))
 table_query("h01_union_of_fragments", "SELECT event_id, event_type FROM events UNION ALL SELECT event_id, CASE WHEN event_id % 8 = 0 THEN 'changed' ELSE event_type END FROM events WHERE event_id % 4 = 0")(lambda r: _fragments(r).drop("part"))
 table_query("a04_bounded_page", "SELECT event_id FROM events ORDER BY event_id LIMIT 25 OFFSET 100")(lambda r: traces.page(r("events").select("event_id"), "event_id", 100, 25))
-table_query("a16_catalogue", f"SELECT case_id, version FROM ({_MANIFESTS})")(_manifests)
+
+
+# stored cases
+def _stored(spark, parts: list[DataFrame]) -> str:
+    root = f"{shared_folder(spark)}/cases-{uuid.uuid4().hex}"
+    case_store.save_cases(parts, root)
+    return root
+
+
+_ENTITIES = {"nodes": "node_id", "relations": "relation_id", "contexts": "context_id", "observations": "observation_id", "effects": "effect_id"}
+
+
+def _case_parts(t: dict) -> list[DataFrame]:
+    """Cases as they are stored: their tables, and documents made of the rest."""
+    system = F.broadcast(t["components"].agg(F.sort_array(F.collect_list(F.struct("component_id", "kind", "name", "role"))).alias("components")))  # of code-fixed size
+    none = F.array().cast("array<string>")
+    cases = t["cases"].select("case_id", "category", F.concat(F.lit("execution."), "case_id").alias("execution_id"))
+    documents = {
+        "manifest": cases.select("case_id", F.lit("case-folder").alias("format"), F.lit("1.0.0").alias("version")), "case": cases.select("case_id", "category"),
+        "execution": cases.select("case_id", "execution_id"), "system": cases.select("case_id").join(system, F.lit(True)).select("*", none.alias("boundaries"), none.alias("resources")),
+    }
+    return [case_store.as_records(e, t[e], key) for e, key in _ENTITIES.items()] + [case_store.as_records(e, df) for e, df in documents.items()]
+
+
+def _loaded(t: dict) -> DataFrame:
+    spark = t["nodes"].sparkSession
+    rows = case_store.load_cases(spark, _stored(spark, _case_parts(t)))
+    said = lambda e, f: F.get_json_object(e, f"$.{f}").alias(f)
+    return rows.select("case_id", said("case", "category"), said("execution", "execution_id"), said("manifest", "version"), *_ENTITIES, "state_facts", "components", "boundaries", "resources", "problems")
+
+
+query("a01_load_case", f" SELECT case_id, category, 'execution.' || case_id AS execution_id, '1.0.0' AS version, {', '.join(f'(SELECT count(*) FROM {e} x WHERE x.case_id = c.case_id) AS {e}' for e in _ENTITIES)}, 0 AS state_facts, "
+      "(SELECT count(*) FROM components) AS components, 0 AS boundaries, 0 AS resources, '' AS problems FROM cases c")(_loaded)
+_RELATION = "case_id, relation_id, kind, source_ref, target_ref, derivation"
+query("a01_relations_read_back", f" SELECT {_RELATION} FROM relations")(lambda t: case_store.read_entity(t["nodes"].sparkSession, _stored(
+    t["nodes"].sparkSession, [case_store.as_records("relations", t["relations"], "relation_id")]), "relations", "relation_id string, kind string, source_ref string, target_ref string, derivation string").select(*_RELATION.split(", ")))
+_JSON = lambda **f: " || ',' || ".join(f"'\"{k}\":' || coalesce({v}, 'null')" for k, v in sorted(f.items()))
+_TEXT = lambda c: f"'\"' || {c} || '\"'"
+_FILE_SQL = {
+    "model/relations.jsonl": ("relations", "relation_id", _JSON(**{c: _TEXT(c) for c in ("relation_id", "kind", "source_ref", "target_ref", "derivation")})),
+    "evidence/effects.jsonl": ("effects", "effect_id", _JSON(**{c: _TEXT(c) for c in ("effect_id", "logical_effect_key", "producer_node_ref", "durability", "idempotency_key")},
+                                                            evidence_refs=f"'[' || {_TEXT('evidence_refs[1]')} || ']'", required="required::VARCHAR", maximum_durable_count="maximum_durable_count::VARCHAR")),
+    "model/contexts.jsonl": ("contexts", "context_id", _JSON(**{c: _TEXT(c) for c in ("context_id", "namespace", "field_name", "value", "propagation_contract", "origin_node_ref", "observed_at_node_ref")}, input_seq="input_seq::VARCHAR")),
+}
+query("a12_case_sink", " " + " UNION ALL ".join(f"SELECT case_id, '{path}' AS path, strlen(content)::BIGINT AS size_bytes, 'sha256:' || sha256(content) AS digest FROM (SELECT case_id, string_agg('{{' || {line} || '}}' || chr(10), '' ORDER BY {key}) AS content FROM {table} GROUP BY case_id)"
+                                                for path, (table, key, line) in _FILE_SQL.items()))(
+    lambda t: case_store.content_index(t["nodes"].sparkSession, _stored(t["nodes"].sparkSession, [case_store.as_records(e, t[e], _ENTITIES[e]) for e in ("relations", "effects", "contexts")])))
+table_query("a16_catalogue", f"SELECT case_id, version FROM ({_MANIFESTS})")(lambda r: case_store.catalogue(r("events").sparkSession, _stored(
+    r("events").sparkSession, [case_store.as_records("manifest", _manifests(r).select(F.col("case_id").cast("string").alias("case_id"), "version"))])).select(F.col("case_id").cast("long").alias("case_id"), "version"))
+
+
+def _malformed(r) -> DataFrame:
+    """Documents as JSONL files of their sources, with blank and damaged lines."""
+    path = f"{shared_folder(r("events").sparkSession)}/lines-{uuid.uuid4().hex}"
+    good = F.to_json(F.struct("doc_id", "text"))
+    line = F.when(F.col("doc_id") % 13 == 0, "  ").when(F.col("doc_id") % 91 == 5, F.concat(F.lit("{"), "doc_id")).when(F.col("doc_id") % 97 == 6, F.col("doc_id").cast("string")).otherwise(good)
+    rows = r("documents").where("doc_id is not null").select("source", "doc_id", line.alias("value"))
+    rows.repartition("source").sortWithinPartitions("source", "doc_id", "value").drop("doc_id").write.partitionBy("source").text(path)
+    return traces.malformed_lines(r("events").sparkSession, path).select(F.url_decode(F.regexp_extract("file", "/source=([^/]+)/", 1)).alias("source"), F.col("line").cast("long"), "value")
+
+
+table_query("a03_malformed_lines", """SELECT source, line, value FROM (SELECT source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS line,
+    CASE WHEN doc_id % 13 = 0 THEN NULL WHEN doc_id % 91 = 5 THEN '{' || doc_id WHEN doc_id % 97 = 6 THEN doc_id::VARCHAR END AS value FROM documents) WHERE value IS NOT NULL""")(_malformed)
 table_query("a17_point_lookup", "SELECT event_id, event_type FROM events WHERE user_id = 7")(lambda r: r("events").where("user_id = 7").select("event_id", "event_type"))
 query("a21_bundle_inspect", " SELECT c.case_id, category, (SELECT count(*) FROM contexts n WHERE n.case_id = c.case_id) AS contexts FROM cases c")(lambda t: t["cases"].join(t["contexts"].groupBy("case_id").agg(F.count("*").alias("contexts")), "case_id", "left").fillna(0))
 query("g01_deterministic_order", " SELECT node_id, row_number() OVER (ORDER BY start_us, node_id) AS place FROM nodes ORDER BY start_us, node_id LIMIT 50")(

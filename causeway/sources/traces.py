@@ -26,6 +26,25 @@ def json_lines(spark: SparkSession, path: str, schema: str, stream: bool = False
     return reader.schema(f"{schema}, _corrupt string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").json(path)
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line, value) of text files, lines counted from 1, blank ones too.
+
+    A file may be read in many splits: lines are numbered within a split, and the lines of the splits before it in its file are added.
+    """
+    read = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value")
+    earlier = F.coalesce(F.sum("count").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    before = read.groupBy("file", "block").count().select("file", "block", earlier.alias("before"))
+    number = F.row_number().over(Window.partitionBy("file", "block").orderBy("at"))
+    return read.withColumn("number", number).join(before, ["file", "block"]).select("file", (F.col("before") + F.col("number")).alias("line"), "value")
+
+
+def malformed_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line, value) of the lines of JSONL files that are neither blank nor a JSON object."""
+    parsed = F.try_parse_json("value")
+    good = parsed.isNotNull() & F.schema_of_variant(parsed).startswith("OBJECT")
+    return numbered_lines(spark, path).where(F.col("value").rlike(r"[^\x20\x09-\x0D]") & ~good)
+
+
 def json_documents(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """JSON documents, one a file."""
     return spark.read.schema(schema).option("multiLine", True).json(path)
