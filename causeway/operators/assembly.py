@@ -136,11 +136,12 @@ def components_of(nodes: DataFrame, relations: DataFrame) -> DataFrame:
     return nodes.select("case_id", "node_id").join(found, ["case_id", "node_id"], "left").withColumn("component", F.coalesce("component", "node_id"))
 
 
-def neighborhood(relations: DataFrame, center: str, depth: int) -> tuple[DataFrame, DataFrame]:
-    """(entities within ``depth`` steps of a centre, edges that touch those within ``depth`` - 1).
+def neighborhood(relations: DataFrame, case_id: str, center: str, depth: int) -> tuple[DataFrame, DataFrame]:
+    """(entities within ``depth`` steps of a centre of a case, edges that touch those within ``depth`` - 1).
 
-    One semi-join a step; the frontier alone moves, and ends of any kind are passed.
+    Only the case's relations are walked, as other cases may hold the same ids. One semi-join a step; the frontier alone moves, and ends of any kind are passed.
     """
+    relations = relations.where(F.col("case_id") == case_id)
     both = relations.select("source_ref", "target_ref", "relation_id")
     both = both.unionByName(both.select(F.col("target_ref").alias("source_ref"), F.col("source_ref").alias("target_ref"), "relation_id"))
     near = relations.sparkSession.createDataFrame([(center, 0)], "entity string, distance int")

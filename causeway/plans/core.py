@@ -97,21 +97,29 @@ query("i05_timeline", """ SELECT n.case_id, node_id, coalesce(c.name, component_
 query("d21_timeline_connectors", DERIVED + """ SELECT r.case_id, relation_id, r.kind, source_ref, target_ref FROM every_rel r
     JOIN nodes s ON r.case_id = s.case_id AND r.source_ref = s.node_id JOIN nodes t ON r.case_id = t.case_id AND r.target_ref = t.node_id""")(
     lambda t: assembly.timeline_connectors(graph(t)["graph"]["relations"], t["nodes"]))
-query("i01_connected_components", """, edges AS (SELECT case_id, source_ref AS a, target_ref AS b FROM relations WHERE kind = 'parent_of' UNION ALL SELECT case_id, target_ref, source_ref FROM relations WHERE kind = 'parent_of'),
+query("i01_connected_components", DERIVED + """, linked AS (SELECT r.case_id, source_ref, target_ref FROM every_rel r JOIN nodes s ON s.case_id = r.case_id AND s.node_id = source_ref JOIN nodes t ON t.case_id = r.case_id AND t.node_id = target_ref),
+    edges AS (SELECT case_id, source_ref AS a, target_ref AS b FROM linked UNION SELECT case_id, target_ref, source_ref FROM linked),
     reach(case_id, node_id, label) AS (SELECT case_id, node_id, node_id FROM nodes UNION SELECT e.case_id, e.b, r.label FROM reach r JOIN edges e ON r.case_id = e.case_id AND r.node_id = e.a)
     SELECT case_id, node_id, min(label) AS component FROM reach GROUP BY ALL""")(
-    lambda t: assembly.components_of(t["nodes"], t["relations"].where("kind = 'parent_of'")))
+    lambda t: assembly.components_of(t["nodes"], checkpointed(graph(t)["graph"]["relations"])))
 ORACLE_SQL["i01_connected_components"] = ORACLE_SQL["i01_connected_components"].replace("WITH ev", "WITH RECURSIVE ev", 1)
-query("i02_neighborhood", """, both_ways AS (SELECT source_ref AS a, target_ref AS b, relation_id FROM relations UNION ALL SELECT target_ref, source_ref, relation_id FROM relations),
-    center AS (SELECT min(node_id) AS entity FROM nodes), one AS (SELECT entity FROM center UNION SELECT b FROM both_ways JOIN center ON a = entity),
-    two AS (SELECT entity FROM one UNION SELECT b FROM both_ways JOIN one ON a = entity)
-    SELECT DISTINCT b.relation_id FROM both_ways b JOIN two ON b.a = two.entity WHERE b.a IN (FROM one)""")(
-    lambda t: assembly.neighborhood(t["relations"], t["nodes"].agg(F.min("node_id")).first()[0], 2)[1].select("relation_id").distinct())
 
-# over recorded and derived relations; tests hold these against brute force
+
+def _around_first(t: dict) -> DataFrame:
+    """Edges near the least node: one row comes to the driver."""
+    center = t["nodes"].agg(F.min(F.struct("node_id", "case_id")).alias("c")).select("c.*").first()
+    relations = checkpointed(graph(t)["graph"]["relations"])
+    return assembly.neighborhood(relations, center["case_id"], center["node_id"], 2)[1].select("relation_id").distinct()
+
+
+query("i02_neighborhood", DERIVED + """, center AS (SELECT arg_min(case_id, (node_id, case_id)) AS case_id, min(node_id) AS entity FROM nodes),
+    near_rel AS (SELECT r.* FROM every_rel r JOIN center USING (case_id)), both_ways AS (SELECT source_ref AS a, target_ref AS b, relation_id FROM near_rel UNION ALL SELECT target_ref, source_ref, relation_id FROM near_rel),
+    one AS (SELECT entity FROM center UNION SELECT b FROM both_ways JOIN center ON a = entity)
+    SELECT DISTINCT relation_id FROM both_ways WHERE a IN (FROM one)""")(_around_first)
+
+# the same by the names of an earlier round; tests hold these against brute force too
 query("i08_components_of_all_relations")(lambda t: assembly.components_of(t["nodes"], checkpointed(graph(t)["graph"]["relations"])))
-query("i09_neighborhood_of_all_relations")(
-    lambda t: assembly.neighborhood(checkpointed(graph(t)["graph"]["relations"]), t["nodes"].agg(F.min("node_id")).first()[0], 2)[1].select("relation_id").distinct())
+query("i09_neighborhood_of_all_relations")(_around_first)
 
 # invariants: statuses and references
 _IN = """, res AS (SELECT c.case_id, {status} AS status, {nodes} AS node_refs, {effects} AS effect_refs, {contexts} AS context_refs, {evidence} AS evidence_refs FROM cases c {join})
