@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -348,8 +348,8 @@ table_query("a03_malformed_lines", """SELECT source, line, value FROM (SELECT so
     CASE WHEN doc_id % 13 = 0 THEN NULL WHEN doc_id % 91 = 5 THEN '{' || doc_id WHEN doc_id % 97 = 6 THEN doc_id::VARCHAR END AS value FROM documents) WHERE value IS NOT NULL""")(_malformed)
 table_query("a17_point_lookup", "SELECT event_id, event_type FROM events WHERE user_id = 7")(lambda r: r("events").where("user_id = 7").select("event_id", "event_type"))
 query("a21_bundle_inspect", " SELECT c.case_id, category, (SELECT count(*) FROM contexts n WHERE n.case_id = c.case_id) AS contexts FROM cases c")(lambda t: t["cases"].join(t["contexts"].groupBy("case_id").agg(F.count("*").alias("contexts")), "case_id", "left").fillna(0))
-query("g01_deterministic_order", " SELECT node_id, row_number() OVER (ORDER BY start_us, node_id) AS place FROM nodes ORDER BY start_us, node_id LIMIT 50")(
-    lambda t: t["nodes"].orderBy("start_us", "node_id").limit(50).select("node_id", F.expr("row_number() over (order by start_us, node_id)").cast("long").alias("place")))
+query("g01_deterministic_order", " SELECT case_id, node_id, row_number() OVER (PARTITION BY case_id ORDER BY start_us, node_id) AS place FROM nodes")(
+    lambda t: t["nodes"].select("case_id", "node_id", F.row_number().over(Window.partitionBy("case_id").orderBy("start_us", "node_id")).cast("long").alias("place")))
 
 # start and end pairing, sessions, windows: the batch twins of the stream checks
 _ts = lambda r: r("events").withColumn("ts", F.col("ts").cast("timestamp"))
@@ -357,7 +357,8 @@ _starts = lambda r: _ts(r).where("event_id % 2 = 0").select("event_id", "ts", F.
 _ends = lambda r: _ts(r).where("event_id % 2 = 1").select((F.col("event_id") - 1).alias("parent_event_id"), "ts", F.lit("ok").alias("status"))
 table_query("d23_start_end_pairs", """SELECT a.event_id, a.event_type AS operation, CASE WHEN b.event_id IS NOT NULL THEN 'ok' END AS status, (epoch_us(b.ts) - epoch_us(a.ts)) / 1000.0 AS duration_ms FROM events a
     LEFT JOIN events b ON b.event_id = a.event_id + 1 AND b.ts >= a.ts AND b.ts <= a.ts + INTERVAL 1 HOUR WHERE a.event_id % 2 = 0""")(lambda r: checks.paired(_starts(r), _ends(r)).select("event_id", "operation", "status", "duration_ms"))
-QUERIES["q02_start_end_timeout"], ORACLE_SQL["q02_start_end_timeout"] = QUERIES["d23_start_end_pairs"], ORACLE_SQL["d23_start_end_pairs"]
+table_query("q02_start_end_timeout", """SELECT a.event_id, a.event_type AS operation, b.event_id IS NULL AS lost FROM events a
+    LEFT JOIN events b ON b.event_id = a.event_id + 1 AND b.ts >= a.ts AND b.ts <= a.ts + INTERVAL 2 MINUTE WHERE a.event_id % 2 = 0""")(lambda r: checks.with_timeout(_starts(r), _ends(r), "2 minutes").select("event_id", "operation", "lost"))
 table_query("q01_deduplicated_log", "SELECT event_id FROM events")(lambda r: checks.deduplicated(_ts(r).unionByName(_ts(r).where("event_id % 3 = 0"))).select("event_id"))
 query("q03_at_most_once_counts", " SELECT case_id, logical_effect_key, count(*) FILTER (durability IN ('committed', 'durable')) AS durable_count, min(maximum_durable_count) AS maximum, CASE WHEN count(*) FILTER (durability IN ('committed', 'durable')) > min(maximum_durable_count) THEN 'violated' ELSE 'satisfied' END AS status FROM effects GROUP BY ALL")(
     lambda t: checks.durable_counts(t["effects"]))
