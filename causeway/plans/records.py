@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from causeway.functions import scalars as S
-from causeway.operators import assembly, coverage, integrity, invariants, mutations, privacy
+from causeway.operators import assembly, coverage, integrity, invariants, inventory, mutations, privacy
 from causeway.plans.core import BROKEN, DERIVED, ORACLE_SQL, QUERIES, flat, graph, query
 from causeway.plans.views import SQL_VIEWS, sql_id
 from causeway.session import read_table, shared_folder
@@ -110,6 +110,18 @@ _LEAVES = f"""WITH leaf AS (SELECT doc_id AS id, 'record.text' AS path, 'free_te
     UNION ALL SELECT doc_id, 'record.api_key', 'credential', 'credential.remove', 'remove', CASE WHEN doc_id % 9 = 0 THEN 'k' || doc_id END, CASE WHEN doc_id % 9 = 0 THEN '[REDACTED]' END FROM documents) """
 table_query("m01_field_inventory", _LEAVES + f"SELECT id, path, CASE WHEN value IS NULL THEN 'null' ELSE 'string' END AS type, labels, rule, action, FALSE AS structural, coalesce({_CUT("replace(value, chr(10), ' ')")}, 'null') AS preview FROM leaf")(
     lambda r: privacy.inventory(_docs(r), "doc_id", "shareable").drop("value"))
+_nested = lambda r: _docs(r).select("doc_id", F.to_json(F.struct(
+    F.struct(F.concat(F.lit("case."), "doc_id").alias("case_id"), F.array(F.lit("internal")).alias("sensitivity")).alias("case"),
+    F.array(F.struct(F.concat(F.lit("n."), "doc_id").alias("node_id"), F.array(F.lit("internal"), F.lit("odd")).alias("sensitivity"), F.struct(F.col("owner").alias("principal_id")).alias("identities"),
+                     F.struct(F.col("text").alias("note"), F.col("doc_id").alias("count")).alias("attributes"))).alias("nodes")), {"ignoreNullFields": "false"}).alias("record"))
+_NESTED = f"""WITH leaf AS (SELECT doc_id AS id, unnest(['$.case.case_id', '$.case.sensitivity[0]', '$.nodes[0].node_id', '$.nodes[0].sensitivity[0]', '$.nodes[0].sensitivity[1]', '$.nodes[0].identities.principal_id', '$.nodes[0].attributes.note', '$.nodes[0].attributes.count']) AS path,
+    unnest(['str', 'str', 'str', 'str', 'str', 'str', CASE WHEN text IS NULL THEN 'NoneType' ELSE 'str' END, 'int']) AS type, unnest(['', '', '', '', '', 'user_identifier', 'free_text,internal', 'internal']) AS labels,
+    unnest([NULL, NULL, NULL, NULL, NULL, 'principal.tokenize', 'free-text.summarize', NULL]) AS rule, unnest(['retain', 'retain', 'retain', 'retain', 'retain', 'tokenize', 'summarize', 'retain']) AS action,
+    unnest([TRUE, FALSE, TRUE, FALSE, FALSE, FALSE, FALSE, FALSE]) AS structural, unnest(['case.' || doc_id, 'internal', 'n.' || doc_id, 'internal', 'odd', {_OWNER}, text, doc_id::VARCHAR]) AS value FROM documents) """
+table_query("m01_nested_inventory", _NESTED + f"SELECT id, path, type, labels, rule, action, structural, coalesce({_CUT("replace(value, chr(10), ' ')")}, 'null') AS preview FROM leaf")(
+    lambda r: inventory.nested_inventory(_nested(r), "doc_id", "record", "shareable"))
+table_query("e11_inventory_by_label_and_action", _NESTED + "SELECT 'label' AS kind, name, count(*) AS n FROM (SELECT unnest(string_split(labels, ',')) AS name FROM leaf WHERE labels <> '') GROUP BY name UNION ALL SELECT 'action', action, count(*) FROM leaf GROUP BY action")(
+    lambda r: inventory.by_label_and_action(inventory.nested_inventory(_nested(r), "doc_id", "record", "shareable")))
 table_query("m02_rule_matching", _LEAVES + "SELECT coalesce(rule, 'none') AS rule, action, count(*) AS n FROM leaf GROUP BY ALL")(
     lambda r: privacy.inventory(_docs(r), "doc_id", "shareable").groupBy(F.coalesce("rule", F.lit("none")).alias("rule"), "action").agg(F.count("*").alias("n")))
 table_query("g05_first_rule_by_priority", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'b' ELSE 'c' END AS rule FROM documents")(lambda r: r("documents").select("doc_id", privacy.rule_of(
