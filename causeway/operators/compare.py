@@ -88,17 +88,17 @@ def similar_classes(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataF
     return a.select("comparison_id", "a_class", "members"), b.select("comparison_id", "b_class", "members"), edges
 
 
-def matched(left: DataFrame, right: DataFrame) -> DataFrame:
+def match(a: DataFrame, b: DataFrame, edges: DataFrame) -> DataFrame:
     """Greedy one-to-one matching of similar nodes, best first by (score, baseline, candidate), in rounds over all comparisons at once.
 
-    Taken in that order, a baseline node goes to its best free partner, unless another free
+    ``a``, ``b`` and ``edges`` are those of :func:`similar_classes`. Taken in that order, a baseline node goes to its best free partner, unless another free
     one is within 0.03 of it: then it is ambiguous and its partners stay free. A round
     settles the next members of every class that nothing earlier can still change: no
     other class with an earlier claim reaches a partner near its best. If near partners are
     several, all its members up to the next claim are ambiguous; if it is one, the
     first member takes it. The claim that is first of all is always settled, so rounds end; each is cut by a checkpoint.
     """
-    a, b, edges = (checkpointed(x) for x in similar_classes(left, right))
+    a, b, edges = (checkpointed(x) for x in (a, b, edges))
     free_a, free_b = (x.select("comparison_id", c, F.col("members").alias(m)) for x, c, m in ((a, "a_class", "am"), (b, "b_class", "bm")))
     done = None
     while True:
@@ -129,7 +129,7 @@ def matched(left: DataFrame, right: DataFrame) -> DataFrame:
         gone = gone.join(free_b, ["comparison_id", "b_class"]).where(F.array_contains("bm", F.col("taken"))).groupBy("comparison_id", "b_class").agg(F.collect_set("taken").alias("gone"))
         free_b = free_b.join(gone, ["comparison_id", "b_class"], "left").withColumn("bm", F.array_except("bm", F.coalesce("gone", F.array().cast("array<string>")))).where("size(bm) > 0").drop("gone")
         free_a, free_b = checkpointed(free_a), checkpointed(free_b)
-    return done if done is not None else left.sparkSession.createDataFrame([], _ALIGNMENT)
+    return done if done is not None else edges.sparkSession.createDataFrame([], _ALIGNMENT)
 
 
 _ALIGNMENT = "comparison_id string, baseline_ref string, candidate_ref string, status string, score double, others string"
@@ -138,11 +138,11 @@ _ALIGNMENT = "comparison_id string, baseline_ref string, candidate_ref string, s
 def align(left: DataFrame, right: DataFrame) -> DataFrame:
     """comparison_id, baseline_ref, candidate_ref, status, score, others: every node of both sides once.
 
-    Nodes of equal role go first; only what is left is compared by signature, see :func:`matched`.
+    Nodes of equal role go first; only what is left is compared by signature, see :func:`match`.
     """
     by_role = align_by_role(left, right)
     rest = lambda df, ref: df.join(by_role.select("comparison_id", F.col(ref).alias("node_id")), ["comparison_id", "node_id"], "left_anti")
-    by_signature = matched(rest(left, "baseline_ref"), rest(right, "candidate_ref"))
+    by_signature = match(*similar_classes(rest(left, "baseline_ref"), rest(right, "candidate_ref")))
     found = by_role.select("*", F.lit("aligned").alias("status"), F.lit(1.0).alias("score"), F.lit("").alias("others")).unionByName(by_signature)
     lone = lambda df, ref, other, status: df.join(
         found.where(F.col(ref).isNotNull()).select("comparison_id", F.col(ref).alias("node_id")), ["comparison_id", "node_id"], "left_anti"

@@ -129,15 +129,14 @@ def greedy(edges):
     return sorted(out, key=str)
 
 
-def test_matching_in_rounds_equals_one_after_the_other(spark, monkeypatch):
+def test_matching_in_rounds_equals_one_after_the_other(spark):
     """Scores drawn from few values, so that claims tie and cross; nodes are classes of their own."""
     rng = random.Random(5)
     edges = {c: [(-rng.choice([0.6, 0.62, 0.64, 0.7, 0.9]), f"l{i}", f"r{j}") for i in range(rng.randrange(1, 9)) for j in range(9) if rng.random() < rng.choice([0.15, 0.5])] for c in map(str, range(40))}
     members = lambda side, at: spark.createDataFrame([(c, n, [n]) for c, es in edges.items() for n in sorted({e[at] for e in es})], f"comparison_id string, {side} string, members array<string>")
     rows = spark.createDataFrame([(c, a, b, -s) for c, es in edges.items() for s, a, b in es], "comparison_id string, a_class string, b_class string, score double")
-    monkeypatch.setattr(compare, "similar_classes", lambda left, right: (members("a_class", 1), members("b_class", 2), rows))
     found = defaultdict(list)
-    for r in compare.matched(rows, rows).collect():
+    for r in compare.match(members("a_class", 1), members("b_class", 2), rows).collect():
         found[r.comparison_id].append((r.baseline_ref, r.candidate_ref, r.status, round(r.score, 6), r.others))
     for c, es in edges.items():
         assert sorted(found[c], key=str) == greedy(es)

@@ -40,9 +40,11 @@ def test_components_of_no_edges(spark):
     assert contract_components(spark.createDataFrame([], "src long, dst long")).count() == 0
 
 
-def test_greedy_matching_ambiguity():
+def test_greedy_matching_ambiguity(spark):
     edges = pd.DataFrame([("c", "a1", "b1", 0.9), ("c", "a1", "b2", 0.6), ("c", "a2", "b2", 0.8), ("c", "a2", "b3", 0.79), ("c", "a3", "b2", 0.7)], columns=["comparison_id", "baseline_ref", "candidate_ref", "score"])
-    got = {r.baseline_ref: (r.candidate_ref, r.status, r.others) for r in compare.match(edges).itertuples()}
+    side = lambda ref, name: spark.createDataFrame([("c", n, [n]) for n in sorted(set(edges[ref]))], f"comparison_id string, {name} string, members array<string>")
+    rows = spark.createDataFrame(list(edges.itertuples(index=False, name=None)), "comparison_id string, a_class string, b_class string, score double")
+    got = {r.baseline_ref: (r.candidate_ref, r.status, r.others) for r in compare.match(side("baseline_ref", "a_class"), side("candidate_ref", "b_class"), rows).collect()}
     assert got == {"a1": ("b1", "aligned", ""), "a2": (None, "ambiguous", "b2,b3"), "a3": ("b2", "aligned", "")}
 
 
