@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from causeway.operators import compare, findings, invariants
+from causeway.operators import assembly, compare, findings, invariants
 from causeway.plans.core import graph
 from causeway.plans.views import tables
 
@@ -116,6 +116,13 @@ def test_contexts_of_shared_and_repeated_names(spark):
     assert got == {"lost": ("context.changed", "high"), "other": ("context.changed", "high"), "more": ("context.changed", "medium")}
 
 
+def test_neighbourhood_stays_in_its_case(spark):
+    rows = [(c, f"{c}.{s}{t}", s, t) for c, edges in {"c1": ["ab", "bd", "de"], "c2": ["ax", "xd", "dz"]}.items() for s, t in edges]
+    relations = spark.createDataFrame(rows, "case_id string, relation_id string, source_ref string, target_ref string")
+    near, edges = assembly.neighborhood(relations, "c1", "a", 2)
+    assert {(r.entity, r.distance) for r in near.collect()} == {("a", 0), ("b", 1), ("d", 2)} and {r.relation_id for r in edges.collect()} == {"c1.ab", "c1.bd"}
+
+
 def greedy(edges):
     """The matching, one edge after the other."""
     done, taken, out = set(), set(), []
