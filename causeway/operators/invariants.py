@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from causeway.functions.scalars import confidence, evidence_class, stable_id, truthy
-from causeway.operators import assembly
+from causeway.operators import apart, assembly
 
 STATUSES = ["satisfied", "violated", "inconclusive", "contradicted", "not_applicable", "evaluation_error"]
 REFS = ["node_refs", "effect_refs", "context_refs", "evidence_refs"]
@@ -288,17 +288,38 @@ def missing_evidence(t: dict, ids: list[str] | None = None) -> DataFrame:
     return have.where(F.coalesce("n", F.lit(0)) < F.col("least")).groupBy("case_id", "invariant").agg(F.array_sort(F.collect_set("entity")).alias("missing"))
 
 
-def _evaluated(t: dict, handler: Callable[[dict], DataFrame]) -> DataFrame:
-    """A handler's rows; one that fails on these tables gives "evaluation_error" for each case and holds up no other."""
-    try:
-        return handler(t).select("case_id", "status", *REFS)
-    except Exception:  # noqa: BLE001  whatever it is, the other invariants are still to be told
-        return _result(t["cases"], F.lit("evaluation_error"))
+def _planned(t: dict, handlers: dict[str, Callable[[dict], DataFrame]]) -> dict[str, apart.Outcome]:
+    """Outcomes of handlers that are planned only; what fails in a task later fails the whole."""
+    out = {}
+    for i, handler in handlers.items():
+        try:
+            out[i] = apart.Outcome({"rows": handler(t).select("case_id", "status", *REFS)})
+        except Exception as error:  # noqa: BLE001  told in the result, whatever it is
+            out[i] = apart.Outcome(error=apart.told(error))
+    return out
 
 
-def evaluate(t: dict, ids: list[str] | None = None) -> DataFrame:
-    """One row for each case and invariant; a case that lacks evidence is inconclusive."""
-    results = [_evaluated(t, INVARIANTS[i][0]).select("case_id", F.lit(i).alias("invariant"), F.lit(INVARIANTS[i][1]).alias("severity"), "status", *REFS) for i in select(ids)]
+def evaluate(t: dict, ids: list[str] | None = None, handlers: dict[str, Callable[[dict], DataFrame]] | None = None, isolated: bool = False) -> DataFrame:
+    """One row for each case and invariant; a case that lacks evidence is inconclusive.
+
+    ``handlers`` replace those of the registry, by id. An evaluator that fails gives
+    "evaluation_error" with the error's type and text for each case, and holds up no other:
+    always while it is planned, and with ``isolated``, where each runs as a job of its own,
+    in its tasks too.
+    """
+    chosen = {i: (handlers or {}).get(i, INVARIANTS[i][0]) for i in select(ids)}
+    if unknown := sorted(set(handlers or ()) - set(INVARIANTS)):
+        raise KeyError(f"handlers of unknown invariants: {', '.join(unknown)}")
+    if isolated:
+        spark = t["cases"].sparkSession
+        outcomes = apart.run(spark, {i: lambda h=h: {"rows": h(t).select("case_id", "status", *REFS)} for i, h in chosen.items()})
+    else:
+        outcomes = _planned(t, chosen)
+    results = [
+        (_result(t["cases"], F.lit("evaluation_error")) if o.error else o.tables["rows"]).select(
+            "case_id", F.lit(i).alias("invariant"), F.lit(INVARIANTS[i][1]).alias("severity"), "status", *REFS, F.lit(o.error).cast("string").alias("error"))
+        for i, o in outcomes.items()
+    ]
     rows = reduce(DataFrame.unionByName, results).join(missing_evidence(t, ids), ["case_id", "invariant"], "left")
     lacks, empty = F.col("missing").isNotNull(), F.array().cast("array<string>")
     status = F.when(lacks, "inconclusive").otherwise(F.col("status"))
@@ -307,6 +328,7 @@ def evaluate(t: dict, ids: list[str] | None = None) -> DataFrame:
         "case_id", "invariant", "severity", status.alias("status"), *[F.when(lacks | F.col(r).isNull(), empty).otherwise(F.col(r)).alias(r) for r in REFS],
         F.coalesce("missing", empty).alias("missing_evidence"), evidence_class(status).alias("evidence_class"),
         F.when(weak, 0.6).when(status == "evaluation_error", 0.0).otherwise(confidence(status)).alias("confidence"), stable_id("invariant-result", F.col("invariant"), F.col("case_id")).alias("result_id"),
+        F.when(~lacks, F.col("error")).alias("error"),
     )
 
 

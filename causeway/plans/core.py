@@ -247,6 +247,17 @@ query("j15_registry_selection", "SELECT x AS invariant, 'selected' AS status, co
     lambda t: invariants.evaluate(graph(t), ["privacy.prohibited-capture", "effect.at-most-once"]).groupBy("invariant").agg(F.lit("selected").alias("status"), F.count("*").alias("cases")))
 
 
+def _failing(t: dict) -> DataFrame:
+    """An evaluator that is planned well and fails in a task, on the first row of some case."""
+    return invariants.resource_capacity_bounded(t).withColumn("status", F.when(F.col("case_id").isNotNull(), F.raise_error(F.concat(F.lit("ResourceError: no capacity of "), "case_id"))).otherwise(F.col("status")))
+
+
+query("j18_isolated_runtime", f"""SELECT case_id, invariant, CASE WHEN status <> 'inconclusive' AND invariant = 'resource.capacity-bounded' THEN 'evaluation_error' ELSE status END AS status,
+    status <> 'inconclusive' AND invariant = 'resource.capacity-bounded' AS told FROM ({RUNTIME})""", views=False)(
+    lambda t: invariants.evaluate(graph(t), handlers={"resource.capacity-bounded": _failing}, isolated=True).select(
+        "case_id", "invariant", "status", F.coalesce(F.col("error").contains("no capacity of case."), F.lit(False)).alias("told")))
+
+
 _EVEN = "CAST(substr(case_id, 6) AS INT) % 2 = 0"
 
 

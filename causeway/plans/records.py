@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from causeway import plugins
 from causeway.functions import scalars as S
 from causeway.operators import assembly, coverage, integrity, invariants, inventory, mutations, privacy
 from causeway.plans.core import BROKEN, DERIVED, ORACLE_SQL, QUERIES, flat, graph, query
@@ -297,6 +298,23 @@ table_query("h01_union_of_fragments", "SELECT event_id, event_type FROM events U
 table_query("a04_bounded_page", "SELECT event_id FROM events ORDER BY event_id LIMIT 25 OFFSET 100")(lambda r: traces.page(r("events").select("event_id"), "event_id", 100, 25))
 
 
+def _collected(t: dict) -> DataFrame:
+    """Nodes of four sources in the scope of one tenant: two are sound, one holds other tenants, one fails in a task."""
+    nodes, spark = t["nodes"].select("node_id", "trace_id", "operation", "tenant_id"), t["nodes"].sparkSession
+    own = lambda op: nodes.where((F.col("operation") == op) & (F.col("tenant_id") == "tenant.1"))
+    damaged = own("purchase").withColumn("trace_id", F.when(F.col("node_id").isNotNull(), F.raise_error(F.concat(F.lit("damaged record of "), "node_id"))).otherwise(F.col("trace_id")))
+    rows = {"view": own("view"), "click": own("click"), "signup": nodes.where("operation = 'signup'"), "purchase": damaged}
+    sources = [plugins.TableSource(name, df, "nodes", {"trace": "trace_id"}, "node_id") for name, df in rows.items()]
+    got = plugins.collect_apart(spark, sources, spark.createDataFrame([], "kind string, value string"), "tenant.1")
+    counts = got.tables["nodes"].groupBy(F.col("operation").alias("source_id")).agg(F.count("*").alias("records"), F.min("node_id").alias("first"))
+    return plugins.status_table(spark, got).drop("error").join(counts, "source_id", "left").select("source_id", "status", F.coalesce("records", F.lit(0)).alias("records"), "first")
+
+
+query("r02_collection", """, bad AS (SELECT operation, count(*) AS n FROM nodes WHERE (operation = 'signup' AND tenant_id <> 'tenant.1') OR (operation = 'purchase' AND tenant_id = 'tenant.1') GROUP BY ALL)
+    SELECT s AS source_id, CASE WHEN b.n > 0 THEN 'failed' ELSE 'completed' END AS status, CASE WHEN b.n > 0 THEN 0 ELSE count(node_id) END AS records, CASE WHEN b.n > 0 THEN NULL ELSE min(node_id) END AS first
+    FROM (SELECT unnest(['view', 'click', 'signup', 'purchase']) AS s) LEFT JOIN nodes ON operation = s AND tenant_id = 'tenant.1' LEFT JOIN bad b ON b.operation = s GROUP BY s, b.n""")(_collected)
+
+
 # stored cases
 def _stored(spark, parts: list[DataFrame]) -> str:
     root = f"{shared_folder(spark)}/cases-{uuid.uuid4().hex}"

@@ -8,6 +8,7 @@ from typing import Protocol
 
 from pyspark.sql import DataFrame, SparkSession
 
+from causeway.operators import apart
 from causeway.sources import traces
 
 
@@ -80,6 +81,34 @@ def collect_all(spark: SparkSession, sources: list[SourceAdapter], selectors: Da
     return out
 
 
+def collect_apart(spark: SparkSession, sources: list[SourceAdapter], selectors: DataFrame, tenant: str | None = None) -> Collection:
+    """As :func:`collect_all`, with each source as a job of its own: one that fails in a task is left out too.
+
+    A source's tables count only if all of them were written; rows of another tenant, in any of them, fail it.
+    """
+
+    def in_scope(name: str, tables: dict[str, DataFrame]) -> None:
+        for df in tables.values():
+            if tenant is not None and "tenant_id" in df.columns and not df.where(df["tenant_id"] != tenant).isEmpty():
+                raise PermissionError(f"{name} holds records of another tenant")
+
+    jobs = {s.source_id: lambda s=s: s.normalize(s.collect(spark, s.discover(spark, selectors))) for s in sources}
+    if len(jobs) < len(sources):
+        raise ValueError("two sources have the same id")
+    out = Collection()
+    for name, outcome in apart.run(spark, jobs, in_scope).items():
+        out.status[name] = f"failed: {outcome.error}" if outcome.error else "completed"
+        for table, df in outcome.tables.items():
+            out.tables[table] = out.tables[table].unionByName(df, allowMissingColumns=True) if table in out.tables else df
+    return out
+
+
+def status_table(spark: SparkSession, collection: Collection) -> DataFrame:
+    """(source_id, status, error): a row a source."""
+    rows = [(name, said.split(":")[0], said.partition(": ")[2] or None) for name, said in collection.status.items()]
+    return spark.createDataFrame(rows, "source_id string, status string, error string")
+
+
 class Registry:
     """Functions by (id, version); a second registration of the same is an error."""
 
