@@ -131,14 +131,33 @@ def action_of(rules: list[Rule], rule: Column) -> Column:
     return _by_rule(rules, rule, lambda r: r.action if r else "retain")
 
 
+def possible(rules: list[Rule], path: str, key: str, inherited: tuple[str, ...] = ()) -> list[Rule]:
+    """The rules that may apply to a field of this name, up to the first that surely does. The name settles all labels
+    but "user_identifier", which a value can bring."""
+    sure = {label for label, pattern in SENSITIVE_KEYS if re.search(pattern, key)} | set(inherited)
+    out = []
+    for rule in rules:
+        if (rule.path and not fnmatch.fnmatchcase(path, rule.path)) or (rule.key_pattern and not re.search(rule.key_pattern, key)):
+            continue
+        if rule.labels and not set(rule.labels) & (sure | {"user_identifier"}):
+            continue
+        out.append(rule)
+        if not rule.value_pattern and (not rule.labels or set(rule.labels) & sure):
+            break
+    return out
+
+
 def transformed(rules: list[Rule], rule: Column, value: Column, labels: Column, key: bytes) -> Column:
-    """The value after the action of its rule."""
+    """The value after the action of its rule, which is one of ``rules`` or null."""
     action, n = action_of(rules, rule), _by_rule(rules, rule, lambda r: r.max_length if r else 48)
-    short = F.concat(F.substr(value, F.lit(1), n), F.when(F.length(value) > n, "…").otherwise(""))
-    return (
-        F.when(value.isNull() | (action == "retain"), value).when(action == "tokenize", token(key, value, labels)).when(action == "digest", digest(F.concat(json_string(value), F.lit("\n"))))
-        .when(action == "mask", mask(value)).when(action == "truncate", short).when(action == "summarize", summarize(value)).when(action == "reject", "[PROHIBITED]").otherwise("[REDACTED]")
-    )
+    made = {
+        "tokenize": lambda: token(key, value, labels), "digest": lambda: digest(F.concat(json_string(value), F.lit("\n"))), "mask": lambda: mask(value), "summarize": lambda: summarize(value),
+        "truncate": lambda: F.concat(F.substr(value, F.lit(1), n), F.when(F.length(value) > n, "…").otherwise("")), "reject": lambda: F.lit("[PROHIBITED]"),
+    }
+    out = F.lit("[REDACTED]")
+    for name in sorted({r.action for r in rules} & set(made)):
+        out = F.when(action == name, made[name]()).otherwise(out)
+    return F.when(value.isNull() | (action == "retain"), value).otherwise(out)
 
 
 def inventory(df: DataFrame, id_col: str, policy_name: str) -> DataFrame:
@@ -148,10 +167,11 @@ def inventory(df: DataFrame, id_col: str, policy_name: str) -> DataFrame:
         if c != id_col:
             value = F.col(c).cast("string")
             labels = labels_of(c, value)
-            rule = rule_of(rules, f"record.{c}", c, value, labels)
+            mine = possible(rules, f"record.{c}", c)
+            rule = rule_of(mine, f"record.{c}", c, value, labels)
             fields.append(F.struct(
                 F.lit(f"record.{c}").alias("path"), F.when(value.isNull(), "null").otherwise(kind).alias("type"), labels.alias("labels"), rule.alias("rule"),
-                action_of(rules, rule).alias("action"), F.lit(c in STRUCTURAL_KEYS).alias("structural"), value.alias("value"),
+                action_of(mine, rule).alias("action"), F.lit(c in STRUCTURAL_KEYS).alias("structural"), value.alias("value"),
             ))
     rows = df.select(F.col(id_col).alias("id"), F.explode(F.array(*fields)).alias("f")).select("id", "f.*")
     return rows.withColumn("preview", preview(F.col("value")))
@@ -170,8 +190,8 @@ def _rewritten(rules: list[Rule], value: Column, kind: T.DataType, path: str, ke
     text = value.cast("string")
     if key in STRUCTURAL_KEYS:
         return text
-    labels = labels_of(key, text, inherited)
-    return transformed(rules, rule_of(rules, path, key, text, labels), text, labels, secret)
+    labels, mine = labels_of(key, text, inherited), possible(rules, path, key, inherited)
+    return transformed(mine, rule_of(mine, path, key, text, labels), text, labels, secret) if mine else text
 
 
 def redact(df: DataFrame, id_col: str, policy_name: str, secret: bytes, inherited: tuple[str, ...] = ()) -> DataFrame:

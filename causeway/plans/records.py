@@ -11,8 +11,8 @@ from pyspark.sql import types as T
 
 from causeway import plugins
 from causeway.functions import scalars as S
-from causeway.operators import assembly, coverage, integrity, invariants, inventory, mutations, privacy
-from causeway.plans.core import BROKEN, DERIVED, ORACLE_SQL, QUERIES, flat, graph, query
+from causeway.operators import assembly, coverage, gated_export, integrity, invariants, inventory, mutations, privacy
+from causeway.plans.core import BROKEN, DERIVED, ORACLE_SQL, QUERIES, RUNTIME, flat, graph, query
 from causeway.plans.views import SQL_VIEWS, sql_id
 from causeway.session import read_table, shared_folder
 from causeway.sources import case_store, traces
@@ -298,6 +298,23 @@ table_query("h01_union_of_fragments", "SELECT event_id, event_type FROM events U
 table_query("a04_bounded_page", "SELECT event_id FROM events ORDER BY event_id LIMIT 25 OFFSET 100")(lambda r: traces.page(r("events").select("event_id"), "event_id", 100, 25))
 
 
+def _exported(t: dict) -> DataFrame:
+    """Export of all cases; in every seventh some nodes carry a remark that no rule rewrites and the policy does not let out."""
+    leaks = (F.regexp_extract("case_id", "[0-9]+$", 0).cast("long") % 7 == 0) & (F.col("event_id") % 5 == 0)
+    nodes = t["nodes"].withColumn("remark", F.when(leaks, F.concat(F.lit("sent Bearer "), "span_id")).otherwise("none"))
+    spark = t["nodes"].sparkSession
+    got = gated_export.export(t | {"nodes": nodes}, f"{shared_folder(spark)}/export-{uuid.uuid4().hex}", "shareable", _SECRET, leave_out=True)
+    verdicts = got["derived/invariants"].select(F.col("case_id").alias("exported_id"), "invariant", F.col("status").alias("verdict"))
+    return got["report"].join(verdicts, "exported_id", "left")
+
+
+query("m09_gated_export", f"""WITH v AS ({RUNTIME}), held AS (SELECT DISTINCT 'case.' || user_id AS case_id FROM events WHERE user_id % 7 = 0 AND event_id % 5 = 0),
+    n AS (SELECT case_id, sum(n) AS records FROM ({SQL_VIEWS} SELECT case_id, 1 AS n FROM cases {" ".join(f"UNION ALL SELECT case_id, count(*) FROM {e} GROUP BY case_id" for e in ("nodes", "relations", "contexts", "effects", "observations"))}) GROUP BY case_id)
+    SELECT n.case_id, 'case.shareable.' || replace(n.case_id, '.', '-') AS exported_id, CASE WHEN held.case_id IS NULL THEN 'exported' ELSE 'held back' END AS status,
+        CASE WHEN held.case_id IS NULL THEN '' ELSE 'nodes.remark: bearer' END AS problems, CAST(records AS BIGINT) AS records, invariant, v.status AS verdict
+    FROM n LEFT JOIN held ON n.case_id = held.case_id LEFT JOIN v ON v.case_id = n.case_id AND held.case_id IS NULL""", views=False)(_exported)
+
+
 def _collected(t: dict) -> DataFrame:
     """Nodes of four sources in the scope of one tenant: two are sound, one holds other tenants, one fails in a task."""
     nodes, spark = t["nodes"].select("node_id", "trace_id", "operation", "tenant_id"), t["nodes"].sparkSession
