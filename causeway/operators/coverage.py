@@ -24,6 +24,65 @@ def outcome_witnesses(results: DataFrame) -> DataFrame:
     return results.groupBy(key.alias("key")).agg(F.count("*").alias("witnesses")).select(F.lit("outcome").alias("dimension"), "key", "witnesses")
 
 
+#: Fault of an interaction point without one.
+BASELINE = "baseline"
+
+
+def _points(dimension: str, keys: Column) -> Column:
+    return F.transform(keys, lambda k: F.struct(F.lit(dimension).alias("dimension"), k.alias("key")))
+
+
+def _interactions(family: Column, faults: Column, profiles: Column) -> Column:
+    return F.flatten(F.transform(profiles, lambda p: F.transform(faults, lambda f: F.concat_ws("|", family, f, p))))
+
+
+def family_points(families: DataFrame) -> DataFrame:
+    """(dimension, key, family, place): what a registry of scenario families expects to see, in seven dimensions.
+
+    ``families`` has seq, family, topology and the arrays axes, invariants, profiles and faults
+    (none null). A point that several families name counts for the last of them, and has the place of the first.
+    """
+    named = F.concat(
+        _points("family", F.array("family")), _points("topology", F.array("topology")), _points("universe_axis", F.col("axes")), _points("invariant", F.col("invariants")),
+        _points("observability", F.col("profiles")), _points("interaction", _interactions(F.col("family"), F.concat(F.array(F.lit(BASELINE)), "faults"), F.col("profiles"))), _points("fault_operator", F.col("faults")),
+    )
+    rows = families.select("seq", "family", F.posexplode(named).alias("pos", "p"))
+    return rows.groupBy("p.dimension", "p.key").agg(F.max_by("family", F.struct("seq", "pos")).alias("family"), F.min(F.struct("seq", "pos")).alias("place"))
+
+
+def scenario_witnesses(instances: DataFrame, families: DataFrame, realizations: DataFrame | None = None, results: DataFrame | None = None) -> DataFrame:
+    """(dimension, key, witnesses): how many instances saw a point, in nine dimensions; each counts once a point.
+
+    ``instances`` has instance_id (unique), family, profile and the array faults; one of an unknown
+    family has none of that family's points. ``realizations`` (instance_id, realization) and
+    ``results`` (a row for each case and invariant) add the last two dimensions.
+    """
+    rows = instances.join(families.select("family", "topology", "axes", "invariants"), "family")
+    faults = F.when(F.size("faults") > 0, F.col("faults")).otherwise(F.array(F.lit(BASELINE)))
+    seen = F.array_distinct(F.concat(
+        _points("family", F.array("family")), _points("topology", F.array("topology")), _points("universe_axis", F.col("axes")), _points("invariant", F.col("invariants")),
+        _points("observability", F.array("profile")), _points("interaction", _interactions(F.col("family"), faults, F.array("profile"))), _points("fault_operator", F.col("faults")),
+    ))
+    counted = rows.select(F.explode(seen).alias("p")).groupBy("p.dimension", "p.key").agg(F.count("*").alias("witnesses"))
+    if realizations is not None:
+        real = realizations.join(instances.select("instance_id"), "instance_id", "left_semi").groupBy(F.col("realization").alias("key")).agg(F.count_distinct("instance_id").alias("witnesses"))
+        counted = counted.unionByName(real.withColumn("dimension", F.lit("realization")))
+    return counted if results is None else counted.unionByName(outcome_witnesses(results))
+
+
+def suggestions(expected: DataFrame, witnesses: DataFrame, most: int = 12) -> DataFrame:
+    """Families by how many points of theirs nobody saw, with the first of these by place, and the fault (none for the
+    baseline) and profile of the first interaction among them."""
+    missing = expected.join(witnesses, ["dimension", "key"], "left_anti")
+    crossing = F.col("dimension") == "interaction"
+    numbered = missing.withColumn("n", F.row_number().over(Window.partitionBy("family").orderBy("place")))
+    firsts = F.array_sort(F.collect_list(F.when(F.col("n") <= most, F.struct("n", F.concat_ws(":", "dimension", "key").alias("point")))))
+    top = numbered.groupBy("family").agg(F.count("*").alias("uncovered"), firsts["point"].alias("points"), F.min_by(F.when(crossing, F.col("key")), F.when(crossing, F.col("n"))).alias("first"))
+    part = F.split("first", r"\|", 3)
+    rank = F.row_number().over(Window.orderBy(F.desc("uncovered"), "family"))  # a row a family
+    return top.select("family", "uncovered", "points", F.nullif(F.get(part, F.lit(1)), F.lit(BASELINE)).alias("fault"), F.get(part, F.lit(2)).alias("profile"), rank.alias("rank"))
+
+
 def ledger(expected: DataFrame, witnesses: DataFrame) -> DataFrame:
     """Expected points as covered or uncovered, and witnesses that none expected as supplemental."""
     known = expected.join(witnesses, ["dimension", "key"], "left").select(

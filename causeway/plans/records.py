@@ -170,6 +170,48 @@ table_query("n04_recommendations", _COV + """, u AS (SELECT *, row_number() OVER
     f AS (SELECT family, count(*) AS uncovered, string_agg(key, ',' ORDER BY key) FILTER (n <= 12) AS points FROM u GROUP BY family) SELECT *, CAST(row_number() OVER (ORDER BY uncovered DESC, family) AS INT) AS rank FROM f""")(lambda r: coverage.recommend(_ledger(r)))
 for _alias in ("f08_recommendation_rank", "g04_top_uncovered"):
     QUERIES[_alias], ORACLE_SQL[_alias] = QUERIES["n04_recommendations"], ORACLE_SQL["n04_recommendations"]
+# coverage of a registry: families are market segments and regions, instances are customers, realisations are nations
+_PROFILES = ["complete", "source_only", "destination_only", "missing_boundary", "broken_trace", "clock_skewed", "contradictory", "redacted"]
+_FAULTS = ["context.drop", "effect.duplicate", "node.delay", "schema.skew"]
+_words = lambda xs: F.array(*[F.lit(x) for x in xs])
+
+
+def _families(r) -> DataFrame:
+    rows = r("customer").join(r("nation"), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_mktsegment").alias("s"), F.col("n_regionkey").cast("int").alias("k")).distinct()
+    return rows.select(
+        F.concat(F.lpad("k", 2, "0"), "s").alias("seq"), F.concat(F.lit("family."), F.lower("s"), F.lit("."), "k").alias("family"), F.concat(F.lit("topology."), F.lower("s")).alias("topology"),
+        F.array(F.concat(F.lit("axis."), "k")).alias("axes"), F.array(F.concat(F.lit("invariant."), F.col("k") % 3), F.concat(F.lit("invariant.of."), F.lower("s"))).alias("invariants"),
+        F.slice(_words(_PROFILES), F.lit(1), F.col("k") + 4).alias("profiles"), F.slice(_words(_FAULTS), F.lit(1), F.col("k") % 4 + 1).alias("faults"))
+
+
+_customers_as_runs = lambda r: r("customer").join(r("nation"), F.col("c_nationkey") == F.col("n_nationkey")).where("c_custkey % 3 = 0").select(
+    F.col("c_custkey").alias("instance_id"), F.concat(F.lit("family."), F.lower("c_mktsegment"), F.lit("."), F.col("n_regionkey").cast("int")).alias("family"),
+    F.element_at(_words(_PROFILES), (F.col("c_custkey") % 5 + 1).cast("int")).alias("profile"),
+    F.when(F.col("c_custkey") % 4 == 0, F.array().cast("array<string>")).otherwise(F.array(F.element_at(_words(_FAULTS), (F.col("c_custkey") % 3 + 1).cast("int")), F.lit("fault.own"), F.lit("fault.own"))).alias("faults"), "n_name")
+_outcomes = lambda r: r("orders").select(F.col("o_orderkey").alias("case_id"), F.lit("effect.at-most-once").alias("invariant"), F.when(F.col("o_orderstatus") == "F", "satisfied").otherwise("violated").alias("status"))
+_seen = lambda r: coverage.scenario_witnesses(_customers_as_runs(r), _families(r), _customers_as_runs(r).select("instance_id", F.col("n_name").alias("realization")), _outcomes(r))
+_LIST = lambda xs: "[" + ", ".join(f"'{x}'" for x in xs) + "]"
+_SCENARIO = f"""WITH fam AS (SELECT lpad(k::VARCHAR, 2, '0') || s AS seq, 'family.' || lower(s) || '.' || k AS family, 'topology.' || lower(s) AS topology, ['axis.' || k] AS axes, ['invariant.' || k % 3, 'invariant.of.' || lower(s)] AS invariants,
+        {_LIST(_PROFILES)}[1:k + 4] AS profiles, {_LIST(_FAULTS)}[1:k % 4 + 1] AS faults FROM (SELECT DISTINCT c_mktsegment AS s, n_regionkey::INT AS k FROM customer JOIN nation ON c_nationkey = n_nationkey)),
+    inst AS (SELECT c_custkey AS instance_id, 'family.' || lower(c_mktsegment) || '.' || n_regionkey::INT AS family, {_LIST(_PROFILES)}[c_custkey % 5 + 1] AS profile, n_name,
+        CASE WHEN c_custkey % 4 = 0 THEN [] ELSE [{_LIST(_FAULTS)}[c_custkey % 3 + 1], 'fault.own'] END AS faults FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey % 3 = 0),
+    named AS (SELECT seq, family, 1 AS a, 0 AS b, 0 AS c, 'family' AS dimension, family AS key FROM fam UNION ALL SELECT seq, family, 2, 0, 0, 'topology', topology FROM fam
+        UNION ALL SELECT seq, family, 3, i, 0, 'universe_axis', axes[i] FROM fam, range(1, 9) x(i) WHERE i <= len(axes) UNION ALL SELECT seq, family, 4, i, 0, 'invariant', invariants[i] FROM fam, range(1, 9) x(i) WHERE i <= len(invariants)
+        UNION ALL SELECT seq, family, 5, i, 0, 'observability', profiles[i] FROM fam, range(1, 9) x(i) WHERE i <= len(profiles)
+        UNION ALL SELECT seq, family, 6, i, j, 'interaction', family || '|' || CASE WHEN j = 0 THEN 'baseline' ELSE faults[j] END || '|' || profiles[i] FROM fam, range(1, 9) x(i), range(0, 9) y(j) WHERE i <= len(profiles) AND j <= len(faults)
+        UNION ALL SELECT seq, family, 7, i, 0, 'fault_operator', faults[i] FROM fam, range(1, 9) x(i) WHERE i <= len(faults)),
+    expected AS (SELECT dimension, key, arg_max(family, (seq, a, b, c)) AS family, min((seq, a, b, c)) AS place FROM named GROUP BY dimension, key),
+    seen AS (SELECT 'family' AS dimension, family AS key, instance_id FROM inst UNION SELECT 'topology', topology, instance_id FROM inst JOIN fam USING (family) UNION SELECT 'universe_axis', unnest(axes), instance_id FROM inst JOIN fam USING (family)
+        UNION SELECT 'invariant', unnest(invariants), instance_id FROM inst JOIN fam USING (family) UNION SELECT 'observability', profile, instance_id FROM inst UNION SELECT 'fault_operator', unnest(faults), instance_id FROM inst
+        UNION SELECT 'interaction', family || '|' || unnest(CASE WHEN len(faults) = 0 THEN ['baseline'] ELSE faults END) || '|' || profile, instance_id FROM inst UNION SELECT 'realization', n_name, instance_id FROM inst),
+    witness AS (SELECT dimension, key, count(*) AS witnesses FROM seen GROUP BY ALL UNION ALL SELECT 'outcome', 'effect.at-most-once|' || CASE WHEN o_orderstatus = 'F' THEN 'satisfied' ELSE 'violated' END, count(*) FROM orders GROUP BY ALL) """
+table_query("n01_scenario_witnesses", _SCENARIO + "FROM witness")(_seen)
+table_query("n03_scenario_ledger", _SCENARIO + """SELECT dimension, key, family, CASE WHEN witnesses IS NULL THEN 'uncovered' ELSE 'covered' END AS status, coalesce(witnesses, 0) AS witnesses FROM expected LEFT JOIN witness USING (dimension, key)
+    UNION ALL SELECT dimension, key, NULL, 'supplemental', witnesses FROM witness ANTI JOIN expected USING (dimension, key)""")(lambda r: coverage.ledger(coverage.family_points(_families(r)), _seen(r)))
+table_query("n04_suggestions", _SCENARIO + """, m AS (SELECT *, row_number() OVER (PARTITION BY family ORDER BY place) AS n FROM expected ANTI JOIN witness USING (dimension, key)),
+    f AS (SELECT family, count(*) AS uncovered, string_agg(dimension || ':' || key, ',' ORDER BY n) FILTER (n <= 12) AS points, arg_min(key, n) FILTER (dimension = 'interaction') AS first FROM m GROUP BY family)
+    SELECT family, uncovered, points, nullif(split_part(first, '|', 2), 'baseline') AS fault, split_part(first, '|', 3) AS profile, CAST(row_number() OVER (ORDER BY uncovered DESC, family) AS INT) AS rank FROM f""")(
+    lambda r: coverage.suggestions(coverage.family_points(_families(r)), _seen(r)))
 _trials = lambda r: r("labels").join(r("documents").select("doc_id", "text"), "doc_id").select("doc_id", F.coalesce(F.col("text").rlike("!!|###|%%%"), F.lit(False)).alias("detected"))
 table_query("n05_mutation_adequacy", "WITH t AS (SELECT regexp_matches(text, '!!|###|%%%') AS d FROM labels JOIN documents USING (doc_id)) SELECT count(*) FILTER (d) AS detected, count(*) FILTER (NOT d) AS survived, count(*) FILTER (d) / count(*) AS score FROM t")(lambda r: coverage.adequacy(_trials(r)))
 QUERIES["e14_mutation_adequacy"], ORACLE_SQL["e14_mutation_adequacy"] = QUERIES["n05_mutation_adequacy"], ORACLE_SQL["n05_mutation_adequacy"]
