@@ -144,7 +144,8 @@ _HEADED = f"""SELECT doc_id AS id, unnest(['record.text', 'record.source', 'reco
 _SQL_TEXT = lambda p: "'" + p.replace("'", "''") + "'"
 _VIOL = " UNION ALL ".join(f"SELECT id, path, '{name}' AS pattern FROM ({_HEADED}) WHERE regexp_matches(value, {_SQL_TEXT(p)})" for name, p in (privacy.PROHIBITED["shareable"] | privacy.PERSONAL).items())
 table_query("c08_prohibited_patterns", _VIOL)(lambda r: privacy.violations(_headed(r), "doc_id"))
-table_query("c09_first_match_in_payload", f"SELECT doc_id AS id, regexp_extract(text, '{_EMAIL}') AS match FROM documents WHERE regexp_matches(text, '{_EMAIL}')")(lambda r: privacy.first_matches(r("documents").select("doc_id", "text"), "doc_id", _EMAIL))
+table_query("c09_first_match_in_payload", f"""SELECT id, left(match, 64) || CASE WHEN length(match) > 64 THEN '…' ELSE '' END AS match
+    FROM (SELECT doc_id AS id, regexp_extract(CAST(json_object('text', text) AS VARCHAR), '{_EMAIL}') AS match FROM documents) WHERE match <> ''""")(lambda r: privacy.first_matches(r("documents").select("doc_id", "text"), "doc_id", _EMAIL))
 table_query("m06_clean_export", _REDACTED)(lambda r: privacy.export(_docs(r), "doc_id", "shareable", _SECRET)[0])
 table_query("m05_policies", f"""SELECT 'internal' AS policy, doc_id, text, source, {_OWNER} AS owner, CASE WHEN doc_id % 9 = 0 THEN '[PROHIBITED]' END AS api_key FROM documents
     UNION ALL SELECT 'shareable', * FROM ({_REDACTED}) UNION ALL SELECT 'public', * FROM ({_REDACTED})""")(

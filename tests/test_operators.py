@@ -9,12 +9,14 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from causeway import registry
 from causeway.functions import scalars as S
 from causeway.operators import compare, integrity, invariants, mutations, privacy
 from causeway.operators.graph import contract_components
 from causeway.plans import core, views
 from causeway.sources import traces
 from causeway.streaming import checks
+from compared import agrees
 
 
 def test_components_equal_union_find(spark):
@@ -160,3 +162,15 @@ def test_field_rules(spark):
     got = {(r.id, r.rule) for r in integrity.field_violations(df, "id", {"id": integrity.valid_id(F.col("id")), "digest": integrity.valid_digest(F.col("d"))}).collect()}
     assert got == {("Bad", "id"), ("Bad", "digest")}
     assert integrity.repeated_ids((df.withColumn("case_id", F.lit(1)), "id"), (df.withColumn("case_id", F.lit(1)), "id")).count() == 2
+
+
+def test_first_match_is_that_of_the_serialised_record(spark, tmp_path):
+    """The SQL searches what is serialised too: a line end stands as two characters there."""
+    import duckdb
+
+    rows = [(1, "see\nann@x.org and b@y.org"), (2, "\x01carl@x.org"), (3, None), (4, "none"), (5, "z" * 70 + "@x.org"), (6, "a@b.org")]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    agrees(spark, con, registry.QUERIES["c09_first_match_in_payload"], registry.ORACLE_SQL["c09_first_match_in_payload"], str(tmp_path))
+    assert {r.id: r.match for r in registry.QUERIES["c09_first_match_in_payload"](spark, str(tmp_path)).collect()} == {1: "nann@x.org", 2: "u0001carl@x.org", 5: "z" * 64 + "…", 6: "a@b.org"}
