@@ -6,13 +6,14 @@
 from __future__ import annotations
 
 from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from causeway.functions.scalars import duration_ms, normalize_operation, stable_id, truthy
 from causeway.operators import assembly
-from causeway.session import checkpointed
+from causeway.session import checkpointed, written
 
 # What each equal part of a signature weighs. Together 19.5.
 WEIGHTS = {"node_kind": 4.0, "operation": 6.0, "component_kind": 3.0, "component_role": 1.5, "logical_operation_id": 2.0, "task_name": 2.0, "stage": 1.0}
@@ -40,6 +41,13 @@ def sides(pairs: DataFrame, prepared: DataFrame) -> tuple[DataFrame, DataFrame]:
     return left, right
 
 
+def written_sides(pairs: DataFrame, prepared: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The same two tables, for plans that read them often: nodes are prepared once and written once for both."""
+    cases = pairs.select("comparison_id", F.explode(F.array(F.struct(F.lit("a").alias("side"), F.col("baseline_case").alias("case_id")), F.struct(F.lit("b").alias("side"), F.col("candidate_case").alias("case_id")))).alias("c"))
+    both = written(cases.select("comparison_id", "c.*").join(prepared, "case_id"))
+    return both.where("side = 'a'").drop("side"), both.where("side = 'b'").drop("side")
+
+
 def align_by_role(left: DataFrame, right: DataFrame) -> DataFrame:
     """The n-th node of a role on one side with the n-th on the other; a missing attempt counts as 0."""
     order = Window.partitionBy("comparison_id", "role").orderBy(F.coalesce("task_attempt", F.lit(0)), "start_us", "node_id")
@@ -140,7 +148,7 @@ def align(left: DataFrame, right: DataFrame) -> DataFrame:
 
     Nodes of equal role go first; only what is left is compared by signature, see :func:`match`.
     """
-    by_role = align_by_role(left, right)
+    by_role = written(align_by_role(left, right))
     rest = lambda df, ref: df.join(by_role.select("comparison_id", F.col(ref).alias("node_id")), ["comparison_id", "node_id"], "left_anti")
     by_signature = match(*similar_classes(rest(left, "baseline_ref"), rest(right, "candidate_ref")))
     found = by_role.select("*", F.lit("aligned").alias("status"), F.lit(1.0).alias("score"), F.lit("").alias("others")).unionByName(by_signature)
@@ -175,14 +183,35 @@ def aligned_nodes(alignments: DataFrame, left: DataFrame, right: DataFrame) -> D
     return pairs.join(side(left, "a", "baseline_ref"), ["comparison_id", "baseline_ref"]).join(side(right, "b", "candidate_ref"), ["comparison_id", "candidate_ref"])
 
 
-def _per_pair(rows: DataFrame, dimension: str, name: str, severity: Column, consequence: Column, consequential: bool = True) -> DataFrame:
-    rank = F.least("a_offset_ms", "b_offset_ms")
-    return _divergence(rows, dimension, F.lit(name), severity, consequence, rank, stable_id("divergence", F.col("alignment_id"), F.lit(name)), consequential)
+class Change(NamedTuple):
+    """What makes an aligned pair a divergence, and of which kind."""
 
+    dimension: str
+    name: str
+    when: Column
+    severity: Column
+    consequence: Column
+    consequential: bool = True
 
-def status_changed(rows: DataFrame) -> DataFrame:
+
+def _per_pair(rows: DataFrame, *changes: Change) -> DataFrame:
+    """Divergences of aligned pairs; all changes are tried in one pass over the pairs."""
+    def found(c: Change) -> Column:
+        parts = {"divergence_id": stable_id("divergence", F.col("alignment_id"), F.lit(c.name)), "dimension": F.lit(c.dimension), "classification": F.lit(c.name), "severity": c.severity,
+                 "consequence": c.consequence, "consequential": F.lit(c.consequential)}
+        return F.when(c.when, F.struct(*[v.alias(k) for k, v in parts.items()]))
+
+    return rows.select("comparison_id", F.explode(F.array_compact(F.array(*map(found, changes)))).alias("c"), "baseline_ref", "candidate_ref", F.least("a_offset_ms", "b_offset_ms").alias("rank_ms")).select(
+        "comparison_id", "c.*", F.coalesce("baseline_ref", F.lit("")).alias("baseline_refs"), F.coalesce("candidate_ref", F.lit("")).alias("candidate_refs"), "rank_ms")
+
+
+def _status() -> Change:
     good = F.col("b_status").isin("ok", "committed", "completed")
-    return _per_pair(rows.where("not (a_status <=> b_status)"), "error", "status.changed", F.when(good, "medium").otherwise("high"), F.lit("outcome_relevant"))
+    return Change("error", "status.changed", ~F.col("a_status").eqNullSafe(F.col("b_status")), F.when(good, "medium").otherwise("high"), F.lit("outcome_relevant"))
+
+
+def status_changed(rows: DataFrame) -> DataFrame:
+    return _per_pair(rows, _status())
 
 
 def context_differences(rows: DataFrame, contexts: DataFrame) -> DataFrame:
@@ -205,10 +234,14 @@ def context_differences(rows: DataFrame, contexts: DataFrame) -> DataFrame:
     )
 
 
-def context_changed(rows: DataFrame, contexts: DataFrame) -> DataFrame:
-    found = context_differences(rows, contexts)
+def _context() -> Change:
+    """Over rows of :func:`context_differences`."""
     worse = (F.size("missing") > 0) | (F.size("mutated") > 0)
-    return _per_pair(found.where(worse | (F.size("added") > 0)), "context", "context.changed", F.when(worse, "high").otherwise("medium"), F.when(worse, "outcome_relevant").otherwise("semantic"))
+    return Change("context", "context.changed", worse | (F.size("added") > 0), F.when(worse, "high").otherwise("medium"), F.when(worse, "outcome_relevant").otherwise("semantic"))
+
+
+def context_changed(rows: DataFrame, contexts: DataFrame) -> DataFrame:
+    return _per_pair(context_differences(rows, contexts), _context())
 
 
 def identity_changes(rows: DataFrame) -> DataFrame:
@@ -220,19 +253,37 @@ def identity_changes(rows: DataFrame) -> DataFrame:
     return rows.withColumn("changed", F.array_compact(F.array(*[change(c) for c in ("tenant_id", "principal_id", "idempotency_key", "task_attempt", "message_id")])))
 
 
-def identity_changed(rows: DataFrame) -> DataFrame:
+def _identity() -> Change:
+    """Over rows of :func:`identity_changes`."""
     tenant = F.array_contains("changed", "tenant_id")
-    return _per_pair(identity_changes(rows).where("size(changed) > 0"), "identity", "identity.changed", F.when(tenant, "high").otherwise("medium"), F.when(tenant, "outcome_relevant").otherwise("semantic"))
+    return Change("identity", "identity.changed", F.size("changed") > 0, F.when(tenant, "high").otherwise("medium"), F.when(tenant, "outcome_relevant").otherwise("semantic"))
 
 
-def duration_changed(rows: DataFrame) -> DataFrame:
+def identity_changed(rows: DataFrame) -> DataFrame:
+    return _per_pair(identity_changes(rows), _identity())
+
+
+def _duration() -> Change:
     a, b = F.col("a_duration_ms"), F.col("b_duration_ms")
     slower = (F.abs(b - a) >= DURATION_DELTA_MS) & (F.greatest(a, b) / F.greatest(F.lit(1.0), F.least(a, b)) >= DURATION_RATIO)
-    return _per_pair(rows.where(slower), "timing", "timing.duration-regression", F.lit("medium"), F.lit("semantic"))
+    return Change("timing", "timing.duration-regression", slower, F.lit("medium"), F.lit("semantic"))
+
+
+def duration_changed(rows: DataFrame) -> DataFrame:
+    return _per_pair(rows, _duration())
+
+
+def _evidence() -> Change:
+    return Change("evidence", "evidence.node-coverage-changed", F.col("a_has_evidence") != F.col("b_has_evidence"), F.lit("low"), F.lit("observational"), False)
 
 
 def evidence_changed(rows: DataFrame) -> DataFrame:
-    return _per_pair(rows.where("a_has_evidence <> b_has_evidence"), "evidence", "evidence.node-coverage-changed", F.lit("low"), F.lit("observational"), False)
+    return _per_pair(rows, _evidence())
+
+
+def pair_changes(rows: DataFrame, contexts: DataFrame) -> DataFrame:
+    """All divergences of aligned pairs, in one pass over the pairs and their contexts."""
+    return _per_pair(identity_changes(context_differences(rows, contexts)), _status(), _context(), _identity(), _duration(), _evidence())
 
 
 def structural(alignments: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
@@ -275,10 +326,7 @@ def severity_order(severity: Column) -> Column:
 def divergences(pairs: DataFrame, alignments: DataFrame, left: DataFrame, right: DataFrame, contexts: DataFrame, effects: DataFrame) -> DataFrame:
     """All divergences, the first of equals by (classification, refs)."""
     rows = aligned_nodes(alignments, left, right)
-    parts = [
-        structural(alignments, left, right), ambiguous(alignments), status_changed(rows), context_changed(rows, contexts), identity_changed(rows), duration_changed(rows), evidence_changed(rows),
-        effect_changed(pairs, effects, right),
-    ]
+    parts = [structural(alignments, left, right), ambiguous(alignments), pair_changes(rows, contexts), effect_changed(pairs, effects, right)]
     order = Window.partitionBy("comparison_id", "classification", "baseline_refs", "candidate_refs").orderBy("divergence_id")
     return reduce(DataFrame.unionByName, parts).withColumn("_n", F.row_number().over(order)).where("_n = 1").select(DIVERGENCE)
 
@@ -296,16 +344,24 @@ def first_meaningful(rows: DataFrame) -> DataFrame:
     return rows.where(keep).groupBy("comparison_id").agg(F.min(key).alias("k")).select("comparison_id", F.col("k.d").alias("divergence_id"), F.col("k.r").alias("rank_ms"))
 
 
-def summary(alignments: DataFrame, rows: DataFrame) -> DataFrame:
+def alignment_counts(alignments: DataFrame) -> DataFrame:
+    """Of each comparison the number of nodes by how they were aligned."""
     status = lambda s: F.count_if(F.col("status") == s).alias(f"{s}_nodes")
-    a = alignments.groupBy("comparison_id").agg(*[status(s) for s in ("aligned", "baseline_only", "candidate_only", "ambiguous")])
+    return alignments.groupBy("comparison_id").agg(*[status(s) for s in ("aligned", "baseline_only", "candidate_only", "ambiguous")])
+
+
+def summary(alignments: DataFrame, rows: DataFrame) -> DataFrame:
     d = rows.groupBy("comparison_id").agg(F.count("*").alias("divergences"), F.count_if("consequential").alias("consequential"))
-    return a.join(d, "comparison_id", "left").fillna(0)
+    return alignment_counts(alignments).join(d, "comparison_id", "left").fillna(0)
 
 
 def compare(pairs: DataFrame, t: dict) -> dict[str, DataFrame]:
-    """All comparisons at once: alignments, divergences, first and summary."""
-    left, right = sides(pairs, prepare(t["nodes"], t["components"]))
-    alignments = align(left, right)
+    """All comparisons at once: alignments, divergences, first and summary.
+
+    Sides and alignments are written once, as every kind of divergence reads them; read from
+    their plans, each read would run the matching's rounds and the preparation again.
+    """
+    left, right = written_sides(pairs, prepare(t["nodes"], t["components"]))
+    alignments = written(align(left, right))
     rows = divergences(pairs, alignments, left, right, t["contexts"], t["effects"])
     return {"alignments": alignments, "divergences": rows, "first": first_meaningful(rows), "summary": summary(alignments, rows)}

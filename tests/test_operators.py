@@ -174,3 +174,16 @@ def test_first_match_is_that_of_the_serialised_record(spark, tmp_path):
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
     agrees(spark, con, registry.QUERIES["c09_first_match_in_payload"], registry.ORACLE_SQL["c09_first_match_in_payload"], str(tmp_path))
     assert {r.id: r.match for r in registry.QUERIES["c09_first_match_in_payload"](spark, str(tmp_path)).collect()} == {1: "nann@x.org", 2: "u0001carl@x.org", 5: "z" * 64 + "…", 6: "a@b.org"}
+
+
+def test_a_comparison_reads_its_nodes_once(spark, sf_dir):
+    """The plan of all divergences reads written sides and alignments, not their own plans again; one pass over the pairs finds what each kind alone does."""
+    t = views.tables(spark, sf_dir)
+    left, right = compare.written_sides(t["pairs"], compare.prepare(t["nodes"], t["components"]))
+    by_role = compare.align_by_role(left, right).withColumns({"status": F.lit("aligned"), "alignment_id": F.concat("baseline_ref", "candidate_ref")})
+    rows = compare.written(compare.aligned_nodes(by_role, left, right))
+    alone = [f(rows) for f in (compare.status_changed, compare.identity_changed, compare.duration_changed, compare.evidence_changed)] + [compare.context_changed(rows, t["contexts"])]
+    want = sorted(str(r) for df in alone for r in df.select(compare.DIVERGENCE).collect())
+    assert sorted(str(r) for r in compare.pair_changes(rows, t["contexts"]).select(compare.DIVERGENCE).collect()) == want and len(want) > 100
+    leaves = lambda df: df._jdf.queryExecution().optimizedPlan().collectLeaves().size()
+    assert leaves(compare.compare(t["pairs"], t)["summary"]) < 40
