@@ -1,7 +1,7 @@
 """Stored cases as a Spark data source: a folder of canonical JSON and JSONL files for each case.
 
-Reading gives a row a record; writing puts each case into place whole, by a rename after
-all tasks have ended. Paths may be of any file system that pyarrow opens.
+Reading gives a row a record, or a row a file with its count or digest; writing puts each case into
+place whole, by a rename after all tasks have ended. Paths may be of any file system that pyarrow opens.
 """
 
 from __future__ import annotations
@@ -10,7 +10,8 @@ import hashlib
 import io
 import json
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
 from urllib.parse import quote, unquote
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 # The files of a stored case.
 DOCUMENTS = {
@@ -45,17 +46,32 @@ SUFFIX = ".case"
 STAGING = "_staging"
 SCHEMA = "case_id string, entity string, line long, record string, problem string"
 _BATCH = 2000
+#: Cases of a partition at least, and how many partitions a larger store is dealt to.
+CASES, PARTITIONS = 64, 128
+#: What a row says: a record, the number of records of a table (a document stays a record), or size and digest of a file.
+DETAILS = ("records", "counts", "digests")
+#: Renames and deletions that are under way at once.
+AT_ONCE = 16
+
+
+_CANONICAL = json.JSONEncoder(sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
 
 
 def canonical(value) -> str:
     """Keys in order, no spaces, no escapes of letters, and a line end."""
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False) + "\n"
+    return _CANONICAL.encode(value) + "\n"
 
 
 def _opened(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path)
 
 
+def _each(do: Callable, items: Iterable) -> list:
+    """``do`` of all items side by side; the first error is raised."""
+    with ThreadPoolExecutor(AT_ONCE) as pool:
+        return list(pool.map(do, items))
+
+
 @dataclass
 class Cases(InputPartition):
     names: list[str]
@@ -70,7 +86,9 @@ class CaseReader(DataSourceReader):
     def __init__(self, options) -> None:
         self.root = options["path"]
         self.entities = [e for e in options.get("entities", ",".join(FILES)).split(",") if e]
-        self.each = int(options.get("casesPerPartition", "8"))
+        self.each, self.detail = int(options.get("casesPerPartition", "0")), options.get("detail", "records")
+        if self.detail not in DETAILS:
+            raise ValueError(f"unknown detail: {self.detail}")
         if unknown := set(self.entities) - set(FILES):
             raise ValueError(f"unknown entities: {sorted(unknown)}")
 
@@ -78,7 +96,8 @@ class CaseReader(DataSourceReader):
         system, root = _opened(self.root)
         found = system.get_file_info(fs.FileSelector(root, allow_not_found=True))
         names = sorted(f.base_name for f in found if f.type == fs.FileType.Directory and f.base_name.endswith(SUFFIX))
-        return [Cases(names[i : i + self.each]) for i in range(0, len(names), self.each)] or [Cases([])]
+        each = self.each or max(CASES, -(-len(names) // PARTITIONS))
+        return [Cases(names[i : i + each]) for i in range(0, len(names), each)] or [Cases([])]
 
     def read(self, partition: Cases) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("case_id", pa.string()), ("entity", pa.string()), ("line", pa.int64()), ("record", pa.string()), ("problem", pa.string())])
@@ -100,10 +119,20 @@ class CaseReader(DataSourceReader):
             try:
                 stream = system.open_input_stream(path)
             except FileNotFoundError:
-                if entity in REQUIRED:
+                if entity in REQUIRED and self.detail != "digests":
                     yield case_id, entity, None, None, f"missing: {FILES[entity]}"
                 continue
             with stream:
+                if self.detail == "digests":
+                    digest = hashlib.sha256()
+                    size = 0
+                    while part := stream.read(1 << 20):
+                        digest.update(part)
+                        size += len(part)
+                    yield case_id, entity, size, "sha256:" + digest.hexdigest(), None
+                    continue
+                counted = self.detail == "counts" and entity in LINES
+                good = 0
                 texts = enumerate(io.BufferedReader(stream), 1) if entity in LINES else [(1, stream.read())]
                 for number, raw in texts:
                     if not raw.strip():
@@ -114,24 +143,38 @@ class CaseReader(DataSourceReader):
                     except ValueError as error:
                         yield case_id, entity, number, None, f"{FILES[entity]}:{number}: {type(error).__name__}"
                         continue
-                    yield case_id, entity, number, text, None
+                    if counted:
+                        good += 1
+                    else:
+                        yield case_id, entity, number, text, None
+                if counted:
+                    yield case_id, entity, good, None, None
 
 
-class CaseWriter(DataSourceWriter):
+class CaseWriter(DataSourceArrowWriter):
     """Each task stages the cases it was given, with their content index; the commit renames them into the root."""
 
     def __init__(self, options, overwrite: bool) -> None:
         self.root, self.overwrite, self.job = options["path"], overwrite, uuid.uuid4().hex
 
-    def write(self, rows: Iterator) -> Staged:
+    def write(self, batches: Iterator[pa.RecordBatch]) -> Staged:
         system, root = _opened(self.root)
         folder = f"{root}/{STAGING}/{self.job}/{uuid.uuid4().hex}"
         wrote = case = None
         done: set[str] = set()
         stream, digest, size, index, entity = None, None, 0, [], None
+        made: set[str] = set()  # folders of the case
+        lines: list[bytes] = []  # of the file, not yet written
+
+        def flush() -> None:
+            data = b"".join(lines)
+            lines.clear()
+            stream.write(data)
+            digest.update(data)
 
         def close_file() -> None:
             if stream is not None:
+                flush()
                 stream.close()
                 index.append({"digest": "sha256:" + digest.hexdigest(), "path": FILES[entity], "size_bytes": size})
 
@@ -141,42 +184,46 @@ class CaseWriter(DataSourceWriter):
                 with system.open_output_stream(f"{folder}/{case}/{INDEX}") as out:
                     out.write(canonical({"entries": sorted(index, key=lambda e: e["path"])}).encode())
 
-        for row in rows:
-            name = quote(row["case_id"], safe="") + SUFFIX
-            if (name, row["entity"]) != (case, entity):
+        rows = (row for b in batches for row in zip(*[b.column(c).to_pylist() for c in ("case_id", "entity", "record")]))
+        last = name = None
+        for case_id, kind, record in rows:
+            if case_id != last:
+                last, name = case_id, quote(case_id, safe="") + SUFFIX
+            if (name, kind) != (case, entity):
                 close_file()
                 stream = None
                 if name != case:
                     close_case()
                     if name in done:
-                        raise ValueError(f"rows of {row['case_id']} do not stand together")
-                    case, index = name, []
+                        raise ValueError(f"rows of {case_id} do not stand together")
+                    case, index, made = name, [], set()
                     done.add(name)
-                entity = row["entity"]
+                entity = kind
                 path = f"{folder}/{case}/{FILES[entity]}"
-                system.create_dir(path.rsplit("/", 1)[0], recursive=True)
+                if (place := path.rsplit("/", 1)[0]) not in made:
+                    system.create_dir(place, recursive=True)
+                    made.add(place)
                 stream, digest, size, wrote = system.open_output_stream(path), hashlib.sha256(), 0, folder
             elif entity in DOCUMENTS:
-                raise ValueError(f"{row['case_id']} has several records of {entity}")
-            line = canonical(json.loads(row["record"])).encode()
-            stream.write(line)
-            digest.update(line)
+                raise ValueError(f"{case_id} has several records of {entity}")
+            line = canonical(json.loads(record)).encode()
+            lines.append(line)
             size += len(line)
+            if len(lines) >= _BATCH:
+                flush()
         close_file()
         close_case()
         return Staged(wrote)
 
     def commit(self, messages: list[Staged]) -> None:
         system, root = _opened(self.root)
-        staged = [f for m in messages if m and m.folder for f in system.get_file_info(fs.FileSelector(m.folder))]
+        staged = [f for found in _each(lambda m: system.get_file_info(fs.FileSelector(m.folder)), [m for m in messages if m and m.folder]) for f in found]
         there = {f.base_name for f in system.get_file_info(fs.FileSelector(root, allow_not_found=True)) if f.base_name.endswith(SUFFIX)}
         if not self.overwrite and (twice := there & {f.base_name for f in staged}):
             raise ValueError(f"cases are stored already: {sorted(twice)[:5]}")
         if self.overwrite:
-            for name in there:
-                system.delete_dir(f"{root}/{name}")
-        for f in staged:
-            system.move(f.path, f"{root}/{f.base_name}")
+            _each(lambda name: system.delete_dir(f"{root}/{name}"), there)
+        _each(lambda f: system.move(f.path, f"{root}/{f.base_name}"), staged)
         self.abort(messages)
 
     def abort(self, messages: list[Staged]) -> None:
@@ -201,11 +248,14 @@ class CaseSource(DataSource):
         return CaseWriter(self.options, overwrite)
 
 
-def scan(spark: SparkSession, root: str, *entities: str) -> DataFrame:
+def scan(spark: SparkSession, root: str, *entities: str, detail: str = "records") -> DataFrame:
     """(case_id, entity, line, record, problem) of the entities asked for, all if none is named. A record is null and the
-    problem says why where a line is no JSON or a required file is missing; blank lines are skipped."""
+    problem says why where a line is no JSON or a required file is missing; blank lines are skipped.
+
+    With ``detail`` "counts" a table is one row, with the number of its records as ``line``, beside those of its problems;
+    with "digests" every file is one row, with its size as ``line`` and its digest as ``record``."""
     spark.dataSource.register(CaseSource)
-    reader = spark.read.format("cases")
+    reader = spark.read.format("cases").option("detail", detail)
     return (reader.option("entities", ",".join(entities)) if entities else reader).load(root)
 
 
@@ -217,9 +267,9 @@ def read_entity(spark: SparkSession, root: str, entity: str, schema: str) -> Dat
 
 def load_cases(spark: SparkSession, root: str) -> DataFrame:
     """One row a case: its documents, the number of records of each table, of parts of the system, and its problems."""
-    rows = scan(spark, root)
+    rows = scan(spark, root, detail="counts")
     document = lambda e: F.max(F.when(F.col("entity") == e, F.col("record"))).alias(e)
-    count = lambda e: F.count_if((F.col("entity") == e) & F.col("record").isNotNull()).alias(e)
+    count = lambda e: F.coalesce(F.sum(F.when((F.col("entity") == e) & F.col("problem").isNull(), F.col("line"))), F.lit(0)).alias(e)
     part = lambda p: F.size(F.from_json(F.get_json_object("system", f"$.{p}"), "array<string>")).alias(p)
     out = rows.groupBy("case_id").agg(*[document(e) for e in DOCUMENTS], *[count(e) for e in LINES], F.array_sort(F.collect_set("problem")).alias("problems"))
     return out.select("*", *[part(p) for p in ("components", "boundaries", "resources")])
@@ -239,15 +289,17 @@ def as_records(entity: str, rows: DataFrame, key: str | None = None) -> DataFram
 
 
 def save_cases(parts: list[DataFrame], root: str, mode: str = "append") -> None:
-    """Store cases given as records (see :func:`as_records`). All rows of a case go to one task, sorted, and stream into its files."""
+    """Store cases given as records (see :func:`as_records`). All rows of a case go to one task, sorted, and stream into its files.
+
+    The number of tasks is fixed: files cost by their number, so small records must not be put together into few tasks."""
     rows = reduce(DataFrame.unionByName, parts)
-    rows.sparkSession.dataSource.register(CaseSource)
-    rows.repartition("case_id").sortWithinPartitions("case_id", "entity", "key", "record").drop("key").write.format("cases").mode(mode).save(root)
+    spark = rows.sparkSession
+    spark.dataSource.register(CaseSource)
+    rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "case_id").sortWithinPartitions("case_id", "entity", "key", "record").drop("key").write.format("cases").mode(mode).save(root)
 
 
 def content_index(spark: SparkSession, root: str) -> DataFrame:
     """(case_id, path, size_bytes, digest) of the files of stored cases, from their content."""
-    rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    name = F.regexp_extract("path", rf"/([^/]+){SUFFIX.replace('.', '[.]')}/(.+)$", 1)
-    path = F.regexp_extract("path", rf"/[^/]+{SUFFIX.replace('.', '[.]')}/(.+)$", 1)
-    return rows.where(path.isin(*FILES.values())).select(F.url_decode(name).alias("case_id"), path.alias("path"), F.col("length").alias("size_bytes"), F.concat(F.lit("sha256:"), F.sha2("content", 256)).alias("digest"))
+    path = F.create_map(*[F.lit(x) for pair in FILES.items() for x in pair])
+    rows = scan(spark, root, detail="digests")
+    return rows.select("case_id", path[F.col("entity")].alias("path"), F.col("line").alias("size_bytes"), F.col("record").alias("digest"))
