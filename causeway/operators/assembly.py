@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from causeway.functions.scalars import stable_id, truthy
-from causeway.operators.graph import contract_components
+from causeway.operators.graph import components_within
 
 RELATION = ["case_id", "relation_id", "kind", "source_ref", "target_ref", "derivation"]
 # Kinds of relation that order their ends in time.
@@ -131,8 +131,7 @@ def temporal_constraints(relations: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def components_of(nodes: DataFrame, relations: DataFrame) -> DataFrame:
     """(case_id, node_id, component): the least node of each connected part of a case, over relations between nodes."""
-    edges = _with_ends(relations, nodes).select(F.struct("case_id", F.col("source_ref").alias("node")).alias("src"), F.struct("case_id", F.col("target_ref").alias("node")).alias("dst"))
-    found = contract_components(edges).select(F.col("node.case_id").alias("case_id"), F.col("node.node").alias("node_id"), F.col("component.node").alias("component"))
+    found = components_within(_with_ends(relations, nodes), "case_id", "source_ref", "target_ref").withColumnRenamed("node", "node_id")
     return nodes.select("case_id", "node_id").join(found, ["case_id", "node_id"], "left").withColumn("component", F.coalesce("component", "node_id"))
 
 

@@ -1,11 +1,19 @@
-"""Graph operators that need rounds: connected components by random-order contraction."""
+"""Connected components: of one graph by random-order contraction in rounds, of many small ones mostly in one pass."""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from causeway.session import checkpointed
+from causeway.session import checkpointed, written
+
+#: Edges that a task of :func:`components_within` holds at once.
+CHUNK = 200_000
 
 
 def contract_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
@@ -40,3 +48,65 @@ def contract_components(edges: DataFrame, src: str = "src", dst: str = "dst") ->
         found = found.join(step, "root", "left").select("node", F.coalesce("p", "root").alias("root"))
     least = found.groupBy("root").agg(F.min("node").alias("component"))
     return found.join(least, "root").select("node", "component")
+
+
+def _stars(rows: pa.Table) -> pa.RecordBatch:
+    """The edges of a chunk, sorted by group, as one row a node: its least neighbour in any number of steps within the chunk.
+
+    ``open`` are the first and the last group, which may have edges in other chunks.
+    """
+    group = rows.column("grp").combine_chunks()
+    ends = pa.chunked_array([*rows.column("u").chunks, *rows.column("v").chunks]).combine_chunks().dictionary_encode()
+    groups = group.dictionary_encode()
+    order = pc.sort_indices(ends.dictionary)
+    names, n, rank = ends.dictionary.take(order), len(order), np.empty(len(order), np.int64)
+    rank[order.to_numpy()] = np.arange(n)
+    at = np.asarray(groups.indices, np.int64)
+    keys, found = np.unique(np.tile(at, 2) * n + rank[np.asarray(ends.indices)], return_inverse=True)  # in order of group and node
+    u, v = found.reshape(2, -1)
+    label = np.arange(len(keys))
+    while True:  # a part that is not the least of its neighbours joins a lesser one, so their number halves
+        a, b = label[u], label[v]
+        apart = a != b
+        if not apart.any():
+            break
+        u, v, a, b = u[apart], v[apart], a[apart], b[apart]
+        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+        while (further := label[label]).tobytes() != label.tobytes():
+            label = further
+    of = keys // n
+    edge = (of == at[0]) | (of == at[-1])
+    columns = [groups.dictionary.take(pa.array(of)), names.take(pa.array(keys % n)), names.take(pa.array(keys[label] % n)), pa.array(edge)]
+    return pa.RecordBatch.from_arrays(columns, ["grp", "node", "component", "open"])
+
+
+def _in_chunks(most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                size += batch.num_rows
+            if size >= most:
+                yield _stars(pa.Table.from_batches(held))
+                held, size = [], 0
+        if held:
+            yield _stars(pa.Table.from_batches(held))
+
+    return run
+
+
+def components_within(edges: DataFrame, group: str, src: str = "src", dst: str = "dst", chunk: int = CHUNK) -> DataFrame:
+    """(group, node, component) for every end of an edge between different nodes, all three strings; groups are graphs of their own.
+
+    Edges are dealt by ranges of (group, source), so a large group falls to several tasks, and each
+    task contracts them in chunks of bounded size. Groups that lie whole within a chunk are done then; of
+    the first and last one of a chunk the edges that are left, one a node and chunk, go through
+    :func:`contract_components`.
+    """
+    rows = edges.select(F.col(group).alias("grp"), F.col(src).alias("u"), F.col(dst).alias("v")).where("grp is not null and u <> v")
+    dealt = written(rows).repartitionByRange("grp", "u").sortWithinPartitions("grp")
+    stars = written(dealt.mapInArrow(_in_chunks(chunk), "grp string, node string, component string, open boolean"))
+    left = stars.where("open").select(F.struct("grp", "node").alias("src"), F.struct("grp", F.col("component").alias("node")).alias("dst"))
+    rest = contract_components(left).select(F.col("node.grp").alias("grp"), F.col("node.node").alias("node"), F.col("component.node").alias("component"))
+    return stars.where("not open").drop("open").unionByName(rest).withColumnRenamed("grp", group)
