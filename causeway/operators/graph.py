@@ -96,16 +96,17 @@ def _in_chunks(most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
     return run
 
 
-def components_within(edges: DataFrame, group: str, src: str = "src", dst: str = "dst", chunk: int = CHUNK) -> DataFrame:
+def components_within(edges: DataFrame, group: str, src: str = "src", dst: str = "dst", chunk: int = CHUNK, at_rest: bool = False) -> DataFrame:
     """(group, node, component) for every end of an edge between different nodes, all three strings; groups are graphs of their own.
 
     Edges are dealt by ranges of (group, source), so a large group falls to several tasks, and each
     task contracts them in chunks of bounded size. Groups that lie whole within a chunk are done then; of
     the first and last one of a chunk the edges that are left, one a node and chunk, go through
-    :func:`contract_components`.
+    :func:`contract_components`. The edges are written first, as they are sampled and then
+    dealt, unless they are ``at_rest`` already.
     """
     rows = edges.select(F.col(group).alias("grp"), F.col(src).alias("u"), F.col(dst).alias("v")).where("grp is not null and u <> v")
-    dealt = written(rows).repartitionByRange("grp", "u").sortWithinPartitions("grp")
+    dealt = (rows if at_rest else written(rows)).repartitionByRange("grp", "u").sortWithinPartitions("grp")
     stars = written(dealt.mapInArrow(_in_chunks(chunk), "grp string, node string, component string, open boolean"))
     left = stars.where("open").select(F.struct("grp", "node").alias("src"), F.struct("grp", F.col("component").alias("node")).alias("dst"))
     rest = contract_components(left).select(F.col("node.grp").alias("grp"), F.col("node.node").alias("node"), F.col("component.node").alias("component"))

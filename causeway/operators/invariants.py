@@ -7,16 +7,24 @@ one row a case: case_id, status, node_refs, effect_refs, context_refs, evidence_
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce, wraps
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from causeway.functions.scalars import confidence, evidence_class, stable_id, truthy
 from causeway.operators import apart, assembly
+from causeway.operators.graph import components_within
+from causeway.session import written
 
 STATUSES = ["satisfied", "violated", "inconclusive", "contradicted", "not_applicable", "evaluation_error"]
 REFS = ["node_refs", "effect_refs", "context_refs", "evidence_refs"]
+#: Columns of nodes that the handlers and the assembly of relations read.
+NODE_COLUMNS = [
+    "case_id", "node_id", "event_id", "kind", "operation", "start_us", "end_us", "status", "trace_id", "span_id", "parent_span_id", "workflow_id", "task_id", "task_attempt",
+    "message_id", "tenant_id", "observation_refs", "role", "schema_version", "amplified", "identity_collision", "maximum_amplification",
+]
 # Attribute names that must not be captured.
 SECRET_KEYS = ["authorization", "cookie", "set-cookie", "password", "secret", "access_token", "refresh_token"]
 
@@ -26,9 +34,16 @@ def refs_if(condition: Column, ref: Column) -> Column:
     return F.array_sort(F.collect_set(F.when(condition, ref)))
 
 
-def _result(rows: DataFrame, status: Column, **refs: Column) -> DataFrame:
+def _any(condition: Column, ref: Column) -> Column:
+    """Whether :func:`refs_if` has any reference: an aggregate that holds none of them."""
+    return F.coalesce(F.bool_or(condition & ref.isNotNull()), F.lit(False))
+
+
+def _result(rows: DataFrame, status: Column, evidence_nodes: Column | None = None, **refs: Column) -> DataFrame:
+    """``evidence_nodes`` are nodes whose observations are the evidence, looked up later."""
     none = F.array().cast("array<string>")
-    return rows.select("case_id", status.alias("status"), *[refs.get(r, none).alias(r) for r in REFS])
+    later = [] if evidence_nodes is None else [evidence_nodes.alias("evidence_nodes")]
+    return rows.select("case_id", status.alias("status"), *[refs.get(r, none).alias(r) for r in REFS], *later)
 
 
 def _verdict(bad: Column, applies: Column | None = None) -> Column:
@@ -44,6 +59,20 @@ def evidence_of(refs: DataFrame, nodes: DataFrame) -> DataFrame:
     return refs.join(found, "case_id", "left").withColumn("evidence_refs", F.coalesce("found", F.array().cast("array<string>"))).drop("found")
 
 
+def _seen(handler: Callable[[dict], DataFrame]) -> Callable[[dict], DataFrame]:
+    """A handler whose rows name ``evidence_nodes``; ``handler.rows`` leaves the lookup to who looks up for several at once."""
+
+    @wraps(handler)
+    def run(t: dict) -> DataFrame:
+        rows = handler(t)
+        found = evidence_of(rows.select("case_id", F.col("evidence_nodes").alias("node_refs")), t["nodes"]).select("case_id", "evidence_refs")
+        return rows.drop("evidence_refs", "evidence_nodes").join(found, "case_id", "left").select("case_id", "status", *REFS)
+
+    run.rows = handler
+    return run
+
+
+@_seen
 def context_required_continuity(t: dict) -> DataFrame:
     """Required or translated contexts keep the value of their source (the first at its origin, else the first)."""
     name = Window.partitionBy("case_id", "name").orderBy((~F.col("origin_node_ref").eqNullSafe(F.col("observed_at_node_ref"))).cast("int"), "input_seq")
@@ -57,8 +86,7 @@ def context_required_continuity(t: dict) -> DataFrame:
         refs_if(bad & truthy(F.col("observed_at_node_ref")), F.col("observed_at_node_ref")).alias("mismatched"), F.array_sort(F.collect_set("source_origin")).alias("origins"),
     )
     nodes = F.array_sort(F.array_union("mismatched", "origins"))
-    out = _result(t["cases"].join(found, "case_id", "left"), _verdict(F.col("bad"), F.col("bad").isNotNull()), node_refs=nodes, context_refs=F.col("contexts"))
-    return evidence_of(out, t["nodes"]).withColumn("evidence_refs", F.when(F.col("status") == "violated", F.col("evidence_refs")).otherwise(F.array().cast("array<string>")))
+    return _result(t["cases"].join(found, "case_id", "left"), _verdict(F.col("bad"), F.col("bad").isNotNull()), F.when(F.col("bad"), nodes), node_refs=nodes, context_refs=F.col("contexts"))
 
 
 def context_forbidden_propagation(t: dict) -> DataFrame:
@@ -77,25 +105,29 @@ def workflow_tenants(nodes: DataFrame) -> DataFrame:
     return rows.groupBy("case_id", "workflow_id").agg(F.array_sort(F.collect_set("tenant_id")).alias("tenants"))
 
 
+@_seen
 def identity_execution_isolation(t: dict) -> DataFrame:
-    mixed = workflow_tenants(t["nodes"]).where(F.size("tenants") > 1).select("case_id").distinct().withColumn("mixed", F.lit(True))
-    marked = t["nodes"].groupBy("case_id").agg(refs_if(F.col("identity_collision"), F.col("node_id")).alias("marked"))
+    carried = t["nodes"].where(truthy(F.col("workflow_id")) & truthy(F.col("tenant_id"))).groupBy("case_id", "workflow_id").agg(F.count_distinct("tenant_id").alias("tenants"))
+    mixed = carried.groupBy("case_id").agg(F.bool_or(F.col("tenants") > 1).alias("mixed"))
+    collides = F.col("identity_collision"), F.col("node_id")
+    marked = t["nodes"].groupBy("case_id").agg(refs_if(*collides).alias("marked"), _any(*collides).alias("any"))
     rows = t["cases"].join(marked, "case_id", "left").join(mixed, "case_id", "left")
-    bad = F.coalesce("mixed", F.lit(False)) | (F.size(F.coalesce("marked", F.array())) > 0)
-    return evidence_of(_result(rows, _verdict(bad), node_refs=F.col("marked")), t["nodes"])
+    bad = F.coalesce("mixed", F.lit(False)) | F.coalesce("any", F.lit(False))
+    return _result(rows, _verdict(bad), F.col("marked"), node_refs=F.col("marked"))
 
 
+@_seen
 def identity_workflow_correlatable(t: dict) -> DataFrame:
+    absent = ~truthy(F.col("workflow_id")) | F.col("workflow_id").isNull(), F.col("node_id")
     found = t["nodes"].groupBy("case_id").agg(
-        refs_if(~truthy(F.col("workflow_id")) | F.col("workflow_id").isNull(), F.col("node_id")).alias("missing"),
+        refs_if(*absent).alias("missing"), _any(*absent).alias("lacks"),
         F.count_distinct(F.when(truthy(F.col("workflow_id")), F.col("workflow_id"))).alias("workflows"), F.array_sort(F.collect_set("node_id")).alias("all"),
     )
     rows = t["cases"].join(found, "case_id", "left")
-    lacks = F.size("missing") > 0
+    lacks = F.coalesce("lacks", F.lit(False))
     several = (F.col("workflows") > 1) & ~F.col("category").isin("observed_composite", "comparison")
-    out = _result(rows, _verdict(F.coalesce(lacks | several, F.lit(False))), node_refs=F.when(lacks, F.col("missing")).when(several, F.col("all")))
-    with_evidence = evidence_of(out.join(found.select("case_id", lacks.alias("lacks")), "case_id", "left"), t["nodes"])
-    return with_evidence.withColumn("evidence_refs", F.when(F.col("lacks"), F.col("evidence_refs")).otherwise(F.array().cast("array<string>"))).drop("lacks")
+    refs = F.when(lacks, F.col("missing")).when(several, F.col("all"))
+    return _result(rows, _verdict(F.coalesce(lacks | several, F.lit(False))), F.when(lacks, F.col("missing")), node_refs=refs)
 
 
 def effect_at_most_once(t: dict) -> DataFrame:
@@ -147,36 +179,40 @@ def latest_producers(nodes: DataFrame) -> DataFrame:
     )
 
 
+@_seen
 def ordering_read_after_visibility(t: dict) -> DataFrame:
     early = latest_producers(t["nodes"]).where("read_us < visible_us")
     bad = early.select("case_id", F.explode(F.array("read_ref", "producer_ref")).alias("ref")).groupBy("case_id").agg(F.array_sort(F.collect_set("ref")).alias("refs"))
     kinds = t["nodes"].groupBy("case_id").agg(F.bool_or(F.col("kind") == "read").alias("reads"), F.bool_or(F.col("kind").isin("transaction", "write")).alias("producers"))
     rows = t["cases"].join(kinds, "case_id", "left").join(bad, "case_id", "left")
-    out = _result(rows, _verdict(F.col("refs").isNotNull(), F.coalesce(F.col("reads") & F.col("producers"), F.lit(False))), node_refs=F.col("refs"))
-    return evidence_of(out, t["nodes"])
+    return _result(rows, _verdict(F.col("refs").isNotNull(), F.coalesce(F.col("reads") & F.col("producers"), F.lit(False))), F.col("refs"), node_refs=F.col("refs"))
 
 
 def _by_node(t: dict, bad: Column, relevant: Column | None = None) -> DataFrame:
-    found = t["nodes"].groupBy("case_id").agg(refs_if(bad, F.col("node_id")).alias("refs"), F.bool_or(F.lit(True) if relevant is None else relevant).alias("applies"))
+    found = t["nodes"].groupBy("case_id").agg(
+        refs_if(bad, F.col("node_id")).alias("refs"), _any(bad, F.col("node_id")).alias("bad"), F.bool_or(F.lit(True) if relevant is None else relevant).alias("applies"))
     rows = t["cases"].join(found, "case_id", "left")
     applies = None if relevant is None else F.coalesce("applies", F.lit(False))
-    return evidence_of(_result(rows, _verdict(F.size("refs") > 0, applies), node_refs=F.col("refs")), t["nodes"])
+    return _result(rows, _verdict(F.coalesce("bad", F.lit(False)), applies), F.col("refs"), node_refs=F.col("refs"))
 
 
+@_seen
 def consistency_required_freshness(t: dict) -> DataFrame:
     stale = F.col("status").isin("stale", "stale_read") & F.col("kind").isin("read", "cache_read")
     return _by_node(t, stale, F.col("kind").isin("read", "cache_read"))
 
 
+@_seen
 def contract_schema_compatible(t: dict) -> DataFrame:
     found = t["nodes"].where(F.col("schema_version").isNotNull()).groupBy("case_id").agg(
         F.count_distinct("schema_version").alias("versions"), F.array_sort(F.collect_set("node_id")).alias("refs")
     )
     rows = t["cases"].join(found, "case_id", "left")
     bad = F.col("versions") > 1
-    return evidence_of(_result(rows, _verdict(bad, F.col("versions").isNotNull()), node_refs=F.when(bad, F.col("refs"))), t["nodes"])
+    return _result(rows, _verdict(bad, F.col("versions").isNotNull()), F.when(bad, F.col("refs")), node_refs=F.when(bad, F.col("refs")))
 
 
+@_seen
 def resource_capacity_bounded(t: dict) -> DataFrame:
     return _by_node(t, F.col("status") == "resource_exhausted")
 
@@ -189,18 +225,26 @@ def work_groups(nodes: DataFrame) -> DataFrame:
     ).withColumn("bad", F.col("amplified") | ((F.col("n") > F.col("maximum")) & ~F.col("all_attempts")))
 
 
+@_seen
 def performance_work_amplification(t: dict) -> DataFrame:
-    bad = work_groups(t["nodes"]).where("bad").select("case_id", "kind", "operation")
+    bad = work_groups(t["nodes"]).where("bad and kind is not null and operation is not null").select("case_id", "kind", "operation")
     refs = t["nodes"].join(bad, ["case_id", "kind", "operation"], "left_semi").groupBy("case_id").agg(F.array_sort(F.collect_set("node_id")).alias("refs"))
-    rows = t["cases"].join(refs, "case_id", "left")
-    return evidence_of(_result(rows, _verdict(F.col("refs").isNotNull()), node_refs=F.col("refs")), t["nodes"])
+    rows = t["cases"].join(bad.select("case_id").distinct().withColumn("bad", F.lit(True)), "case_id", "left").join(refs, "case_id", "left")
+    return _result(rows, _verdict(F.coalesce("bad", F.lit(False))), F.col("refs"), node_refs=F.col("refs"))
+
+
+def _rebuilt() -> Column:
+    """Derived deliveries and spawns, which :func:`broken_links` looks at."""
+    return F.col("derived") & F.col("kind").isin("delivers", "spawns")
+
+
+def _lost() -> Column:
+    return ~F.col("s_trace_id").eqNullSafe(F.col("t_trace_id")) | F.col("t_parent_span_id").isNull() | (F.col("t_parent_span_id") == "")
 
 
 def broken_links(relations: DataFrame, nodes: DataFrame) -> DataFrame:
     """Derived deliveries and spawns whose trace or parent span was lost on the way."""
-    rows = assembly._with_ends(relations.where(F.col("derived") & F.col("kind").isin("delivers", "spawns")), nodes, "trace_id", "parent_span_id")
-    lost = ~F.col("s_trace_id").eqNullSafe(F.col("t_trace_id")) | F.col("t_parent_span_id").isNull() | (F.col("t_parent_span_id") == "")
-    return rows.where(lost).select(assembly.RELATION)
+    return assembly._with_ends(relations.where(_rebuilt()), nodes, "trace_id", "parent_span_id").where(_lost()).select(assembly.RELATION)
 
 
 def first_of_role(nodes: DataFrame) -> DataFrame:
@@ -222,16 +266,21 @@ def observability_required_linkage(t: dict) -> DataFrame:
 
     Missing are links that had to be rebuilt, and edges that a case's contract (table
     ``expected_edges``: case_id, source_role, target_role, kind) expects between roles
-    it has and that no recorded relation holds.
+    it has and that no recorded relation holds. The relations between nodes are written
+    once, for the gaps and the parts. A case has as many parts as nodes, less what its
+    connected ones are more than their components.
     """
     ends = ("case_id", "source_ref", "target_ref")
-    gaps = broken_links(t["graph"]["relations"], t["nodes"]).select(*ends)
+    edges = written(assembly._with_ends(t["graph"]["relations"], t["nodes"], "trace_id", "parent_span_id").select(*ends, (_rebuilt() & _lost()).alias("broken")))
+    gaps = edges.where("broken").select(*ends)
     if "expected_edges" in t:
         gaps = gaps.unionByName(missing_expected_edges(t["expected_edges"], t["relations"], t["nodes"]).select(*ends))
     lost = gaps.select("case_id", F.explode(F.array("source_ref", "target_ref")).alias("ref"))
     lost = lost.groupBy("case_id").agg(F.array_sort(F.collect_set("ref")).alias("lost"))
     against = t["observations"].where("contradiction").groupBy("case_id").agg(F.array_sort(F.collect_set("observation_id")).alias("against"))
-    parts = assembly.components_of(t["nodes"], t["graph"]["relations"]).groupBy("case_id").agg(F.count_distinct("component").alias("parts"), F.array_sort(F.collect_set("node_id")).alias("all"))
+    joined = components_within(edges, "case_id", "source_ref", "target_ref", at_rest=True).groupBy("case_id").agg((F.count("*") - F.count_distinct("component")).alias("joined"))
+    own = t["nodes"].groupBy("case_id").agg(F.count_distinct("node_id").alias("n"), F.array_sort(F.collect_set("node_id")).alias("all"))
+    parts = own.join(joined, "case_id", "left").withColumn("parts", F.col("n") - F.coalesce("joined", F.lit(0)))
     rows = t["cases"].join(lost, "case_id", "left").join(against, "case_id", "left").join(parts, "case_id", "left")
     status = (
         F.when(F.col("against").isNotNull(), "contradicted").when(F.col("lost").isNotNull(), "violated").when(F.col("parts") > 1, "inconclusive").otherwise("satisfied")
@@ -288,12 +337,35 @@ def missing_evidence(t: dict, ids: list[str] | None = None) -> DataFrame:
     return have.where(F.coalesce("n", F.lit(0)) < F.col("least")).groupBy("case_id", "invariant").agg(F.array_sort(F.collect_set("entity")).alias("missing"))
 
 
+def settled(t: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """The tables that several invariants read, written once, side by side; for views that each of them would derive again."""
+    narrow = t | {"nodes": t["nodes"].select(NODE_COLUMNS)}
+    names = ("nodes", "relations", "contexts", "effects", "cases")
+    with ThreadPoolExecutor(len(names)) as pool:
+        return t | dict(zip(names, pool.map(lambda name: written(narrow[name]), names)))
+
+
+def _with_evidence(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``rows`` (case_id, invariant, evidence_nodes, ...) of all invariants with the observations of those nodes, by one look at the nodes."""
+    wanted = rows.select("case_id", "invariant", F.explode("evidence_nodes").alias("node_id"))
+    seen = wanted.join(nodes.select("case_id", "node_id", F.explode("observation_refs").alias("ref")), ["case_id", "node_id"])
+    found = seen.groupBy("case_id", "invariant").agg(F.array_sort(F.collect_set("ref")).alias("found"))
+    return rows.join(found, ["case_id", "invariant"], "left").withColumn("evidence_refs", F.coalesce("found", "evidence_refs")).drop("found", "evidence_nodes")
+
+
+def _rows(handler: Callable[[dict], DataFrame], t: dict) -> DataFrame:
+    """What a handler says, with the nodes whose observations are its evidence."""
+    rows = getattr(handler, "rows", handler)(t)
+    later = F.col("evidence_nodes") if "evidence_nodes" in rows.columns else F.lit(None).cast("array<string>")
+    return rows.select("case_id", "status", *REFS, later.alias("evidence_nodes"))
+
+
 def _planned(t: dict, handlers: dict[str, Callable[[dict], DataFrame]]) -> dict[str, apart.Outcome]:
     """Outcomes of handlers that are planned only; what fails in a task later fails the whole."""
     out = {}
     for i, handler in handlers.items():
         try:
-            out[i] = apart.Outcome({"rows": handler(t).select("case_id", "status", *REFS)})
+            out[i] = apart.Outcome({"rows": _rows(handler, t)})
         except Exception as error:  # noqa: BLE001  told in the result, whatever it is
             out[i] = apart.Outcome(error=apart.told(error))
     return out
@@ -312,15 +384,15 @@ def evaluate(t: dict, ids: list[str] | None = None, handlers: dict[str, Callable
         raise KeyError(f"handlers of unknown invariants: {', '.join(unknown)}")
     if isolated:
         spark = t["cases"].sparkSession
-        outcomes = apart.run(spark, {i: lambda h=h: {"rows": h(t).select("case_id", "status", *REFS)} for i, h in chosen.items()})
+        outcomes = apart.run(spark, {i: lambda h=h: {"rows": _rows(h, t)} for i, h in chosen.items()})
     else:
         outcomes = _planned(t, chosen)
     results = [
-        (_result(t["cases"], F.lit("evaluation_error")) if o.error else o.tables["rows"]).select(
-            "case_id", F.lit(i).alias("invariant"), F.lit(INVARIANTS[i][1]).alias("severity"), "status", *REFS, F.lit(o.error).cast("string").alias("error"))
+        (_result(t["cases"], F.lit("evaluation_error"), F.lit(None).cast("array<string>")) if o.error else o.tables["rows"]).select(
+            "case_id", F.lit(i).alias("invariant"), F.lit(INVARIANTS[i][1]).alias("severity"), "status", *REFS, "evidence_nodes", F.lit(o.error).cast("string").alias("error"))
         for i, o in outcomes.items()
     ]
-    rows = reduce(DataFrame.unionByName, results).join(missing_evidence(t, ids), ["case_id", "invariant"], "left")
+    rows = _with_evidence(reduce(DataFrame.unionByName, results), t["nodes"]).join(missing_evidence(t, ids), ["case_id", "invariant"], "left")
     lacks, empty = F.col("missing").isNotNull(), F.array().cast("array<string>")
     status = F.when(lacks, "inconclusive").otherwise(F.col("status"))
     weak = (F.col("invariant") == "observability.required-linkage") & (status == "inconclusive") & ~lacks

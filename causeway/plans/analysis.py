@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 from causeway.operators import assembly, compare, findings, invariants
 from causeway.plans import core
-from causeway.plans.core import BROKEN, DERIVED, EFFECT_GROUPS, ORACLE_SQL, TEMPORAL, graph, query
+from causeway.plans.core import BROKEN, DERIVED, EFFECT_GROUPS, ORACLE_SQL, TEMPORAL, graph, query, settled_graph
 from causeway.plans.views import sql_id
 from causeway.session import written
 
 _TITLE = "array_to_string(list_transform(string_split(regexp_replace(invariant, '[._-]+', ' ', 'g'), ' '), lambda x: upper(x[1]) || lower(x[2:])), ' ')"
 _SPECS = ", ".join(f"('{i}', '{a}', '{c}', '{invariants.INVARIANTS[i][1]}')" for a, (c, ids, _) in findings.ANALYZERS.items() for i in ids)
-_results = lambda t: invariants.evaluate(graph(t))
+_results = lambda t: invariants.evaluate(settled_graph(t))
 query("k01_findings_from_results", f"""SELECT case_id, {sql_id('finding', 'analyzer', sql_id('invariant-result', 'invariant', 'case_id'))} AS finding_id, analyzer, category, invariant AS classification, {_TITLE} AS title,
     CASE WHEN severity = 'critical' THEN 'critical' WHEN status = 'contradicted' THEN 'high' ELSE severity END AS severity FROM ({core.RUNTIME}) r JOIN (VALUES {_SPECS}) s(invariant, analyzer, category, severity) USING (invariant) WHERE status IN ('violated', 'contradicted', 'inconclusive')""", views=False)(
     lambda t: findings.from_results(_results(t)).select("case_id", "finding_id", "analyzer", "category", "classification", "title", "severity"))

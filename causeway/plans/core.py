@@ -36,6 +36,11 @@ def graph(t: dict) -> dict:
     return t | {"graph": {"relations": assembly.all_relations(t["nodes"], t["effects"], t["relations"])}}
 
 
+def settled_graph(t: dict) -> dict:
+    """The tables with their graph, for all invariants: what several of them read is written first."""
+    return graph(invariants.settled(t))
+
+
 _REL = "case_id, relation_id, kind, source_ref, target_ref, derivation"
 PARENT = f""", holders AS (SELECT case_id, span_id, arg_max(node_id, (start_us, node_id)) AS source_ref FROM nodes WHERE span_id <> '' GROUP BY ALL),
 parent_rel AS (SELECT c.case_id, {sql_id('relation.parent-span', 'source_ref', 'node_id')} AS relation_id, 'parent_of' AS kind, source_ref, node_id AS target_ref, 'source_native' AS derivation
@@ -240,9 +245,9 @@ RUNTIME = f"""SELECT v.case_id, v.invariant, CASE WHEN l.case_id IS NULL THEN v.
     ON v.case_id = l.case_id AND v.invariant = l.invariant"""
 
 
-query("j14_invariant_runtime", RUNTIME, views=False)(lambda t: invariants.evaluate(graph(t)).select("case_id", "invariant", "status"))
+query("j14_invariant_runtime", RUNTIME, views=False)(lambda t: invariants.evaluate(settled_graph(t)).select("case_id", "invariant", "status"))
 query("e07_status_histogram", f"""SELECT case_id, {", ".join(f"count(*) FILTER (status = '{s}') AS {s}" for s in invariants.STATUSES)} FROM ({RUNTIME}) GROUP BY case_id""", views=False)(
-    lambda t: invariants.histogram(invariants.evaluate(graph(t))))
+    lambda t: invariants.histogram(invariants.evaluate(settled_graph(t))))
 query("j15_registry_selection", "SELECT x AS invariant, 'selected' AS status, count(*) AS cases FROM (SELECT DISTINCT user_id FROM events), (SELECT unnest(['effect.at-most-once', 'privacy.prohibited-capture']) AS x) GROUP BY x", views=False)(
     lambda t: invariants.evaluate(graph(t), ["privacy.prohibited-capture", "effect.at-most-once"]).groupBy("invariant").agg(F.lit("selected").alias("status"), F.count("*").alias("cases")))
 
@@ -254,7 +259,7 @@ def _failing(t: dict) -> DataFrame:
 
 query("j18_isolated_runtime", f"""SELECT case_id, invariant, CASE WHEN status <> 'inconclusive' AND invariant = 'resource.capacity-bounded' THEN 'evaluation_error' ELSE status END AS status,
     status <> 'inconclusive' AND invariant = 'resource.capacity-bounded' AS told FROM ({RUNTIME})""", views=False)(
-    lambda t: invariants.evaluate(graph(t), handlers={"resource.capacity-bounded": _failing}, isolated=True).select(
+    lambda t: invariants.evaluate(settled_graph(t), handlers={"resource.capacity-bounded": _failing}, isolated=True).select(
         "case_id", "invariant", "status", F.coalesce(F.col("error").contains("no capacity of case."), F.lit(False)).alias("told")))
 
 
