@@ -26,7 +26,7 @@ from causeway.llm.memory import trimmed
 from causeway.llm.tables import split_by_keys
 from causeway.llm.words import constants, mix, shingles
 from causeway.operators.graph import contract_components
-from causeway.session import checkpointed
+from causeway.session import checkpointed, written
 
 #: Units in a block: at least, and at most (a tile holds two blocks).
 LEAST_BLOCK, MOST_BLOCK = 256, 1024
@@ -206,7 +206,7 @@ def near_links(rows: DataFrame, uid: Column, banding: Banding = Banding(), bands
     them at once; else a task would hold two workers.
     """
     units = rows.select(uid.alias("uid"), "text").where("text is not null").withColumn("cid", F.xxhash64("uid"))
-    groups = candidate_components(units, banding, bands)
+    groups = checkpointed(candidate_components(units, banding, bands))
     sizes = groups.groupBy("component").agg(F.count("*").alias("size"))
     size = F.col("size")
     block = F.least(F.greatest(F.lit(LEAST_BLOCK), F.ceil(size / 16)), F.lit(MOST_BLOCK))
@@ -229,4 +229,4 @@ def near_links(rows: DataFrame, uid: Column, banding: Banding = Banding(), bands
     )
     roots = contract_components(found.select(F.col("uid").alias("src"), F.col("root").alias("dst")))
     links = found.groupBy("uid").agg(F.sum("links").alias("links"))
-    return links.join(roots.select(F.col("node").alias("uid"), F.col("component").alias("root")), "uid", "left")
+    return written(links.join(roots.select(F.col("node").alias("uid"), F.col("component").alias("root")), "uid", "left"))

@@ -12,11 +12,13 @@ from pyspark.sql import functions as F
 
 from causeway.session import checkpointed, written
 
-#: Edges that a task of :func:`components_within` holds at once.
+#: Edges that a task of :func:`components_within` holds at once, and of which one task makes an end in :func:`contract_components`.
 CHUNK = 200_000
+#: Types of nodes that Arrow sorts as Spark does.
+FLAT = ("bigint", "int", "string", "binary")
 
 
-def contract_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
+def contract_components(edges: DataFrame, src: str = "src", dst: str = "dst", few: int = CHUNK) -> DataFrame:
     """(node, component) for every end of an edge; ``component`` is the least node of the component.
 
     Each round every vertex picks, among itself and its neighbours, the one that comes
@@ -24,13 +26,21 @@ def contract_components(edges: DataFrame, src: str = "src", dst: str = "dst") ->
     the vertex count falls by a constant factor a round whatever the shape of the
     graph, so chains and stars alike end after a few rounds. A round is a partial
     aggregate and two equi-joins against one row a vertex, which AQE can split where a
-    hub is hot. Loops and null ends are ignored. Nodes may be of any orderable type.
+    hub is hot. Once at most ``few`` edges (counted both ways) are left, one task contracts
+    them to the end, unless nodes are structs: rounds of next to nothing would only lengthen the plan. Loops and
+    null ends are ignored. Nodes may be of any orderable type.
     """
     pairs = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u is not null and v is not null")
     both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"))).where("u <> v").distinct()
     alive = checkpointed(both)
+    kind = alive.schema["u"].dataType.simpleString()
     parents = []
-    while not alive.isEmpty():
+    while left := alive.count():
+        if left <= few and kind in FLAT:
+            once = alive.where("u < v").select(F.lit("").alias("grp"), "u", "v").coalesce(1)
+            ended = once.mapInArrow(_in_chunks(few + 1), f"grp string, node {kind}, component {kind}, open boolean")
+            parents.append(written(ended.select(F.col("node").alias("u"), F.col("component").alias("p"))))
+            break
         first = F.min(F.struct(F.xxhash64("v").alias("h"), F.col("v").alias("v"))).alias("best")
         own = F.struct(F.xxhash64("u").alias("h"), F.col("u").alias("v"))
         parent = checkpointed(alive.groupBy("u").agg(first).select("u", F.least("best", own)["v"].alias("p")))
@@ -43,6 +53,8 @@ def contract_components(edges: DataFrame, src: str = "src", dst: str = "dst") ->
     if not parents:
         return both.select(F.col("u").alias("node"), F.col("v").alias("component"))
     found = parents[0].select(F.col("u").alias("node"), F.col("p").alias("root"))
+    if len(parents) == 1 and left <= few and kind in FLAT:
+        return found.withColumnRenamed("root", "component")
     for parent in parents[1:]:
         step = parent.select(F.col("u").alias("root"), "p")
         found = found.join(step, "root", "left").select("node", F.coalesce("p", "root").alias("root"))
