@@ -36,7 +36,7 @@ def contract_components(edges: DataFrame, src: str = "src", dst: str = "dst", fe
     kind = alive.schema["u"].dataType.simpleString()
     parents = []
     while left := alive.count():
-        if left <= few and kind in FLAT:
+        if left <= few and kind in FLAT:  # names the least node of all, where no round went before
             once = alive.where("u < v").select(F.lit("").alias("grp"), "u", "v").coalesce(1)
             ended = once.mapInArrow(_in_chunks(few + 1), f"grp string, node {kind}, component {kind}, open boolean")
             parents.append(written(ended.select(F.col("node").alias("u"), F.col("component").alias("p"))))
@@ -53,7 +53,7 @@ def contract_components(edges: DataFrame, src: str = "src", dst: str = "dst", fe
     if not parents:
         return both.select(F.col("u").alias("node"), F.col("v").alias("component"))
     found = parents[0].select(F.col("u").alias("node"), F.col("p").alias("root"))
-    if len(parents) == 1 and left <= few and kind in FLAT:
+    if len(parents) == 1 and left:  # no round left anything to put together
         return found.withColumnRenamed("root", "component")
     for parent in parents[1:]:
         step = parent.select(F.col("u").alias("root"), "p")

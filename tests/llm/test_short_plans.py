@@ -45,6 +45,12 @@ def test_a_small_graph_goes_through_no_round(spark, monkeypatch):
     assert len(seen) == 1  # before: two more for each round
 
 
+def test_one_round_that_ends_all_still_names_the_least_node(spark):
+    pairs = spark.createDataFrame([(2 * i, 2 * i + 1) for i in range(40)], "src long, dst long")
+    got = {r.node: r.component for r in graph.contract_components(pairs, few=0).collect()}
+    assert got == {n: n - n % 2 for n in range(80)}  # one round leaves no edge, with what comes first in hashed order
+
+
 def test_near_links_hand_on_a_table_at_rest(spark):
     words = [f"w{i}" for i in range(60)]
     texts = [" ".join(words), " ".join(words[:-1] + ["x"]), " ".join(reversed(words))]
