@@ -20,11 +20,11 @@ def flat(df: DataFrame) -> DataFrame:
     return df.select(*[F.coalesce(F.array_join(c, ","), F.lit("")).alias(c) if c in is_array else F.col(c) for c in df.columns])
 
 
-def query(name: str, sql: str | None = None, views: bool = True):
-    """Register fn(tables) as a query; ``sql`` follows the views."""
+def query(name: str, sql: str | None = None, views: bool = True, of=tables):
+    """Register fn(tables) as a query; ``sql`` follows the views, ``of`` makes the tables."""
 
     def add(fn):
-        QUERIES[name] = lambda spark, sf_dir: flat(fn(tables(spark, sf_dir)))
+        QUERIES[name] = lambda spark, sf_dir: flat(fn(of(spark, sf_dir)))
         if sql is not None:
             ORACLE_SQL[name] = (SQL_VIEWS if views else "") + sql
         return fn

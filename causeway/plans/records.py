@@ -13,7 +13,7 @@ from causeway import plugins
 from causeway.functions import scalars as S
 from causeway.operators import assembly, coverage, gated_export, integrity, invariants, inventory, mutations, privacy
 from causeway.plans.core import BROKEN, DERIVED, ORACLE_SQL, QUERIES, RUNTIME, flat, graph, query
-from causeway.plans.views import SQL_VIEWS, sql_id
+from causeway.plans.views import SQL_VIEWS, dealt_tables, sql_id
 from causeway.session import read_table, shared_folder
 from causeway.sources import case_store, traces
 from causeway.streaming import checks
@@ -376,9 +376,9 @@ query("r02_collection", """, bad AS (SELECT operation, count(*) AS n FROM nodes
 
 
 # stored cases
-def _stored(spark, parts: list[DataFrame]) -> str:
+def _stored(spark, parts: list[DataFrame], form: str = "folders") -> str:
     root = f"{shared_folder(spark)}/cases-{uuid.uuid4().hex}"
-    case_store.save_cases(parts, root)
+    case_store.save_cases(parts, root, form=form)
     return root
 
 
@@ -399,13 +399,13 @@ def _case_parts(t: dict) -> list[DataFrame]:
 
 def _loaded(t: dict) -> DataFrame:
     spark = t["nodes"].sparkSession
-    rows = case_store.load_cases(spark, _stored(spark, _case_parts(t)))
+    rows = case_store.load_cases(spark, _stored(spark, _case_parts(t), "archives"))
     said = lambda e, f: F.get_json_object(e, f"$.{f}").alias(f)
     return rows.select("case_id", said("case", "category"), said("execution", "execution_id"), said("manifest", "version"), *_ENTITIES, "state_facts", "components", "boundaries", "resources", "problems")
 
 
 query("a01_load_case", f" SELECT case_id, category, 'execution.' || case_id AS execution_id, '1.0.0' AS version, {', '.join(f'(SELECT count(*) FROM {e} x WHERE x.case_id = c.case_id) AS {e}' for e in _ENTITIES)}, 0 AS state_facts, "
-      "(SELECT count(*) FROM components) AS components, 0 AS boundaries, 0 AS resources, '' AS problems FROM cases c")(_loaded)
+      "(SELECT count(*) FROM components) AS components, 0 AS boundaries, 0 AS resources, '' AS problems FROM cases c", of=dealt_tables)(_loaded)
 _RELATION = "case_id, relation_id, kind, source_ref, target_ref, derivation"
 query("a01_relations_read_back", f" SELECT {_RELATION} FROM relations")(lambda t: case_store.read_entity(t["nodes"].sparkSession, _stored(
     t["nodes"].sparkSession, [case_store.as_records("relations", t["relations"], "relation_id")]), "relations", "relation_id string, kind string, source_ref string, target_ref string, derivation string").select(*_RELATION.split(", ")))

@@ -22,28 +22,37 @@ def _every(n: int) -> F.Column:
     return F.col("event_id") % n == 0
 
 
-def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+def events(spark: SparkSession, sf_dir: str, tasks: int = 0) -> DataFrame:
+    """With ``tasks``, dealt to them by case while the rows are narrow, and with the case's id."""
     e = read_table(spark, sf_dir, "events")
-    return e.select(
+    rows = e.select(
         "event_id", "user_id", "event_type", "value", F.unix_micros(F.col("ts").cast("timestamp")).alias("start_us"),
         F.get_json_object("props", "$.k").cast("int").alias("k"),
     ).withColumn("day", F.floor(F.col("start_us") / DAY_US))
+    return rows.withColumn("case_id", _id("case", F.col("user_id"))).repartition(tasks, "case_id") if tasks else rows
 
 
-def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _case(rows: DataFrame) -> tuple[F.Column, str]:
+    """A case's id, and what its windows go by: dealt rows hold the id and stay in their task."""
+    return (F.col("case_id"), "case_id") if "case_id" in rows.columns else (_id("case", F.col("user_id")), "user_id")
+
+
+def nodes(spark: SparkSession, sf_dir: str, tasks: int = 0) -> DataFrame:
+    rows = events(spark, sf_dir, tasks)
+    case, of_case = _case(rows)
     order = ["start_us", "event_id"]
-    in_trace = Window.partitionBy("user_id", "day").orderBy(*order)
-    in_task = Window.partitionBy("user_id", "k").orderBy(*order)
+    in_trace = Window.partitionBy(of_case, "day").orderBy(*order)
+    in_task = Window.partitionBy(of_case, "k").orderBy(*order)
     kind = F.col("event_type")
     kinds = (
         F.when(kind == "view", "read").when(kind == "click", "message_consume").when(kind == "signup", "transaction")
         .when(kind == "purchase", "write").when(kind == "error", "message_publish").otherwise("operation")
     )
     u, k, e = F.col("user_id"), F.col("k"), F.col("event_id")
-    rows = events(spark, sf_dir).withColumn("kind", kinds)
+    rows = rows.withColumn("kind", kinds)
     before = F.lag("event_id").over(in_trace)
     return rows.select(
-        _id("case", u).alias("case_id"), _id("node.event", e).alias("node_id"), "event_id", "kind", F.col("event_type").alias("operation"),
+        case.alias("case_id"), _id("node.event", e).alias("node_id"), "event_id", "kind", F.col("event_type").alias("operation"),
         _id("component", kind).alias("component_ref"), "start_us", (F.col("start_us") + F.round(F.col("value") * 1000).cast("long")).alias("end_us"),
         F.when(_every(89), "stale").when(_every(83), "resource_exhausted").when(kind == "error", "error").otherwise("ok").alias("status"),
         _id("trace", u, F.col("day")).alias("trace_id"), _id("span", e).alias("span_id"),
@@ -62,10 +71,11 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def effects(spark: SparkSession, sf_dir: str) -> DataFrame:
+def effects(spark: SparkSession, sf_dir: str, tasks: int = 0) -> DataFrame:
+    rows = events(spark, sf_dir, tasks)
     u, k, e, kind = F.col("user_id"), F.col("k"), F.col("event_id"), F.col("event_type")
-    return events(spark, sf_dir).where(kind.isin("purchase", "signup", "error")).select(
-        _id("case", u).alias("case_id"), _id("effect", e).alias("effect_id"), _id("effect-key", u, k).alias("logical_effect_key"),
+    return rows.where(kind.isin("purchase", "signup", "error")).select(
+        _case(rows)[0].alias("case_id"), _id("effect", e).alias("effect_id"), _id("effect-key", u, k).alias("logical_effect_key"),
         _id("node.event", e).alias("producer_node_ref"),
         F.when(kind == "purchase", "durable").when(kind == "signup", "committed").otherwise("attempted").alias("durability"),
         F.when(kind == "purchase", _id("key", u, k)).alias("idempotency_key"), F.array(_id("observation", e)).alias("evidence_refs"),
@@ -73,33 +83,38 @@ def effects(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    u, k, e = F.col("user_id"), F.col("k"), F.col("event_id")
-    first = F.first("event_id").over(Window.partitionBy("user_id").orderBy("start_us", "event_id"))
-    return events(spark, sf_dir).select(
-        _id("case", u).alias("case_id"), _id("context", e).alias("context_id"), F.lit("session").alias("namespace"), F.col("event_type").alias("field_name"),
+def contexts(spark: SparkSession, sf_dir: str, tasks: int = 0) -> DataFrame:
+    rows = events(spark, sf_dir, tasks)
+    case, of_case = _case(rows)
+    k, e = F.col("k"), F.col("event_id")
+    first = F.first("event_id").over(Window.partitionBy(of_case).orderBy("start_us", "event_id"))
+    return rows.select(
+        case.alias("case_id"), _id("context", e).alias("context_id"), F.lit("session").alias("namespace"), F.col("event_type").alias("field_name"),
         (k % 4).cast("string").alias("value"),
         F.when(k % 4 == 0, "required").when(k % 4 == 1, "translated").when(k % 4 == 2, "forbidden").otherwise("regenerated").alias("propagation_contract"),
         _id("node.event", first).alias("origin_node_ref"), F.when(~_every(19), _id("node.event", e)).alias("observed_at_node_ref"), e.alias("input_seq"),
     )
 
 
-def relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+def relations(spark: SparkSession, sf_dir: str, tasks: int = 0) -> DataFrame:
     """Every third pair of a case's consecutive nodes is recorded."""
+    rows = events(spark, sf_dir, tasks)
+    case, of_case = _case(rows)
     e = F.col("event_id")
-    before = F.lag("event_id").over(Window.partitionBy("user_id").orderBy("start_us", "event_id"))
-    rows = events(spark, sf_dir).withColumn("before", before).where(F.col("before").isNotNull() & _every(3))
+    before = F.lag("event_id").over(Window.partitionBy(of_case).orderBy("start_us", "event_id"))
+    rows = rows.withColumn("before", before).where(F.col("before").isNotNull() & _every(3))
     return rows.select(
-        _id("case", F.col("user_id")).alias("case_id"), _id("relation.source", e).alias("relation_id"),
+        case.alias("case_id"), _id("relation.source", e).alias("relation_id"),
         F.when(_every(6), "parent_of").otherwise("invokes").alias("kind"), _id("node.event", F.col("before")).alias("source_ref"),
         _id("node.event", e).alias("target_ref"), F.lit("source_native").alias("derivation"),
     )
 
 
-def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+def observations(spark: SparkSession, sf_dir: str, tasks: int = 0) -> DataFrame:
+    rows = events(spark, sf_dir, tasks)
     e = F.col("event_id")
-    return events(spark, sf_dir).select(
-        _id("case", F.col("user_id")).alias("case_id"), _id("observation", e).alias("observation_id"), F.lit("event").alias("kind"), "start_us",
+    return rows.select(
+        _case(rows)[0].alias("case_id"), _id("observation", e).alias("observation_id"), F.lit("event").alias("kind"), "start_us",
         F.array_compact(F.array(F.lit("props"), F.when(_every(307), "Authorization"))).alias("attribute_keys"),
         F.array_compact(F.array(F.when(_every(401), "credential"))).alias("sensitivity"), _every(601).alias("contradiction"),
     )
@@ -112,9 +127,10 @@ def components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kinds.select(_id("component", F.col("event_type")).alias("component_id"), F.initcap("event_type").alias("name"), kind.alias("kind"), F.when(kind == "service", "handler").otherwise("store").alias("role"))
 
 
-def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+def cases(spark: SparkSession, sf_dir: str, tasks: int = 0) -> DataFrame:
     users = read_table(spark, sf_dir, "events").select("user_id").distinct()
-    return users.select(_id("case", F.col("user_id")).alias("case_id"), F.when(F.col("user_id") % 3 == 0, "comparison").otherwise("single").alias("category"))
+    rows = users.select(_id("case", F.col("user_id")).alias("case_id"), F.when(F.col("user_id") % 3 == 0, "comparison").otherwise("single").alias("category"))
+    return rows.repartition(tasks, "case_id") if tasks else rows
 
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -135,6 +151,14 @@ def tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     return {name: view(spark, sf_dir) for name, view in VIEWS.items()}
 
 
+def dealt_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The same tables, those of a case's own rows dealt by case at the start: what is keyed by case moves no row again.
+
+    For readers that take whole cases: windows by case or finer, and :func:`causeway.sources.case_store.save_cases`."""
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return tables(spark, sf_dir) | {f.__name__: f(spark, sf_dir, tasks) for f in (nodes, effects, contexts, relations, observations, cases)}
+
+
 #: The same views in DuckDB SQL, to be put before an oracle's own SELECT.
 SQL_VIEWS = """WITH ev AS (SELECT event_id, user_id, event_type, value, epoch_us(ts) AS start_us, CAST(json_extract_string(props, '$.k') AS INT) AS k,
     epoch_us(ts) // 86400000000 AS day FROM events),

@@ -1,6 +1,7 @@
-"""Stored cases as a Spark data source: a folder of canonical JSON and JSONL files for each case.
+"""Stored cases as a Spark data source: canonical JSON and JSONL files for each case, in a folder or in one archive.
 
-Reading gives a row a record, or a row a file with its count or digest; writing puts each case into
+An archive holds the files of the folder, deflated: a twelfth of the disk and one file instead of ten or more.
+Reading takes both, side by side; it gives a row a record, or a row a file with its count or digest; writing puts each case into
 place whole, by a rename after all tasks have ended. Paths may be of any file system that pyarrow opens.
 """
 
@@ -10,8 +11,11 @@ import hashlib
 import io
 import json
 import uuid
+import zipfile
+import zlib
 from collections.abc import Callable, Iterable, Iterator
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
 from dataclasses import dataclass
 from functools import reduce
 from urllib.parse import quote, unquote
@@ -50,11 +54,16 @@ _BATCH = 2000
 CASES, PARTITIONS = 64, 128
 #: What a row says: a record, the number of records of a table (a document stays a record), or size and digest of a file.
 DETAILS = ("records", "counts", "digests")
+#: How a case is written.
+FORMS = ("folders", "archives")
+#: What a damaged archive raises, when it is opened or while a file of it is read.
+DAMAGED = (zipfile.BadZipFile, zlib.error, EOFError)
 #: Renames and deletions that are under way at once.
 AT_ONCE = 16
 
 
 _CANONICAL = json.JSONEncoder(sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
+_DECODER = json.JSONDecoder()
 
 
 def canonical(value) -> str:
@@ -62,6 +71,14 @@ def canonical(value) -> str:
     return _CANONICAL.encode(value) + "\n"
 
 
+def parsed(text: str):
+    """As ``json.loads``, without its cost for each of many short texts; spaces around the text must be gone."""
+    value, end = _DECODER.raw_decode(text)
+    if end != len(text):
+        raise json.JSONDecodeError("Extra data", text, end)
+    return value
+
+
 def _opened(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path)
 
@@ -72,6 +89,58 @@ def _each(do: Callable, items: Iterable) -> list:
         return list(pool.map(do, items))
 
 
+class _Folder:
+    """A case that is written as a folder."""
+
+    def __init__(self, system: fs.FileSystem, path: str) -> None:
+        self.system, self.path, self.made = system, path, set()
+
+    def opened(self, name: str):
+        path = f"{self.path}/{name}"
+        if (place := path.rsplit("/", 1)[0]) not in self.made:
+            self.system.create_dir(place, recursive=True)
+            self.made.add(place)
+        return self.system.open_output_stream(path)
+
+    def close(self) -> None:
+        pass
+
+
+class _Archive:
+    """A case that is written as one archive, as a stream; its bytes depend on its files alone."""
+
+    def __init__(self, system: fs.FileSystem, path: str) -> None:
+        system.create_dir(path.rsplit("/", 1)[0], recursive=True)
+        self.out = system.open_output_stream(path, buffer_size=1 << 16)
+        self.files = zipfile.ZipFile(self.out, "w")
+
+    def opened(self, name: str):
+        entry = zipfile.ZipInfo(name)  # dated 1980
+        entry.compress_type = zipfile.ZIP_DEFLATED
+        return self.files.open(entry, "w", force_zip64=True)
+
+    def close(self) -> None:
+        self.files.close()
+        self.out.close()
+
+
+@contextmanager
+def _files(system: fs.FileSystem, path: str) -> Iterator[Callable]:
+    """What opens a file of a stored case, be it a folder or an archive; FileNotFoundError where there is none."""
+    if system.get_file_info(path).type != fs.FileType.File:
+        yield lambda name: system.open_input_stream(f"{path}/{name}")
+        return
+    with system.open_input_file(path) as whole, zipfile.ZipFile(whole) as archive:
+        known = set(archive.namelist())
+
+        def opened(name: str):
+            if name not in known:
+                raise FileNotFoundError(name)
+            return archive.open(name)
+
+        yield opened
+
+
 @dataclass
 class Cases(InputPartition):
     names: list[str]
@@ -95,7 +164,7 @@ class CaseReader(DataSourceReader):
     def partitions(self) -> list[Cases]:
         system, root = _opened(self.root)
         found = system.get_file_info(fs.FileSelector(root, allow_not_found=True))
-        names = sorted(f.base_name for f in found if f.type == fs.FileType.Directory and f.base_name.endswith(SUFFIX))
+        names = sorted(f.base_name for f in found if f.base_name.endswith(SUFFIX))
         each = self.each or max(CASES, -(-len(names) // PARTITIONS))
         return [Cases(names[i : i + each]) for i in range(0, len(names), each)] or [Cases([])]
 
@@ -114,32 +183,41 @@ class CaseReader(DataSourceReader):
     def _records(self, name: str) -> Iterator[tuple]:
         system, root = _opened(self.root)
         case_id = unquote(name[: -len(SUFFIX)])
-        for entity in self.entities:
-            path = f"{root}/{name}/{FILES[entity]}"
+        try:
+            with _files(system, f"{root}/{name}") as opened:
+                for entity in self.entities:
+                    yield from self._of_entity(case_id, entity, opened)
+        except DAMAGED as error:
+            if self.detail == "digests":
+                raise
+            yield case_id, self.entities[0], None, None, f"{name}: {type(error).__name__}"
+
+    def _of_entity(self, case_id: str, entity: str, opened: Callable) -> Iterator[tuple]:
+        try:
+            stream = opened(FILES[entity])
+        except FileNotFoundError:
+            if entity in REQUIRED and self.detail != "digests":
+                yield case_id, entity, None, None, f"missing: {FILES[entity]}"
+            return
+        with stream:
+            if self.detail == "digests":
+                digest = hashlib.sha256()
+                size = 0
+                while part := stream.read(1 << 20):
+                    digest.update(part)
+                    size += len(part)
+                yield case_id, entity, size, "sha256:" + digest.hexdigest(), None
+                return
+            counted = self.detail == "counts" and entity in LINES
+            good = number = 0
+            texts = enumerate(io.BufferedReader(stream) if entity in LINES else iter(stream.read, b""), 1)
             try:
-                stream = system.open_input_stream(path)
-            except FileNotFoundError:
-                if entity in REQUIRED and self.detail != "digests":
-                    yield case_id, entity, None, None, f"missing: {FILES[entity]}"
-                continue
-            with stream:
-                if self.detail == "digests":
-                    digest = hashlib.sha256()
-                    size = 0
-                    while part := stream.read(1 << 20):
-                        digest.update(part)
-                        size += len(part)
-                    yield case_id, entity, size, "sha256:" + digest.hexdigest(), None
-                    continue
-                counted = self.detail == "counts" and entity in LINES
-                good = 0
-                texts = enumerate(io.BufferedReader(stream), 1) if entity in LINES else [(1, stream.read())]
                 for number, raw in texts:
                     if not raw.strip():
                         continue
                     try:
                         text = raw.decode().strip()
-                        json.loads(text)
+                        parsed(text)
                     except ValueError as error:
                         yield case_id, entity, number, None, f"{FILES[entity]}:{number}: {type(error).__name__}"
                         continue
@@ -147,8 +225,10 @@ class CaseReader(DataSourceReader):
                         good += 1
                     else:
                         yield case_id, entity, number, text, None
-                if counted:
-                    yield case_id, entity, good, None, None
+            except DAMAGED as error:  # the lines before stand
+                yield case_id, entity, number + 1, None, f"{FILES[entity]}:{number + 1}: {type(error).__name__}"
+            if counted:
+                yield case_id, entity, good, None, None
 
 
 class CaseWriter(DataSourceArrowWriter):
@@ -156,6 +236,9 @@ class CaseWriter(DataSourceArrowWriter):
 
     def __init__(self, options, overwrite: bool) -> None:
         self.root, self.overwrite, self.job = options["path"], overwrite, uuid.uuid4().hex
+        self.form = options.get("form", FORMS[0])
+        if self.form not in FORMS:
+            raise ValueError(f"unknown form: {self.form}")
 
     def write(self, batches: Iterator[pa.RecordBatch]) -> Staged:
         system, root = _opened(self.root)
@@ -163,7 +246,7 @@ class CaseWriter(DataSourceArrowWriter):
         wrote = case = None
         done: set[str] = set()
         stream, digest, size, index, entity = None, None, 0, [], None
-        made: set[str] = set()  # folders of the case
+        files = None  # of the case
         lines: list[bytes] = []  # of the file, not yet written
 
         def flush() -> None:
@@ -180,11 +263,11 @@ class CaseWriter(DataSourceArrowWriter):
 
         def close_case() -> None:
             if case is not None:
-                system.create_dir(f"{folder}/{case}/integrity", recursive=True)
-                with system.open_output_stream(f"{folder}/{case}/{INDEX}") as out:
+                with files.opened(INDEX) as out:
                     out.write(canonical({"entries": sorted(index, key=lambda e: e["path"])}).encode())
+                files.close()
 
-        rows = (row for b in batches for row in zip(*[b.column(c).to_pylist() for c in ("case_id", "entity", "record")]))
+        rows = (row for b in batches for row in zip(*[b.column(c).to_numpy(zero_copy_only=False) for c in ("case_id", "entity", "record")]))
         last = name = None
         for case_id, kind, record in rows:
             if case_id != last:
@@ -196,17 +279,13 @@ class CaseWriter(DataSourceArrowWriter):
                     close_case()
                     if name in done:
                         raise ValueError(f"rows of {case_id} do not stand together")
-                    case, index, made = name, [], set()
+                    case, index, files = name, [], (_Archive if self.form == "archives" else _Folder)(system, f"{folder}/{name}")
                     done.add(name)
                 entity = kind
-                path = f"{folder}/{case}/{FILES[entity]}"
-                if (place := path.rsplit("/", 1)[0]) not in made:
-                    system.create_dir(place, recursive=True)
-                    made.add(place)
-                stream, digest, size, wrote = system.open_output_stream(path), hashlib.sha256(), 0, folder
+                stream, digest, size, wrote = files.opened(FILES[entity]), hashlib.sha256(), 0, folder
             elif entity in DOCUMENTS:
                 raise ValueError(f"{case_id} has several records of {entity}")
-            line = canonical(json.loads(record)).encode()
+            line = canonical(parsed(record.strip(" \t\n\r"))).encode()
             lines.append(line)
             size += len(line)
             if len(lines) >= _BATCH:
@@ -218,11 +297,11 @@ class CaseWriter(DataSourceArrowWriter):
     def commit(self, messages: list[Staged]) -> None:
         system, root = _opened(self.root)
         staged = [f for found in _each(lambda m: system.get_file_info(fs.FileSelector(m.folder)), [m for m in messages if m and m.folder]) for f in found]
-        there = {f.base_name for f in system.get_file_info(fs.FileSelector(root, allow_not_found=True)) if f.base_name.endswith(SUFFIX)}
-        if not self.overwrite and (twice := there & {f.base_name for f in staged}):
+        there = {f.base_name: f for f in system.get_file_info(fs.FileSelector(root, allow_not_found=True)) if f.base_name.endswith(SUFFIX)}
+        if not self.overwrite and (twice := there.keys() & {f.base_name for f in staged}):
             raise ValueError(f"cases are stored already: {sorted(twice)[:5]}")
         if self.overwrite:
-            _each(lambda name: system.delete_dir(f"{root}/{name}"), there)
+            _each(lambda f: (system.delete_dir if f.type == fs.FileType.Directory else system.delete_file)(f.path), there.values())
         _each(lambda f: system.move(f.path, f"{root}/{f.base_name}"), staged)
         self.abort(messages)
 
@@ -288,14 +367,20 @@ def as_records(entity: str, rows: DataFrame, key: str | None = None) -> DataFram
     return rows.select("case_id", F.lit(entity).alias("entity"), (F.col(key) if key else F.lit("")).cast("string").alias("key"), record.alias("record"))
 
 
-def save_cases(parts: list[DataFrame], root: str, mode: str = "append") -> None:
-    """Store cases given as records (see :func:`as_records`). All rows of a case go to one task, sorted, and stream into its files.
+def by_case(parts: list[DataFrame]) -> DataFrame:
+    """Records (see :func:`as_records`) in the order in which they are stored, all of a case in one task.
 
-    The number of tasks is fixed: files cost by their number, so small records must not be put together into few tasks."""
+    The number of tasks is fixed: files cost by their number, so small records must not be put together into few tasks.
+    Parts that are all dealt by ``case_id`` to as many tasks already stay where they are, so no record is shuffled."""
     rows = reduce(DataFrame.unionByName, parts)
-    spark = rows.sparkSession
-    spark.dataSource.register(CaseSource)
-    rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "case_id").sortWithinPartitions("case_id", "entity", "key", "record").drop("key").write.format("cases").mode(mode).save(root)
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "case_id").sortWithinPartitions("case_id", "entity", "key", "record").drop("key")
+
+
+def save_cases(parts: list[DataFrame], root: str, mode: str = "append", form: str = "folders") -> None:
+    """Store cases given as records, each as a folder or as an archive (``FORMS``). The rows of a case stream into its files."""
+    rows = by_case(parts)
+    rows.sparkSession.dataSource.register(CaseSource)
+    rows.write.format("cases").option("form", form).mode(mode).save(root)
 
 
 def content_index(spark: SparkSession, root: str) -> DataFrame:
