@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 # The files of a stored case.
@@ -267,9 +268,9 @@ class CaseWriter(DataSourceArrowWriter):
                     out.write(canonical({"entries": sorted(index, key=lambda e: e["path"])}).encode())
                 files.close()
 
-        rows = (row for b in batches for row in zip(*[b.column(c).to_numpy(zero_copy_only=False) for c in ("case_id", "entity", "record")]))
+        rows = (row for b in batches for row in zip(*[b.column(c).to_numpy(zero_copy_only=False) for c in ("case_id", "entity", "record", "canonical")]))
         last = name = None
-        for case_id, kind, record in rows:
+        for case_id, kind, record, as_it_is in rows:
             if case_id != last:
                 last, name = case_id, quote(case_id, safe="") + SUFFIX
             if (name, kind) != (case, entity):
@@ -285,7 +286,7 @@ class CaseWriter(DataSourceArrowWriter):
                 stream, digest, size, wrote = files.opened(FILES[entity]), hashlib.sha256(), 0, folder
             elif entity in DOCUMENTS:
                 raise ValueError(f"{case_id} has several records of {entity}")
-            line = canonical(parsed(record.strip(" \t\n\r"))).encode()
+            line = (record + "\n" if as_it_is and "\\u" not in record else canonical(parsed(record.strip(" \t\n\r")))).encode()
             lines.append(line)
             size += len(line)
             if len(lines) >= _BATCH:
@@ -360,11 +361,18 @@ def catalogue(spark: SparkSession, root: str) -> DataFrame:
     return scan(spark, root, "manifest").select("case_id", m["format"].alias("format"), m["version"].alias("version"), "problem")
 
 
+def _plain(kind: T.DataType) -> bool:
+    """Whether Spark writes every value as canonical JSON does: it does so but for the case of digits after ``\\u``."""
+    return isinstance(kind, (T.StringType, T.IntegralType, T.BooleanType)) or isinstance(kind, T.ArrayType) and _plain(kind.elementType)
+
+
 def as_records(entity: str, rows: DataFrame, key: str | None = None) -> DataFrame:
-    """Rows of one table in the form that is stored; ``key`` orders the lines of a file."""
+    """Rows of one table in the form that is stored; ``key`` orders the lines of a file. ``canonical`` says that a record
+    needs no new encoding; without that column, and where it is not true, a record may be any JSON."""
     columns = sorted(c for c in rows.columns if c != "case_id")
     record = F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
-    return rows.select("case_id", F.lit(entity).alias("entity"), (F.col(key) if key else F.lit("")).cast("string").alias("key"), record.alias("record"))
+    plain = all(_plain(f.dataType) for f in rows.schema if f.name != "case_id")
+    return rows.select("case_id", F.lit(entity).alias("entity"), (F.col(key) if key else F.lit("")).cast("string").alias("key"), record.alias("record"), F.lit(plain).alias("canonical"))
 
 
 def by_case(parts: list[DataFrame]) -> DataFrame:
@@ -372,7 +380,8 @@ def by_case(parts: list[DataFrame]) -> DataFrame:
 
     The number of tasks is fixed: files cost by their number, so small records must not be put together into few tasks.
     Parts that are all dealt by ``case_id`` to as many tasks already stay where they are, so no record is shuffled."""
-    rows = reduce(DataFrame.unionByName, parts)
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    rows = rows if "canonical" in rows.columns else rows.withColumn("canonical", F.lit(False))
     return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "case_id").sortWithinPartitions("case_id", "entity", "key", "record").drop("key")
 
 

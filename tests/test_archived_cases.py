@@ -104,3 +104,20 @@ def test_records_of_dealt_tables_are_not_shuffled(spark, sf_dir):
         assert mine.count("Exchange hashpartitioning") == 1 and mine.count("Window") >= 1
     where = rows.select("case_id", F.spark_partition_id().alias("p")).distinct().groupBy("case_id").count()
     assert where.agg(F.max("count")).first()[0] == 1
+
+
+def test_records_that_are_taken_as_they_are_are_canonical(spark, tmp_path):
+    odd = ["", None, '"', "\\", "\\u001f", "/", "\u2028\u2029\u007f\u0085\ufeff\ufffe", "😀é", *map(chr, range(32))]
+    rows = spark.createDataFrame(
+        [("c", f"{i:03}", t, -(2**63) + i, None if i % 2 else 2**31 - 1, i % 3 == 0, [t, "x"] if i % 5 else [], [[i]]) for i, t in enumerate(odd)],
+        "case_id string, id string, `Z text` string, a long, `é` int, b boolean, list array<string>, deep array<array<int>>")
+    other = rows.select("case_id", "id", F.lit(1e20).alias("d"), F.struct(F.lit(1).alias("z"), F.lit(2).alias("a")).alias("s"), F.lit("1.50").cast("decimal(5,2)").alias("n"))
+    parts = {"nodes": case_store.as_records("nodes", rows, "id"), "effects": case_store.as_records("effects", other, "id")}
+    assert {e: {r.canonical for r in df.collect()} for e, df in parts.items()} == {"nodes": {True}, "effects": {False}}
+    anew = {e: df.drop("canonical") for e, df in parts.items()}
+    for name, those in {"mixed": parts, "anew": anew, "some": {"nodes": parts["nodes"], "effects": anew["effects"]}}.items():
+        case_store.save_cases(list(those.values()), str(tmp_path / name))
+    for entity in parts:
+        want = "".join(case_store.canonical(json.loads(r.record)) for r in parts[entity].orderBy("key").collect()).encode()
+        for name in ("mixed", "anew", "some"):
+            assert open(tmp_path / name / "c.case" / case_store.FILES[entity], "rb").read() == want
