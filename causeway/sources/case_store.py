@@ -1,6 +1,6 @@
 """Stored cases as a Spark data source: canonical JSON and JSONL files for each case, in a folder or in one archive.
 
-An archive holds the files of the folder, deflated: a twelfth of the disk and one file instead of ten or more.
+An archive holds the files of the folder, deflated: about a tenth of the disk, and one file instead of ten or more.
 Reading takes both, side by side; it gives a row a record, or a row a file with its count or digest; writing puts each case into
 place whole, by a rename after all tasks have ended. Paths may be of any file system that pyarrow opens.
 """
